@@ -83,7 +83,7 @@ CHAT_SCHEMA = T.StructType(
 # --------------------------------------------------------------------------
 
 
-def scan_chats(spark: SparkSession, path: str) -> DataFrame:
+def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> DataFrame:
     """Read chat documents (one JSON document per file).
 
     * files starting with ``_`` or ``.`` are skipped by Spark's file source;
@@ -92,14 +92,15 @@ def scan_chats(spark: SparkSession, path: str) -> DataFrame:
       laid out that way, else the file stem;
     * an empty or missing title falls back to ``chat_id``.
     """
-    df = (
+    reader = (
         spark.read.schema(CHAT_SCHEMA)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("pathGlobFilter", "*.json")
-        .json(path)
     )
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    df = reader.json(path)
     fname = F.col("_metadata.file_name")
     stem = F.regexp_extract(fname, "^(.*?)(\\.json)?$", 1)
     chat_id = F.col("chat_id").cast("string") if "chat_id" in df.columns else stem
