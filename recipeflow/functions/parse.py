@@ -116,8 +116,9 @@ def _primary(lines: Column) -> Column:
         ).otherwise(acc["steps"])
         return F.struct(sec.alias("sec"), ing.alias("ingredients"), steps.alias("steps"))
 
-    folded = F.aggregate(lines, init, merge)
-    return F.struct(folded["ingredients"].alias("ingredients"), folded["steps"].alias("steps"))
+    # dropFields keeps a single reference to the fold (a struct of two field
+    # accesses would evaluate the interpreted aggregate twice)
+    return F.aggregate(lines, init, merge).dropFields("sec")
 
 
 def parse_recipe_primary(text) -> Column:
@@ -127,7 +128,10 @@ def parse_recipe_primary(text) -> Column:
 
 def parse_recipe_fallback(text) -> Column:
     """Bullets -> ingredients, other lines longer than 2 -> steps; 40/20 caps."""
-    lines = split_lines(text)
+    return _fallback(split_lines(text))
+
+
+def _fallback(lines: Column) -> Column:
     ing = F.transform(F.filter(lines, _is_bullet), _bullet_item)
     steps = F.filter(lines, lambda t: ~_is_bullet(t) & (F.char_length(t) > 2))
     return F.struct(
@@ -137,7 +141,11 @@ def parse_recipe_fallback(text) -> Column:
 
 
 def parse_recipe(text) -> Column:
-    """Primary parse; the fallback only when both lists come out empty."""
+    """Primary parse; the fallback only when both lists come out empty.
+
+    A single Column for ad-hoc use.  Jobs use :func:`with_recipe`, which
+    stages the work in projections so that each fold runs once per row.
+    """
     p = parse_recipe_primary(text)
     empty = (F.size(p["ingredients"]) == 0) & (F.size(p["steps"]) == 0)
     return F.when(empty, parse_recipe_fallback(text)).otherwise(p)
@@ -166,3 +174,24 @@ def recipe_or_default(rec, error) -> Column:
 def titles_text_or_default(text, error) -> Column:
     """A failed generation yields the fixed default title list text."""
     return F.when(col(error).isNotNull(), F.lit(K.DEFAULT_TITLES_TEXT)).otherwise(col(text))
+
+
+def with_recipe(df, text, out: str = "recipe", error: str | None = None, cap: bool = True):
+    """Add ``out`` = parsed recipe (struct<ingredients, steps>) to ``df``.
+
+    Staged projections: lines, primary fold, fallback choice, default on
+    error, caps.  Each stage is referenced more than once by the next and is
+    not cheap, so Catalyst keeps the projections apart and every
+    higher-order function (interpreted, outside whole-stage codegen) runs
+    exactly once per row.  Still a narrow plan: no exchange.
+    """
+    d = df.withColumn("_rl", split_lines(text))
+    d = d.withColumn("_rp", _primary(F.col("_rl")))
+    p = F.col("_rp")
+    empty = (F.size(p["ingredients"]) == 0) & (F.size(p["steps"]) == 0)
+    d = d.withColumn(out, F.when(empty, _fallback(F.col("_rl"))).otherwise(p))
+    if error is not None:
+        d = d.withColumn(out, recipe_or_default(F.col(out), error))
+    if cap:
+        d = d.withColumn(out, cap_recipe(F.col(out)))
+    return d.drop("_rl", "_rp")

@@ -337,8 +337,8 @@ _recipe_job_sql_fix()
     row="57",
 )
 def q_nutrition_job(spark, sf):
-    v = V.v3_recipe_answers(spark, sf).select(
-        F.col("recipe_id").alias("list_id"), F.array_join(P.parse_recipe("text")["ingredients"], " ,, ").alias("items")
+    v = P.with_recipe(V.v3_recipe_answers(spark, sf), "text", cap=False).select(
+        F.col("recipe_id").alias("list_id"), F.array_join(F.col("recipe.ingredients"), " ,, ").alias("items")
     )
     return J.nutrition_job(v, GEN)
 

@@ -458,7 +458,7 @@ def q_parse_recipe_fallback(spark, sf):
     row="34",
 )
 def q_cap_recipe(spark, sf):
-    m = _mixed(spark, sf).select("id", P.cap_recipe(P.parse_recipe("text")).alias("r"))
+    m = P.with_recipe(_mixed(spark, sf), "text", out="r")
     return _rec_out(m, "id", "r")
 
 
@@ -488,8 +488,8 @@ _DEF_STEPS = S.str_list(K.DEFAULT_STEPS)
 )
 def q_default_on_error(spark, sf):
     v = V.v3_recipe_answers(spark, sf)
-    err = F.when(F.char_length("text") % 10 == 0, F.lit("boom"))
-    v = v.select("recipe_id", P.recipe_or_default(P.parse_recipe("text"), err).alias("recipe"))
+    v = v.withColumn("error", F.when(F.char_length("text") % 10 == 0, F.lit("boom")))
+    v = P.with_recipe(v, "text", error="error", cap=False)
     return C.recipe_items(v, "recipe_id")
 
 
@@ -503,7 +503,7 @@ def q_default_on_error(spark, sf):
     row="36",
 )
 def q_recipe_items(spark, sf):
-    v = V.v3_recipe_answers(spark, sf).select("recipe_id", P.cap_recipe(P.parse_recipe("text")).alias("recipe"))
+    v = P.with_recipe(V.v3_recipe_answers(spark, sf), "text")
     return C.recipe_items(v, "recipe_id")
 
 
@@ -534,8 +534,8 @@ def q_recipe_section_counts(spark, sf):
     row="38",
 )
 def q_render_recipe(spark, sf):
-    v = V.v3_recipe_answers(spark, sf).select(
-        "recipe_id", probe_code("recipe_id").alias("lang"), P.cap_recipe(P.parse_recipe("text")).alias("r")
+    v = P.with_recipe(V.v3_recipe_answers(spark, sf), "text", out="r").select(
+        "recipe_id", probe_code("recipe_id").alias("lang"), "r"
     )
     return v.select("recipe_id", "lang", R.render_recipe(F.col("r.ingredients"), F.col("r.steps"), F.col("lang")).alias("rendered"))
 
@@ -563,10 +563,10 @@ def q_build_prompts(spark, sf):
         F.col("answer_id").alias("id"),
         R.detail_prompt(F.try_element_at(P.extract_titles("text"), F.lit(1))).alias("prompt"),
     )
-    n = V.v3_recipe_answers(spark, sf).select(
+    n = P.with_recipe(V.v3_recipe_answers(spark, sf), "text", cap=False).select(
         F.lit("nutrition").alias("kind"),
         F.col("recipe_id").alias("id"),
-        R.nutrition_prompt(P.parse_recipe("text")["ingredients"]).alias("prompt"),
+        R.nutrition_prompt(F.col("recipe.ingredients")).alias("prompt"),
     )
     return s.unionByName(d).unionByName(n)
 

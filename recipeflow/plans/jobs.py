@@ -89,8 +89,8 @@ def recipe_job(
         .withColumn("prompt", R.detail_prompt("title_en"))
     )
     ans = map_model(req, generator)
-    rec = P.cap_recipe(P.recipe_or_default(P.parse_recipe("text"), "error"))
-    r = materialize(ans.select(key, "title", "code", "error", rec.alias("recipe")))
+    r = P.with_recipe(ans.select(key, "title", "code", "error", "text"), "text", error="error")
+    r = materialize(r.drop("text"))
     # ingredients and steps are translated in one pass as one array, then split
     tgt = F.when(F.col("error").isNull() & (F.col("code") != "en"), F.col("code")).otherwise(F.lit("auto"))
     r = r.withColumn("_tgt", tgt).withColumn(
