@@ -94,31 +94,40 @@ def step_text(s: Column) -> Column:
     return F.when(numbered, strip(F.regexp_replace(s, "^[^.]*\\.", ""))).otherwise(s)
 
 
+_HEADING_AHEAD = "\n(?=(?i:ingredients|steps|method))"
+
+
 def _primary(lines: Column) -> Column:
-    init = F.struct(
-        F.lit(_SEC_NONE).alias("sec"),
-        empty_array().alias("ingredients"),
-        empty_array().alias("steps"),
+    """Section state machine in linear time.
+
+    Lines are stripped and non-blank, so a heading is a line starting
+    (ASCII case-insensitively, as ``str.lower().startswith`` does for these
+    ASCII words) with 'ingredients', 'steps' or 'method'.  Joining the lines
+    and splitting before every heading line yields sections that start with
+    their heading; lines before the first heading form a section of kind 0
+    and are ignored.  No fold: every step is a flat ``transform``/``filter``.
+    """
+    chunks = F.split(F.array_join(lines, "\n"), _HEADING_AHEAD)
+    parts = F.transform(
+        chunks,
+        lambda c: F.struct(
+            heading_kind(F.substring_index(c, "\n", 1)).alias("kind"),
+            F.slice(F.split(c, "\n"), 2, F.greatest(F.size(F.split(c, "\n")) - 1, F.lit(0))).alias("body"),
+        ),
     )
-
-    def merge(acc, s):
-        kind = heading_kind(s)
-        head = kind != _SEC_NONE
-        sec = F.when(head, kind).otherwise(acc["sec"])
-        ing = F.when(
-            ~head & (acc["sec"] == _SEC_ING) & _is_bullet(s),
-            F.concat(acc["ingredients"], F.array(_bullet_item(s))),
-        ).otherwise(acc["ingredients"])
-        st = step_text(s)
-        steps = F.when(
-            ~head & (acc["sec"] == _SEC_STEPS) & (st != ""),
-            F.concat(acc["steps"], F.array(st)),
-        ).otherwise(acc["steps"])
-        return F.struct(sec.alias("sec"), ing.alias("ingredients"), steps.alias("steps"))
-
-    # dropFields keeps a single reference to the fold (a struct of two field
-    # accesses would evaluate the interpreted aggregate twice)
-    return F.aggregate(lines, init, merge).dropFields("sec")
+    ing = F.flatten(
+        F.transform(
+            F.filter(parts, lambda p: p["kind"] == _SEC_ING),
+            lambda p: F.transform(F.filter(p["body"], _is_bullet), _bullet_item),
+        )
+    )
+    steps = F.flatten(
+        F.transform(
+            F.filter(parts, lambda p: p["kind"] == _SEC_STEPS),
+            lambda p: F.filter(F.transform(p["body"], step_text), lambda x: x != ""),
+        )
+    )
+    return F.struct(ing.alias("ingredients"), steps.alias("steps"))
 
 
 def parse_recipe_primary(text) -> Column:

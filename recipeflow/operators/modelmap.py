@@ -23,9 +23,9 @@ Plan (and why)
    (AQE does not coalesce an explicit repartition, so small-in-bytes but
    expensive-to-compute batches still fan out).
 5. ``mapInPandas`` (Arrow batches) runs the model.
-6. the answers are checkpointed into the shared checkpoint folder: the model
-   runs exactly once even when the answers feed several outputs, and a lost
-   executor does not re-run finished model calls.
+6. the answers are written once as a parquet stage in the shared checkpoint
+   folder and read back: the model runs exactly once even when the answers
+   feed several outputs, and a lost executor does not re-run finished calls.
 7. the answers are joined back to every request on ``req_key`` (broadcast
    when AQE sees them small at runtime, else sort-merge with skew splitting).
 """
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.operators.lookup import with_task_params
-from recipeflow.session import ensure_checkpoint_dir
+from recipeflow.session import work_dir
 
 KEY_SEP = "\u001f"
 ANSWER_SCHEMA = "req_key string, text string, error string"
@@ -86,11 +86,20 @@ def _num_partitions(df: DataFrame, partitions: int | None) -> int:
 
 
 def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Write ``df`` once as parquet into the shared checkpoint folder and read
+    it back.
+
+    This cuts lineage like a reliable ``checkpoint()`` (and survives the loss
+    of executors), but computes ``df`` exactly once: an eager checkpoint of a
+    frame that is not persisted runs its plan a second time to write the
+    files - for a model map, a second round of model calls.
+    """
     if not enabled:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = work_dir(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def distinct_requests(requests: DataFrame, fields=("task", "system", "prompt")) -> DataFrame:
