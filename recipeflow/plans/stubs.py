@@ -75,3 +75,14 @@ class StubTranslator:
                 texts.append(None)
                 errors.append(str(e).strip("'"))
         return texts, errors
+
+
+class CountingGenerator(StubGenerator):
+    """The stub generator, counting model calls into a Spark accumulator."""
+
+    def __init__(self, acc):
+        self.acc = acc
+
+    def complete_batch(self, pdf: pd.DataFrame):
+        self.acc.add(len(pdf))
+        return super().complete_batch(pdf)
