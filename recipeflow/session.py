@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, app_name: str = "recipeflow", **conf) -
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,30 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable (reliable, in the shared folder)."""
     work_dir(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``recipeflow`` importable by Python workers on a cluster.
+
+    Local masters share the driver's Python path.  Elsewhere the package is
+    zipped once per application and distributed with ``addPyFile`` (code
+    only, a few hundred KB; data never takes this route).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    if (sc.master or "").startswith("local"):
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="recipeflow-pyfiles-")
+    archive = shutil.make_archive(
+        os.path.join(out, "recipeflow"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="recipeflow"
+    )
+    sc.addPyFile(archive)
