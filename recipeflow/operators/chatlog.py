@@ -18,8 +18,9 @@ Per-chat state is computed with partial aggregates (``max_by``, ``max``,
 ``count``): each map task pre-aggregates, so a chat holding a third of all
 messages costs one row per task in the exchange, never one huge group.
 Joining such aggregates back to messages is an equi-join on ``chat_id`` that
-AQE splits when one key is skewed.  Windows are used only where the result
-is a true per-group ordering of *new* rows (``append_messages``).
+AQE splits when one key is skewed.  The one true per-chat ordering (numbering
+appended rows) is a range-partitioned, offset-corrected row number
+(:func:`row_number_within`), not a single-task window.
 """
 
 from __future__ import annotations
@@ -191,6 +192,35 @@ def new_chat_rows(requests: DataFrame, ts: str = "ts", title: str = "title") ->
 # --------------------------------------------------------------------------
 
 
+def row_number_within(df: DataFrame, key: str, order: str, partitions: int | None = None, out: str = "rn") -> DataFrame:
+    """``row_number() over (partition by key order by order)`` without putting
+    a hot key into one task.
+
+    1. range-partition on (key, order): a key holding a third of all rows is
+       spread over many partitions (ranges split inside the key);
+    2. number rows locally per (partition, key) - the window's exchange is on
+       (partition id, key), so each piece of a hot key is its own task;
+    3. prefix-sum the per-(key, partition) counts (one row per piece) into
+       offsets and join them back.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    ranged = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
+    counts = local.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.withColumn(
+        "_off",
+        F.coalesce(
+            F.sum("_cnt").over(Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ),
+    ).drop("_cnt")
+    return (
+        local.join(offsets, [key, "_pid"], "inner")
+        .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
+        .drop("_pid", "_lrn", "_off")
+    )
+
+
 def append_messages(
     messages: DataFrame,
     new: DataFrame,
@@ -201,15 +231,15 @@ def append_messages(
     them to a parquet log, and return them.
 
     ``seq = coalesce(max(seq), -1) + row_number()`` per chat.  The existing
-    maximum is a partial aggregate; the numbering of the *new* rows is a
-    window over the new rows only.
+    maximum is a partial aggregate; the numbering of the new rows is
+    :func:`row_number_within`, which splits a hot chat over many tasks.
     """
     last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
-    w = Window.partitionBy("chat_id").orderBy(order_by)
+    numbered = row_number_within(new, "chat_id", order_by, out="_rn")
     out = (
-        new.join(last, "chat_id", "left")
-        .withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.row_number().over(w)).cast("bigint"))
-        .drop("_last")
+        numbered.join(last, "chat_id", "left")
+        .withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.col("_rn")).cast("bigint"))
+        .drop("_last", "_rn")
     )
     if path is not None:
         out.write.mode("append").parquet(path)

@@ -102,3 +102,17 @@ def test_translation_memory_is_used(spark):
     df = spark.createDataFrame([(1, "rice", "fr"), (2, "bread", "fr")], "id bigint, text string, tgt string")
     out = {r.id: r.translated for r in T.translate(df, "text", F.lit("en"), "tgt", StubTranslator(), memory).collect()}
     assert out == {1: "riz!", 2: "<fr>bread"}
+
+
+def test_row_number_within_hot_key(spark):
+    rows = [(7, i) for i in range(3000)] + [(k, i) for k in range(20) for i in range(5)]
+    df = spark.createDataFrame(rows, "chat_id bigint, event_order bigint")
+    out = C.row_number_within(df, "chat_id", "event_order", partitions=8)
+    got = {(r.chat_id, r.event_order): r.rn for r in out.collect()}
+    assert len(got) == len(rows)
+    assert all(got[(7, i)] == i + 1 for i in range(3000))
+    assert all(got[(k, i)] == i + 1 for k in range(20) if k != 7 for i in range(5))
+    # the hot chat really is spread over several partitions
+    pieces = df.repartitionByRange(8, "chat_id", "event_order").where("chat_id = 7").select(
+        F.spark_partition_id().alias("p")).distinct().count()
+    assert pieces > 1
