@@ -105,7 +105,7 @@ def test_translation_memory_is_used(spark):
 
 
 def test_row_number_within_hot_key(spark):
-    rows = [(7, i) for i in range(3000)] + [(k, i) for k in range(20) for i in range(5)]
+    rows = [(7, i) for i in range(3000)] + [(k, i) for k in range(20) if k != 7 for i in range(5)]
     df = spark.createDataFrame(rows, "chat_id bigint, event_order bigint")
     out = C.row_number_within(df, "chat_id", "event_order", partitions=8)
     got = {(r.chat_id, r.event_order): r.rn for r in out.collect()}
