@@ -118,6 +118,35 @@ def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> D
     )
 
 
+def scan_chat_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Read a chat store in the scale layout: JSON Lines, many chats per file,
+    each document carrying its own ``chat_id`` (splittable, no small files).
+
+    Same output as :func:`scan_chats`.  A corrupt line keeps no identity, so
+    its ``chat_id`` is NULL and ``corrupt`` is true.
+    """
+    schema = T.StructType([T.StructField("chat_id", T.StringType())] + CHAT_SCHEMA.fields)
+    df = (
+        spark.read.schema(schema)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .json(path)
+    )
+    ok = F.col("_corrupt").isNull()
+    chat_id = F.when(ok, F.col("chat_id"))
+    return df.select(
+        chat_id.alias("chat_id"),
+        F.coalesce(F.nullif(F.col("title"), F.lit("")), chat_id).alias("title"),
+        F.when(ok, F.col("messages")).alias("messages"),
+        F.col("health_filters"),
+        F.col("schema_version"),
+        F.col("created_at"),
+        F.col("last_payload"),
+        (~ok).alias("corrupt"),
+        F.col("_metadata.file_path").alias("path"),
+    )
+
+
 def list_chats(chats: DataFrame) -> DataFrame:
     """(chat_id, title, path) in file-name order (a range-partitioned sort)."""
     return chats.select("chat_id", "title", "path").orderBy("path")

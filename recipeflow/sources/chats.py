@@ -60,6 +60,17 @@ def write_chat_store(docs: DataFrame, path: str) -> str:
     return path
 
 
+def write_chat_lines(docs: DataFrame, path: str) -> str:
+    """Scale layout: JSON Lines with ``chat_id`` inside each document."""
+    lines = docs.select(
+        F.when(
+            F.col("value").startswith("{bad"), F.col("value")
+        ).otherwise(F.concat(F.lit('{"chat_id":"'), F.col("chat_id").cast("string"), F.lit('",'), F.expr("substring(value, 2)"))).alias("value")
+    )
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
 def chat_store(spark: SparkSession, sf_dir: str) -> str:
     """The derived store for ``sf_dir``, written once per session into the
     shared checkpoint folder."""
