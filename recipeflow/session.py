@@ -6,11 +6,13 @@ default that is applied only when the session has none.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for local runs and tests.  A cluster's own configuration wins.
 LOCAL_DEFAULTS = {
@@ -41,52 +43,91 @@ def get_spark(master: str | None = None, app_name: str = "recipeflow", **conf) -
     return spark
 
 
-def work_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh directory under the shared checkpoint folder.
+def stage_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate data.
 
-    The folder comes from ``spark.checkpoint.dir`` (a shared file system on a
-    cluster).  Only when the session has none, as in local tests, a private
-    temporary folder is created and registered, so that ``checkpoint()`` and
-    written stage tables work the same way everywhere.
+    ``spark.checkpoint.dir`` of the session, else the folder given to
+    ``setCheckpointDir``.  A single-process master (``local[N]``) may fall back
+    to a folder of its own; on any other master a missing setting is an error,
+    because a machine-local folder is invisible to the other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if master == "local" or master.startswith("local["):
         base = tempfile.mkdtemp(prefix="recipeflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
-    name = "-".join(parts) if parts else "stage"
-    return base.rstrip("/") + "/recipeflow/" + name + "-" + uuid.uuid4().hex[:12]
+        spark.sparkContext.setCheckpointDir(base)
+        return base
+    raise RuntimeError(
+        "no shared folder for intermediate data: set spark.checkpoint.dir (or call "
+        "SparkContext.setCheckpointDir) to a folder that every executor can reach"
+    )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable (reliable, in the shared folder)."""
-    work_dir(spark)
+_STAGES: dict[str, list[str]] = {}
+
+
+def work_dir(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder under :func:`stage_root`, removed when the application ends
+    (or earlier, by :func:`clear_stages`)."""
+    name = "-".join(parts) if parts else "stage"
+    path = f"{stage_root(spark)}/recipeflow/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _STAGES:
+        _STAGES[app] = []
+        atexit.register(clear_stages, spark)
+    _STAGES[app].append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete this application's stage folders; frames that read them are dead
+    afterwards.  Returns how many were listed."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # already stopped
+        return 0
+    paths = _STAGES.pop(sc.applicationId, [])
+    try:
+        for p in paths:
+            hp = sc._jvm.org.apache.hadoop.fs.Path(p)
+            hp.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hp, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone at interpreter exit
+        return 0
+    return len(paths)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as parquet into the shared folder and read it back.
+
+    Cuts lineage like a reliable ``checkpoint()`` and computes ``df`` exactly
+    once; the files outlive any executor.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``recipeflow`` importable by Python workers on a cluster.
-
-    Local masters share the driver's Python path.  Elsewhere the package is
-    zipped once per application and distributed with ``addPyFile`` (code
-    only, a few hundred KB; data never takes this route).
-    """
+    """Make ``recipeflow`` importable by Python workers, wherever the driver was
+    started: the package's code is zipped once per application and distributed
+    with ``addPyFile`` (code only, some hundred KB; data never takes this route)."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    if (sc.master or "").startswith("local"):
-        return
-    import shutil
-
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out = tempfile.mkdtemp(prefix="recipeflow-pyfiles-")
-    archive = shutil.make_archive(
-        os.path.join(out, "recipeflow"), "zip", root_dir=os.path.dirname(pkg_dir), base_dir="recipeflow"
-    )
+    parent = os.path.dirname(pkg_dir)
+    archive = os.path.join(tempfile.mkdtemp(prefix="recipeflow-pyfiles-"), "recipeflow.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, parent))
     sc.addPyFile(archive)
