@@ -327,17 +327,11 @@ def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` as struct ``_doc`` with ``score`` and ``matches`` (start, end, term, edits, weight)."""
     scanner = Scanner(model.terms, model.spared)
-    kind = T.ArrayType(
-        T.StructType()
-        .add("start", "long")
-        .add("end", "long")
-        .add("term", "string")
-        .add("edits", "integer")
-        .add("weight", "double")
-    )
-    names = ("start", "end", "term", "edits", "weight")
+    parts = (("start", T.LongType()), ("end", T.LongType()), ("term", T.StringType()), ("edits", T.IntegerType()), ("weight", T.DoubleType()))
+    kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in parts]))
+    names = [n for n, _ in parts]
     rows = boxed(docs)
-    schema = rows.schema.add("score", "double").add("matches", kind)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("matches", kind)])
     arrow = pa.list_(
         pa.struct(
             [("start", pa.int64()), ("end", pa.int64()), ("term", pa.string()), ("edits", pa.int32()), ("weight", pa.float64())]
