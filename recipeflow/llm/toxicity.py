@@ -1,7 +1,7 @@
 """Toxicity by a lexicon that tolerates misspellings, with context windows.
 
-* The lexicon is learned from labelled rows: words whose document frequency in toxic rows, against clean ones, is
-  high, chosen one after another by how many toxic rows each adds to those already covered.
+* The lexicon is learned from labelled rows: words that toxic rows use far more often than chance, near copies
+  counting once.
 * A trie of the lexicon is intersected with Levenshtein automata (distance 1, for terms of ``FUZZY_FROM`` letters or more;
   shorter ones match exactly) and made deterministic: one table that maps (state, character) to a state.  All words of
   many texts run through it side by side, one character at a time; a word leaves at its first dead state.
@@ -176,9 +176,9 @@ class Scanner:
         begin, size, state = begin[hit], size[hit], state[hit]
         return begin, begin + size, a.term[state], a.edits[state]
 
-    def weighed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[tuple]]]:
-        """Per text: sum of match weights, number of characters, and the matches (start, end, term, edits, weight)."""
-        total = np.zeros(len(texts))
+    def weighed(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple]]]:
+        """Per text: sums of the weights of exact and misspelled matches, and the matches (start, end, term, edits, weight)."""
+        total = np.zeros((len(texts), 2))
         spans: list[list[tuple]] = [[] for _ in texts]
         for group in segments(texts, overlap=WINDOW + self.lengths[1]):
             codes, begins = code_points([s.text for s in group])
@@ -194,10 +194,10 @@ class Scanner:
                 if d and spelled in self.spared:
                     continue
                 lo, hi = int(begins[o]), int(begins[o]) + len(s.text)
-                w = self.context(codes, max(lo, b - WINDOW), b, e, min(hi, e + WINDOW)) * (0.75 if d else 1.0)
-                total[s.row] += w
+                w = self.context(codes, max(lo, b - WINDOW), b, e, min(hi, e + WINDOW))
+                total[s.row, d] += w
                 spans[s.row].append((at, at + e - b, self.terms[t], d, w))
-        return total, np.array([len(t or "") for t in texts]), spans
+        return total, spans
 
     def context(self, codes: np.ndarray, lo: int, b: int, e: int, hi: int) -> float:
         before = "".join(map(chr, codes[lo:b].tolist()))
@@ -218,107 +218,135 @@ class Scanner:
 class Model:
     terms: list[str]
     spared: set[str]
-    slope: float
+    slopes: tuple[float, float]
     base: float
 
-    def scores(self, total: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.base + self.slope * np.log1p(total))))
+    def scores(self, total: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.base + saturated(total) @ np.array(self.slopes))))
+
+
+def saturated(total: np.ndarray) -> np.ndarray:
+    """One plain match is nearly as telling as many; a quoted one is not."""
+    return 1 - np.exp(-2 * total)
 
 
 def _words(text):
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), F.lit(1)))
 
 
-def learn_lexicon(labelled: DataFrame, candidates: int = CANDIDATES, fit_rows: int = FIT_ROWS) -> list[str]:
-    """Terms from ``labelled`` (text, toxic 0/1): document frequencies over all rows, then a greedy choice on at most ``fit_rows``."""
-    rows = labelled.select("text", "toxic").distinct()  # copies are one witness
-    sides = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+SIGNATURES, AGREE = 24, 0.6
+
+
+def _witnesses(sample: DataFrame) -> DataFrame:
+    """``sample`` (row, toxic, words; of bounded size) with ``witness``: near copies are one witness.
+
+    Rows that agree in three of their ``SIGNATURES`` minimum word hashes and in ``AGREE`` of all are near copies.
+    """
+    mins = [F.array_min(F.transform("words", lambda w, i=i: F.xxhash64(w, F.lit(i)))) for i in range(SIGNATURES)]
+    rows = sample.select("row", F.array(*mins).alias("s")).collect()
+    sigs = np.array([[x or 0 for x in r["s"]] for r in rows], dtype=np.int64).reshape(len(rows), SIGNATURES)
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for b in range(0, SIGNATURES, 3):
+        first: dict[bytes, int] = {}
+        for i in range(len(rows)):
+            j = first.setdefault(sigs[i, b : b + 3].tobytes(), i)
+            if j != i and root(i) != root(j) and (sigs[i] == sigs[j]).mean() >= AGREE:
+                parent[root(i)] = root(j)
+    named = [(r["row"], root(i)) for i, r in enumerate(rows)]
+    table = sample.sparkSession.createDataFrame(named, "row long, witness long")
+    return sample.join(F.broadcast(table), "row")
+
+
+def learn_lexicon(sample: DataFrame, most: int = CANDIDATES, surprise: float = 16.0, purity: float = 0.8) -> list[str]:
+    """Words of ``sample`` (witness, toxic, words) that toxic witnesses use far more often than chance.
+
+    A word is a term if at least ``purity`` of its witnesses are toxic and the likelihood-ratio of that, against the
+    overall rate, is at least ``surprise`` nats; the ``most`` most surprising words are kept.
+    """
+    sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
     bad, good = sides.get(1, 0), sides.get(0, 0)
     if not bad or not good:
         return []
-    counted = (
-        rows.select("toxic", F.explode(_words(F.col("text"))).alias("word"))
-        .groupBy("word")
-        .agg(F.sum(F.col("toxic")).alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    )
-    lift = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    top = (
-        counted.where(F.col("bad") >= max(2, bad // 200))
-        .withColumn("gain", F.col("bad") * lift)
-        .where(lift > 2)
-        .orderBy(F.desc("gain"), "word")
-        .limit(candidates)
-        .select("word")
-    )
-    words = [r["word"] for r in top.collect()]
-    pick = F.filter(_words(F.col("text")), lambda w: w.isin(words)) if words else F.array().cast("array<string>")
-    sample = rows.orderBy(F.xxhash64("text")).limit(fit_rows).select("toxic", pick.alias("words")).collect()
-    place = {w: i for i, w in enumerate(words)}
-    has = np.zeros((len(sample), len(words)), dtype=bool)
-    for i, r in enumerate(sample):
-        has[i, [place[w] for w in r["words"]]] = True
-    toxic = np.array([r["toxic"] == 1 for r in sample], dtype=bool)
-    open_, chosen = toxic.copy(), []
-    while words:
-        gain = has[open_].sum(0) - 3.0 * has[~toxic].sum(0)
-        j = int(np.argmax(gain))
-        if gain[j] < max(2, 0.01 * toxic.sum()):
-            break
-        chosen.append(words[j])
-        open_ &= ~has[:, j]
-    # words as strong and as frequent as those chosen that the greedy choice no longer needed
-    for j, w in enumerate(words):
-        if w not in chosen and chosen and has[~toxic, j].sum() == 0:
-            least = min(has[toxic][:, place[c]].sum() for c in chosen)
-            if has[toxic, j].sum() >= max(least, 0.1 * toxic.sum()):
-                chosen.append(w)
-    return sorted(chosen)
-
-
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature with a small ridge, by Newton steps."""
+    rate = bad / (bad + good)
+    words = sample.select("witness", "toxic", F.explode("words").alias("word")).distinct()
+    n, k = F.col("n"), F.col("k")
+    share = k / n
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    gain = n * (share * F.log(share / rate) + other)
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n"))
+    kept = counted.where((share >= purity) & (share > rate) & (gain >= surprise))
+    return sorted(r["word"] for r in kept.orderBy(F.desc(gain), "word").limit(most).select("word").collect())
+
+
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Logistic regression on two features with a small ridge, by Newton steps; slopes are not negative."""
     if not len(x) or y.min() == y.max():
-        return 0.0, -5.0
-    a = np.stack([x, np.ones_like(x)], 1)
-    w, ridge = np.zeros(2), np.diag([0.5, 0.01])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
-    return float(w[0]), float(w[1])
+        return (0.0, 0.0), -5.0
+    use = [0, 1]
+    while True:
+        a = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
+        w, ridge = np.zeros(a.shape[1]), np.diag([0.5] * len(use) + [0.01])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
+        if (w[:-1] >= 0).all():
+            slopes = [0.0, 0.0]
+            for i, j in enumerate(use):
+                slopes[j] = float(w[i])
+            return (slopes[0], slopes[1]), float(w[-1])
+        use = [j for i, j in enumerate(use) if w[i] >= 0]
 
 
 def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Model from ``labelled`` (text, toxic); at most ``fit_rows`` distinct texts fit the score."""
-    labelled = stage(
-        labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where(
-            "toxic in (0, 1)"
-        ),
+    """Model from ``labelled`` (text, toxic); at most ``fit_rows`` distinct texts, chosen by a hash of the text, are learned from."""
+    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    h = F.xxhash64("text")
+    sample = rows.where("toxic in (0, 1)").distinct().orderBy(h, "text", "toxic").limit(fit_rows)
+    sample = stage(
+        sample.select("text", "toxic", _words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row")),
         "toxic-labelled",
     )
-    terms = learn_lexicon(labelled, fit_rows=fit_rows)
+    sample = stage(_witnesses(sample), "toxic-witnesses")
+    terms = learn_lexicon(sample)
     if not terms:
-        return Model([], set(), 0.0, -5.0)
+        return Model([], set(), (0.0, 0.0), -5.0)
     scanner = Scanner(terms, set())
 
     def scan(batches):
         for batch in batches:
-            total, _, spans = scanner.weighed(column(batch, "text"))
-            exact = [sum(m[4] for m in s if not m[3]) for s in spans]
-            near = [[t[m[0] : m[1]].lower() for m in s if m[3]] for t, s in zip(column(batch, "text"), spans, strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"toxic": batch.column(1), "exact": pa.array(exact, pa.float64()), "near": pa.array(near, pa.list_(pa.string()))}
-            )
-
-    found = stage(
-        labelled.select("text", "toxic").distinct().mapInArrow(scan, "toxic int, exact double, near array<string>"),
-        "toxic-matches",
+            texts = column(batch, "text")
+            total, spans = scanner.weighed(texts)
+            near = [[t[m[0] : m[1]].lower() for m in s if m[3]] for t, s in zip(texts, spans, strict=True)]
+            weights = [[m[4] for m in s if m[3]] for s in spans]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array(total[:, 0]),
+                    pa.array(near, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())),
+                ],
+                names=["toxic", "witness", "exact", "near", "weights"],
+            )
+
+    found = sample.select("toxic", "witness", "text").mapInArrow(
+        scan, "toxic int, witness long, exact double, near array<string>, weights array<double>"
+    ).collect()  # a few numbers for each row of the bounded sample
+    # Spellings that clean rows use are words of their own.  What the rest are worth is judged crosswise: each half of
+    # the witnesses with the spellings spared by the other half.
+    clean = [{w for r in found if r["toxic"] == 0 and r["witness"] % 2 == half for w in r["near"]} for half in (0, 1)]
+    x = np.array(
+        [
+            (r["exact"], sum(v for w, v in zip(r["near"], r["weights"], strict=True) if w not in clean[1 - r["witness"] % 2]))
+            for r in found
+        ]
     )
-    # spellings that clean rows use; each is at distance 1 from a term, so there are at most some hundred per term
-    spared = found.where("toxic = 0").select(F.explode("near").alias("w")).distinct().collect()
-    rows = found.orderBy(F.xxhash64("exact", F.col("near").cast("string")), "toxic").limit(fit_rows)
-    rows = rows.select("toxic", "exact").collect()
-    slope, base = _fit(np.log1p([r["exact"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
-    return Model(terms, {r["w"] for r in spared}, max(slope, 0.0), base)
+    slopes, base = _fit(saturated(x), np.array([float(r["toxic"]) for r in found]))
+    return Model(terms, clean[0] | clean[1], slopes, base)
 
 
 # ---------------------------------------------------------------- scoring
@@ -341,10 +369,10 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
     def run(batches):
         for batch in batches:
             texts = batch.column(0).field(text_col).to_pylist()
-            total, chars, spans = scanner.weighed(texts)
+            total, spans = scanner.weighed(texts)
             found = [[dict(zip(names, m, strict=True)) for m in s] for s in spans]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.scores(total, chars), pa.float64()), pa.array(found, arrow)],
+                [batch.column(0), pa.array(model.scores(total), pa.float64()), pa.array(found, arrow)],
                 names=["_doc", "score", "matches"],
             )
 
