@@ -261,21 +261,38 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that verified ``links`` (a, b) connect each node to."""
-    both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-graph")
-    labels = stage(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "near-labels"
-    )
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("to"))
-        target = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        after = stage(
-            step.join(target, "to").select("node", "old", F.least("to", "further").alias("label")), "near-labels"
+    """(node, label): the smallest node that verified ``links`` (a, b), a < b, connect each node to.
+
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots and contracts the
+    links to roots; links within a root go, so a group of n texts is read once, not once a round.
+    """
+    labels = None
+    links = stage(links.select("a", "b"), "near-graph")
+    while not links.isEmpty():
+        ends = links.select(F.col("a").alias("node"), F.col("a").alias("near")).unionByName(
+            links.select(F.col("b").alias("node"), F.col("a").alias("near"))
+        )
+        hooks = stage(ends.groupBy("node").agg(F.min("near").alias("to")), "near-hooks")
+        while True:  # a hook leads to a smaller node: the way to a root halves each time
+            target = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
+            jumped = stage(
+                hooks.join(target, "to").select("node", F.col("to").alias("old"), F.col("further").alias("to")), "near-hooks"
+            )
+            hooks = jumped.select("node", "to")
+            if jumped.where("to != old").isEmpty():
+                break
+        roots = hooks.select(F.col("node").alias("label"), F.col("to").alias("root"))
+        labels = (
+            hooks.select("node", F.col("to").alias("label"))
+            if labels is None
+            else stage(
+                labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "near-labels"
+            )
         )
-        if after.where("label != old").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+        ra, rb = hooks.select(F.col("node").alias("a"), F.col("to").alias("ra")), hooks.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        ends = links.join(ra, "a").join(rb, "b").where("ra != rb")
+        links = stage(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "near-graph")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels
 
 
 def near_classes(
@@ -311,15 +328,16 @@ def near_classes(
     links = stage(verified(pairs, texts, similarity), "near-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = components(links)
-    named = stage(
+    labelled = stage(
         nodes.select("node", "digest", "first_id", "copies")
         .join(labels, "node", "left")
         .join(degree, "node", "left")
         .select("digest", "first_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")),
         "near-named",
     )
-    classes = named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = stage(named.join(classes, "label").select("digest", "class_id", "class_size", "n_links"), "near-classes")
+    classes = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = stage(classes, "near-class-ids")  # so that the join has two plain exchanges, which AQE can split
+    named = stage(labelled.join(classes, "label").select("digest", "class_id", "class_size", "n_links"), "near-classes")
     return rows.select("doc_id", "digest").join(named, "digest").select(
         F.col("doc_id").alias(id_col), "digest", "class_id", "class_size", "n_links"
     )
