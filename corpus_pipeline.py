@@ -23,9 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text does not score as toxic; the model learns from the labelled rows of the ``documents`` table."""
     ship_package(spark)
-    labels = load(spark, sf_dir, "labels", "doc_id", "toxic").where("toxic is not null")
-    labelled = load(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id")
-    model = toxicity.learn(labelled)
+    model = toxicity.learn(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity.score_texts(docs, model).where(F.col("score") < TOXIC_FROM).select("_doc.*")
 
 

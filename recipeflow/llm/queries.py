@@ -155,8 +155,8 @@ FROM g
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False))
-    labels = load(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out & F.col("toxic").isNotNull())
-    model = toxicity.learn(documents.join(labels, "doc_id"))
+    labels = load(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
+    model = toxicity.learn(documents, labels)
     scored = toxicity.score_texts(documents, model).select("_doc.doc_id", "score")
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")

@@ -304,11 +304,18 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
         use = [j for i, j in enumerate(use) if w[i] >= 0]
 
 
-def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Model from ``labelled`` (text, toxic); at most ``fit_rows`` distinct texts, chosen by a hash of the text, are learned from."""
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    h = F.xxhash64("text")
-    sample = rows.where("toxic in (0, 1)").distinct().orderBy(h, "text", "toxic").limit(fit_rows)
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
+
+    At most ``fit_rows`` labelled ids, chosen by a hash of the id, are learned from; only their texts are moved.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    share = min(1.0, 1.2 * fit_rows / max(1, rows.count()))
+    h = F.xxhash64("doc_id")
+    chosen = rows.where(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003).orderBy(h, "doc_id", "toxic").limit(fit_rows)
+    chosen = stage(chosen.distinct(), "toxic-chosen")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct()  # at most fit_rows ids
     sample = stage(
         sample.select("text", "toxic", _words(F.col("text")).alias("words"), F.monotonically_increasing_id().alias("row")),
         "toxic-labelled",
