@@ -5,7 +5,7 @@ of them into one task, so the frequent digests are split off first:
 
 1. every row's digest is written once as a narrow stage (id, digest, row);
 2. a Misra-Gries summary (``approx_top_k``, a frequent-items sketch of bounded
-   size, merged over two levels) names every digest that holds more than about
+   size; summaries are merged by adding their counters) names every digest that holds more than about
    ``1 / tracked`` of the rows;
 3. those candidates are verified by an exact count over the stage, and their
    winners - at most ``tracked`` rows, whatever the size of the input - are
@@ -37,13 +37,13 @@ def text_digest(text: Column) -> Column:
 
 def frequent_values(df: DataFrame, col: str, tracked: int) -> DataFrame:
     """At most ``tracked`` values of ``col``, among them every one that holds more
-    than ``1 / (0.75 * tracked)`` of the rows (Misra-Gries, merged over two levels)."""
-    partial = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_g")).agg(
-        F.expr(f"approx_top_k_accumulate({col}, {tracked})").alias("_s")
+    than ``1 / (0.75 * tracked)`` of the rows (Misra-Gries summaries, merged by adding counters)."""
+    kept = tracked * 3 // 4
+    partial = df.where(F.col(col).isNotNull()).groupBy(F.pmod(F.spark_partition_id(), F.lit(64)).alias("_g")).agg(
+        F.expr(f"approx_top_k({col}, {kept}, {tracked})").alias("_s")
     )
-    merged = partial.agg(F.expr(f"approx_top_k_combine(_s, {tracked})").alias("_s"))
-    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(_s, {tracked * 3 // 4})")).alias("_t"))
-    return top.select(F.col("_t.item").alias(col)).where(F.col(col).isNotNull())
+    counters = partial.select(F.explode("_s").alias("_t")).groupBy(F.col("_t.item").alias(col)).agg(F.sum("_t.count").alias("_n"))
+    return counters.orderBy(F.desc("_n"), col).limit(kept).select(col)
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 1024) -> DataFrame:
