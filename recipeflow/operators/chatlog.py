@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from recipeflow.functions import constants as K
 from recipeflow.functions.text import col
+from recipeflow.session import stage
 
 # --------------------------------------------------------------------------
 # schemas
@@ -225,15 +226,16 @@ def row_number_within(df: DataFrame, key: str, order: str, partitions: int | Non
     """``row_number() over (partition by key order by order)`` without putting
     a hot key into one task.
 
-    1. range-partition on (key, order): a key holding a third of all rows is
-       spread over many partitions (ranges split inside the key);
+    1. range-partition on (key, order) and write the pieces once: a key holding a third of
+       all rows is spread over many partitions (ranges split inside the key);
     2. number rows locally per (partition, key) - the window's exchange is on
        (partition id, key), so each piece of a hot key is its own task;
     3. prefix-sum the per-(key, partition) counts (one row per piece) into
        offsets and join them back.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    ranged = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    # written once: a second evaluation of the exchange would sample other bounds and disagree on the pieces
+    ranged = stage(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()), "numbered-pieces")
     local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
     counts = local.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
@@ -271,6 +273,7 @@ def append_messages(
         .drop("_last", "_rn")
     )
     if path is not None:
+        out = stage(out, "appended")
         out.write.mode("append").parquet(path)
     return out
 
@@ -308,8 +311,11 @@ def latest_payload(messages: DataFrame, kind: str = "recipe_detail") -> DataFram
     ``max_by`` is a partial aggregate: skew-safe.
     """
     p = F.col("meta.payload." + kind)
+    filled = F.lit(False)
+    for f in messages.select(p.alias("p")).schema["p"].dataType.fieldNames():
+        filled = filled | p[f].isNotNull()  # an empty object is no payload
     return (
-        messages.where(p.isNotNull())
+        messages.where(p.isNotNull() & filled)
         .groupBy("chat_id")
         .agg(F.max_by(F.struct(F.col("seq"), p.alias("payload")), F.col("seq")).alias("_l"))
         .select("chat_id", F.col("_l.seq").alias("seq"), F.col("_l.payload").alias(kind))
@@ -355,6 +361,7 @@ def resolve_pointer(pointers: DataFrame, chats: DataFrame) -> DataFrame:
     """
     ids = chats.select(F.col("chat_id").alias("_cid")).distinct()
     latest = chats.select(F.max("chat_id")).scalar()
+    pointers = pointers.withColumn("chat_id", F.nullif(F.col("chat_id"), F.lit("")))  # an empty pointer is none
     j = pointers.join(ids, pointers["chat_id"] == ids["_cid"], "left")
     status = (
         F.when(F.col("chat_id").isNull(), F.lit("latest"))

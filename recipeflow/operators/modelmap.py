@@ -64,7 +64,10 @@ def run_model_batches(factory: Callable, key: str, fields: tuple[str, ...], out_
         batch_fn = getattr(model, "complete_batch", None)
         for pdf in batches:
             if batch_fn is not None:
-                texts, errors = batch_fn(pdf[list(fields)])
+                try:
+                    texts, errors = batch_fn(pdf[list(fields)])
+                except Exception as e:  # noqa: BLE001 - a failing batch fails its rows, not the task
+                    texts, errors = [None] * len(pdf), [_error_text(e)] * len(pdf)
             else:
                 texts, errors = [], []
                 for rec in pdf[list(fields)].to_dict("records"):
@@ -139,7 +142,10 @@ def map_model(
     model (text and error stay NULL).  ``memory`` (req_key, text) holds
     earlier successful answers that are reused instead of calling the model.
     """
-    req = with_task_params(requests).withColumn("req_key", request_key("task", "system", "prompt"))
+    if memory is not None:
+        memory = memory.select("req_key", "text").dropDuplicates(["req_key"])
+    key = F.when(F.col("prompt").isNotNull(), request_key("task", "system", "prompt"))  # no prompt, no request
+    req = with_task_params(requests).withColumn("req_key", key)
     todo = req.where(F.col("prompt").isNotNull()).select("req_key", *REQUEST_FIELDS).dropDuplicates(["req_key"])
     if memory is not None:
         todo = todo.join(memory.select("req_key"), "req_key", "left_anti")
@@ -149,7 +155,10 @@ def map_model(
             memory.select("req_key", "text", F.lit(None).cast("string").alias("error"))
         )
     drop = [c for c in ("temperature", "max_tokens", "top_p", "repeat_penalty", "seed") if c not in requests.columns]
-    return req.join(answers, "req_key", "left").drop(*drop)
+    # rows without a request match nothing; keys of their own keep them from meeting in one join task
+    own = F.coalesce(F.col("req_key"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    answers = answers.withColumnRenamed("req_key", "_key")
+    return req.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left").drop(*drop, "_own", "_key")
 
 
 def successful_answers(answered: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def _run(writer, timeout_s: int | None = None):
 
 def read_chat_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
     """Chat documents as a stream (partitioned ``chat_id=<id>/`` layout)."""
-    schema = T.StructType(C.CHAT_SCHEMA.fields + [T.StructField("chat_id", T.LongType())])
+    schema = T.StructType(C.CHAT_SCHEMA.fields + [T.StructField("chat_id", T.StringType())])
     return (
         spark.readStream.schema(schema)
         .option("multiLine", True)
@@ -46,7 +46,7 @@ def read_chat_stream(spark: SparkSession, path: str, max_files: int = 64) -> Dat
         .option("maxFilesPerTrigger", max_files)
         .json(path)
         .select(
-            F.col("chat_id").cast("string").alias("chat_id"),
+            "chat_id",
             F.when(F.col("_corrupt").isNull(), F.col("messages")).alias("messages"),
         )
     )
