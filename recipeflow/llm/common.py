@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python task turns into numpy arrays at a time.
-SEGMENT_CHARS = 1 << 19
+SEGMENT_CHARS = 1 << 18
 
 
 def id_bucket(doc_id: Column | str, buckets: int) -> Column:

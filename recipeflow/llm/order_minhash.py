@@ -141,7 +141,7 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
             at = 0
             while at < len(texts):  # about a megabyte of text at a time
                 upto, held = at, 0
-                while upto < len(texts) and (upto == at or held < 1 << 19):
+                while upto < len(texts) and (upto == at or held < 1 << 18):
                     held += len(texts[upto])
                     upto += 1
                 keys = sketcher.sketch(texts[at:upto])

@@ -55,7 +55,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
             at = 0
             while at < len(texts):  # some megabytes of text at a time
                 upto, held = at, 0
-                while upto < len(texts) and (upto == at or held < 1 << 20):
+                while upto < len(texts) and (upto == at or held < 1 << 18):
                     held += len(texts[upto] or "")
                     upto += 1
                 out = defaultdict(list)

@@ -39,7 +39,7 @@ class WordIds:
 
     _own: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, slots: int = 1 << 22):
+    def __init__(self, path: str, slots: int = 1 << 21):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         vocab = self.tokenizer.get_vocab()

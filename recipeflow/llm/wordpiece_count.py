@@ -193,7 +193,7 @@ class Counter:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def texts(self, texts: list[str | None], size: int = 1 << 19) -> np.ndarray:
+    def texts(self, texts: list[str | None], size: int = 1 << 18) -> np.ndarray:
         """Rows of (words, tokens, bytes)."""
         out = np.zeros((len(texts), 3), dtype=np.int64)
         held: list[tuple[int, bytes]] = []
