@@ -361,7 +361,8 @@ def resolve_pointer(pointers: DataFrame, chats: DataFrame) -> DataFrame:
     """
     ids = chats.select(F.col("chat_id").alias("_cid")).distinct()
     latest = chats.select(F.max("chat_id")).scalar()
-    pointers = pointers.withColumn("chat_id", F.nullif(F.col("chat_id"), F.lit("")))  # an empty pointer is none
+    named = F.when(F.col("chat_id").cast("string") != "", F.col("chat_id"))  # an empty pointer is none
+    pointers = pointers.withColumn("chat_id", named)
     j = pointers.join(ids, pointers["chat_id"] == ids["_cid"], "left")
     status = (
         F.when(F.col("chat_id").isNull(), F.lit("latest"))
