@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import boxed, code_points, column, lower_table, segments
+from recipeflow.llm.common import boxed, code_points, column, lean, lower_table, segments
 from recipeflow.session import stage
 
 #: Characters of items in one block (the tasks hold about 30 bytes for each).
@@ -287,7 +287,7 @@ def leaks(
                     [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["_id", "item_id", "start", "end", "edits"]
                 )
 
-        part = rows.mapInArrow(run, LEAKS)
+        part = rows.mapInArrow(lean(run), LEAKS)
         result = part if result is None else result.unionByName(part)
     return result.withColumnRenamed("_id", id_col)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import basic_plane, code_points, column, letter_table, lower_table, segments
+from recipeflow.llm.common import basic_plane, code_points, column, lean, letter_table, lower_table, segments
 from recipeflow.session import stage
 
 #: Bound of the texts that a language's n-grams are learned from, and of the languages (bits of a word).
@@ -127,7 +127,7 @@ def train(
                     kind, n = np.unique(got.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([str(name)] * len(kind)), "gram": kind, "n": n})
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = counts.where(F.col("n") >= least).select("lang", "gram").toPandas()  # of a bounded sample
     for i, name in enumerate(names):
         g = kept.gram[kept.lang == name].to_numpy().view(np.uint64)
@@ -183,5 +183,5 @@ def predict(docs: DataFrame, filters: Filters, doc_id: Column, text: Column) ->
     """(doc_id, lang_pred, score) for each row; the filters (``8 * slots`` bytes) are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     return docs.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("_text")).mapInArrow(
-        _predict(shared), PREDICTED
+        lean(_predict(shared)), PREDICTED
     )

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import boxed, code_points, column
+from recipeflow.llm.common import boxed, code_points, column, lean
 from recipeflow.session import stage
 
 SKETCHES, PICKED, WORDS, SIMILARITY = 16, 2, 5, 0.8
@@ -156,7 +156,7 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                 at = upto
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text_key(text).alias("digest"), text.cast("string").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, digest string, keys array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>")
 
 
 # ---------------------------------------------------------------- verification
@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
     )
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long, similarity double")
 
 
 # ---------------------------------------------------------------- candidates and classes

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import batch_of, column
+from recipeflow.llm.common import batch_of, column, lean
 from recipeflow.llm.word_ids import WordIds
 from recipeflow.session import stage
 
@@ -95,7 +95,7 @@ def token_pieces(
         F.monotonically_increasing_id().alias("_row"),
         F.col(text_col).cast("string").alias("_text"),
     )
-    return rows.mapInArrow(_cut(tokenizer, capacity, end_id, with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(lean(_cut(tokenizer, capacity, end_id, with_ids)), PIECES + (", ids binary" if with_ids else ""))
 
 
 # ---------------------------------------------------------------- planning on the histogram

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import column
+from recipeflow.llm.common import column, lean
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(
@@ -112,4 +112,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(span))], names=["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")
+    return rows.mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string,start:long,end:long,value:string>>")

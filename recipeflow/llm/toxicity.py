@@ -31,6 +31,7 @@ from recipeflow.llm.common import (
     boxed,
     code_points,
     column,
+    lean,
     letter_table,
     lower_table,
     segments,
@@ -341,7 +342,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
             )
 
     found = sample.select("toxic", "witness", "text").mapInArrow(
-        scan, "toxic int, witness long, exact double, near array<string>, weights array<double>"
+        lean(scan), "toxic int, witness long, exact double, near array<string>, weights array<double>"
     ).collect()  # a few numbers for each row of the bounded sample
     # Spellings that clean rows use are words of their own.  What the rest are worth is judged crosswise: each half of
     # the witnesses with the spellings spared by the other half.
@@ -383,4 +384,4 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
                 names=["_doc", "score", "matches"],
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import batch_of, column
+from recipeflow.llm.common import batch_of, column, lean
 
 #: Words up to this many bytes run side by side, longer ones alone.
 SIDE_BY_SIDE = 64
@@ -241,4 +241,4 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield batch_of(COUNTS, doc_id=batch.column(0), n_words=n[:, 0], n_tokens=n[:, 1], n_bytes=n[:, 2])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_bytes long")
+    return rows.mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long, n_bytes long")
