@@ -35,6 +35,8 @@ from recipeflow.llm.common import boxed, code_points, column, lean
 from recipeflow.session import stage
 
 SKETCHES, PICKED, WORDS, SIMILARITY = 16, 2, 5, 0.8
+#: Bits of a key bitmap: 4 MB whatever the number of keys.
+SLOTS = 1 << 25
 
 
 def text_key(text: Column) -> Column:
@@ -43,6 +45,30 @@ def text_key(text: Column) -> Column:
     return F.sha2(words, 256)
 
 
+# ---------------------------------------------------------------- key bitmaps
+
+
+def _slot(*key: Column) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)) + 1
+
+
+def key_bitmap(rows: DataFrame, *key: str) -> DataFrame:
+    """(bucket, bits): one bit for the hash of each ``key`` of ``rows``; at most ``SLOTS`` bits in all, so fit to broadcast."""
+    slot = _slot(*[F.col(c) for c in key])
+    return rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+
+
+def with_maybe(rows: DataFrame, bitmap: DataFrame, *key: Column) -> DataFrame:
+    """``rows`` with ``_maybe``: false where the key is surely none of the bitmap's.  Hashes may clash, so a join decides the others;
+    only they are shuffled."""
+    marked = rows.withColumn("_slot", _slot(*key))
+    marked = marked.withColumn("bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bitmap), "bucket", "left")
+    marked = marked.withColumn("_bit", F.bitmap_bit_position("_slot"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
+    return marked.withColumn("_maybe", hit).drop("_slot", "bucket", "bits", "_bit")
+
+
 # ---------------------------------------------------------------- sketches
 
 
@@ -319,6 +345,8 @@ def near_classes(
     )
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     own = own.withColumn("_digest", text_key(F.col("text")))
+    bitmap = stage(key_bitmap(wanted, "first_id", "digest"), "near-wanted-bits")
+    own = with_maybe(own, bitmap, F.col("_id"), F.col("_digest")).where("_maybe").drop("_maybe")
     texts = stage(
         own.join(wanted, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("first_id")))
         .select("node", "text")
@@ -361,7 +389,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     marked = boxed(docs, _id=F.col(id_col), _digest=text_key(F.col(text_col)))
     same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_digest") == F.col("_kdigest"))
-    out = marked.join(decided, same, "left_anti")
+    bitmap = stage(key_bitmap(decided, "_kid", "_kdigest"), "near-dropped-bits")
+    marked = with_maybe(marked, bitmap, F.col("_id").cast("long"), F.col("_digest"))
+    kept, marked = marked.where("not _maybe"), marked.where("_maybe")
+    out = kept.unionByName(marked.join(decided, same, "left_anti"))
     repeated = decided.where("_stays")
     if not repeated.isEmpty():
         out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["_id", "_digest"]))
