@@ -27,6 +27,10 @@ LOCAL_DEFAULTS = {
     "spark.driver.memory": "16g",
 }
 
+#: Bytes of rows that go to a Python worker at a time.  Spark's own default (64 MB) is held several times over, in
+#: the JVM's direct memory and in Arrow, Python and numpy form, by each of an executor's workers.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
 
 def get_spark(master: str | None = None, app_name: str = "recipeflow", **conf) -> SparkSession:
     """Return the active session, or build a local one with sane defaults."""
@@ -115,12 +119,15 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``recipeflow`` importable by Python workers, wherever the driver was
     started: the package's code is zipped once per application and distributed
-    with ``addPyFile`` (code only, some hundred KB; data never takes this route)."""
+    with ``addPyFile`` (code only, some hundred KB; data never takes this route).
+    Batches to the workers are kept small unless the application's settings size them."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
+    if not sc.getConf().contains(ARROW_BATCH[0]):
+        spark.conf.set(*ARROW_BATCH)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
     archive = os.path.join(tempfile.mkdtemp(prefix="recipeflow-pyfiles-"), "recipeflow.zip")
