@@ -136,17 +136,14 @@ def parse_recipe_primary(text) -> Column:
 
 
 def parse_recipe_fallback(text) -> Column:
-    """Bullets -> ingredients, other lines longer than 2 -> steps; 40/20 caps."""
+    """Bullets -> ingredients, other lines longer than 2 -> steps."""
     return _fallback(split_lines(text))
 
 
 def _fallback(lines: Column) -> Column:
     ing = F.transform(F.filter(lines, _is_bullet), _bullet_item)
     steps = F.filter(lines, lambda t: ~_is_bullet(t) & (F.char_length(t) > 2))
-    return F.struct(
-        F.slice(ing, 1, K.MAX_INGREDIENTS).alias("ingredients"),
-        F.slice(steps, 1, K.MAX_STEPS).alias("steps"),
-    )
+    return F.struct(ing.alias("ingredients"), steps.alias("steps"))
 
 
 def parse_recipe(text) -> Column:
@@ -185,11 +182,11 @@ def titles_text_or_default(text, error) -> Column:
     return F.when(col(error).isNotNull(), F.lit(K.DEFAULT_TITLES_TEXT)).otherwise(col(text))
 
 
-def with_recipe(df, text, out: str = "recipe", error: str | None = None, cap: bool = True):
+def with_recipe(df, text, out: str = "recipe", error: str | None = None, cap: bool = False):
     """Add ``out`` = parsed recipe (struct<ingredients, steps>) to ``df``.
 
     Staged projections: lines, primary fold, fallback choice, default on
-    error, caps.  Each stage is referenced more than once by the next and is
+    error, caps if asked for.  Each stage is referenced more than once by the next and is
     not cheap, so Catalyst keeps the projections apart and every
     higher-order function (interpreted, outside whole-stage codegen) runs
     exactly once per row.  Still a narrow plan: no exchange.

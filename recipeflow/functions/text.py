@@ -168,9 +168,11 @@ def normalize_query(text, lang) -> Column:
     )
 
 
-def looks_like_lang(text, code) -> Column:
-    """Script sniffing over the first 200 characters."""
-    t = F.substring(blank_to_empty(text), 1, K.SNIFF_PREFIX)
+def looks_like_lang(text, code, prefix: int | None = None) -> Column:
+    """Script sniffing over the whole text, or its first ``prefix`` characters."""
+    t = blank_to_empty(text)
+    if prefix is not None:
+        t = F.substring(t, 1, prefix)
     code = col(code)
     ja = F.regexp_count(t, F.lit(K.JA_CLASS))
     latin = F.regexp_count(t, F.lit(K.LATIN_LETTER_CLASS))

@@ -306,8 +306,8 @@ def _recipe_job_sql_fix():
     sql = ORACLE["recipe_job"]
     rr = (
         f"rr AS (SELECT a.title_id, a.title, a.code, a.failed, "
-        f"CASE WHEN a.failed THEN {_DEF_ING} ELSE list_slice(r.ingredients, 1, {K.MAX_INGREDIENTS}) END AS ing, "
-        f"CASE WHEN a.failed THEN {_DEF_STEPS} ELSE list_slice(r.steps, 1, {K.MAX_STEPS}) END AS steps "
+        f"CASE WHEN a.failed THEN {_DEF_ING} ELSE r.ingredients END AS ing, "
+        f"CASE WHEN a.failed THEN {_DEF_STEPS} ELSE r.steps END AS steps "
         f"FROM a JOIN r_rec r ON r.k = a.title_id)"
     )
     gate = f"NOT failed AND code <> 'en' AND {S.can_translate('code')}"

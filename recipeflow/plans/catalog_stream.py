@@ -17,14 +17,12 @@ from recipeflow.sources import views as V
 from recipeflow.sources.chats import chat_store
 from recipeflow.streaming import chat_stream as S
 
-TIMEOUT_S = 1800
-
 assert q_flatten_messages and q_latest_payload and q_upsert_filters
 
 
 @register("stream_messages", ORACLE["flatten_messages"], row="59")
 def q_stream_messages(spark, sf):
-    sink = S.stream_messages(spark, chat_store(spark, sf), timeout_s=TIMEOUT_S)
+    sink = S.stream_messages(spark, chat_store(spark, sf))
     m = spark.read.parquet(sink)
     return m.select(
         "chat_id", "seq", "role", "content", "ts_raw", F.col("meta.payload.recipe_detail.title").alias("recipe_title")
@@ -35,7 +33,7 @@ def q_stream_messages(spark, sf):
 def q_stream_latest_payload(spark, sf):
     msgs = V.v1_messages(spark, sf)
     path = S.stage_files(msgs, work_dir(spark, "message-events"), n_files=8, order="chat_id")
-    lp = S.stream_latest_payload(spark, path, msgs.schema, timeout_s=TIMEOUT_S)
+    lp = S.stream_latest_payload(spark, path, msgs.schema)
     d = F.col("recipe_detail")
     return lp.select(
         "chat_id",
@@ -51,7 +49,7 @@ def q_stream_latest_payload(spark, sf):
 def q_stream_latest_filters(spark, sf):
     fe = filter_events(spark, sf)
     path = S.stage_files(fe, work_dir(spark, "filter-events"), n_files=8, order="seq")
-    latest = S.stream_latest_filters(spark, path, fe.schema, timeout_s=TIMEOUT_S)
+    latest = S.stream_latest_filters(spark, path, fe.schema)
     chats = V.v1_messages(spark, sf).select("chat_id").distinct()
     u = chats.join(latest, "chat_id", "left").select(
         "chat_id", F.coalesce("health_filters", F.array().cast("array<string>")).alias("health_filters")

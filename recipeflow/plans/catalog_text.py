@@ -458,7 +458,7 @@ def q_parse_recipe_fallback(spark, sf):
     row="34",
 )
 def q_cap_recipe(spark, sf):
-    m = P.with_recipe(_mixed(spark, sf), "text", out="r")
+    m = P.with_recipe(_mixed(spark, sf), "text", out="r", cap=True)
     return _rec_out(m, "id", "r")
 
 

@@ -136,7 +136,7 @@ def normalize_query(text: str, lang: str) -> str:
 
 
 def looks_like_lang(text: str, code: str) -> str:
-    t = f"substring(coalesce({text}, ''), 1, {K.SNIFF_PREFIX})"
+    t = f"coalesce({text}, '')"
     ja = f"len(regexp_extract_all({t}, '{K.JA_CLASS}'))"
     lat = f"len(regexp_extract_all({t}, '{K.LATIN_LETTER_CLASS}'))"
     zk = f"len(regexp_extract_all({t}, '{K.ZH_KO_CLASS}'))"
@@ -222,8 +222,8 @@ def parse_recipe_ctes(src: str, key: str, text: str, prefix: str, fallback: bool
         f"{p}_p AS (SELECT {src}.{key} AS k, coalesce(g.ing, []::VARCHAR[]) AS ingredients, "
         f"coalesce(g.st, []::VARCHAR[]) AS steps FROM {src} LEFT JOIN {p}_g g ON g.k = {src}.{key})",
         f"{p}_f AS (SELECT {key} AS k, "
-        f"list_slice(list_transform(list_filter({split_lines(text, 'fl')}, lambda fl: {is_bullet('fl')}), lambda fl: {bullet_item('fl')}), 1, {K.MAX_INGREDIENTS}) AS ingredients, "
-        f"list_slice(list_filter({split_lines(text, 'fs')}, lambda fs: NOT {is_bullet('fs')} AND length(fs) > 2), 1, {K.MAX_STEPS}) AS steps FROM {src})",
+        f"list_transform(list_filter({split_lines(text, 'fl')}, lambda fl: {is_bullet('fl')}), lambda fl: {bullet_item('fl')}) AS ingredients, "
+        f"list_filter({split_lines(text, 'fs')}, lambda fs: NOT {is_bullet('fs')} AND length(fs) > 2) AS steps FROM {src})",
     ]
     if primary and fallback:
         ctes.append(
