@@ -102,7 +102,10 @@ def translate_texts(
                 ["mt_key"]
             )
         )
-    j = base.join(answers, "mt_key", "left")
+    # rows without a request match nothing; keys of their own keep them from meeting in one join task
+    own = F.coalesce(F.col("mt_key"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    answers = answers.withColumnRenamed("mt_key", "_key")
+    j = base.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left")
     return j.select(
         *[F.col(c) for c in df.columns],
         F.when(F.col("_go"), F.col("translated")).otherwise(col(text)).alias(out),
