@@ -59,6 +59,64 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("_doc.page_id", "host", "path", "rule", "verdict")
 
 
+def _rule_sql(value: str) -> str:
+    fits = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, value)}'"
+        for r in sorted(URL_RULES, key=lambda r: -len(r.pattern))
+    ]
+    return "CASE " + " ".join(fits) + " END"
+
+
+def _strength_sql(level: str) -> str:
+    """Prior strength of a level by moments, between 1 and 1000."""
+    return f"""SELECT CASE WHEN coalesce(extra, 0) = 0 THEN 1.0 WHEN (spread - noise) / extra <= 1 / 1001.0 THEN 1000.0
+         ELSE greatest(1.0, extra / (spread - noise) - 1) END AS s
+  FROM (SELECT sum((k - n * p) ** 2) AS spread, sum(n * p * (1 - p)) AS noise, sum(n * (n - 1) * p * (1 - p)) AS extra
+        FROM {level} WHERE n > 0)"""
+
+
+_COMPOUND_SQL = ", ".join(f"'{s}'" for s in url_reputation.COMPOUND_SUFFIXES)
+
+ORACLE["op1_url_reputation"] = f"""
+WITH seen AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, {_rule_sql("pattern")} AS rule, {_rule_sql("verdict")} AS ruling FROM seen
+), counted AS (
+  SELECT host, string_split(host, '.') AS labels, CAST(count(ruling) AS DOUBLE) AS n,
+         CAST(count(*) FILTER (WHERE ruling = 'allow') AS DOUBLE) AS k
+  FROM ruled GROUP BY host
+), named AS (
+  SELECT host, n, k, array_to_string(labels[-2:], '.') AS two, array_to_string(labels[-3:], '.') AS three, labels[-1] AS one FROM counted
+), hosts AS (
+  SELECT host, n, k, CASE WHEN two IN ({_COMPOUND_SQL}) THEN three ELSE two END AS domain,
+         CASE WHEN two IN ({_COMPOUND_SQL}) THEN two ELSE one END AS suffix
+  FROM named
+), overall AS (
+  SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS rate FROM hosts
+), suffix0 AS (
+  SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(rate) AS p FROM hosts, overall GROUP BY suffix
+), suffix1 AS (
+  SELECT suffix, (k + s * p) / (n + s) AS mean FROM suffix0, ({_strength_sql("suffix0")})
+), domain0 AS (
+  SELECT domain, sum(n) AS n, sum(k) AS k, any_value(mean) AS p FROM hosts JOIN suffix1 USING (suffix) GROUP BY domain
+), domain1 AS (
+  SELECT domain, (k + s * p) / (n + s) AS mean FROM domain0, ({_strength_sql("domain0")})
+), host0 AS (
+  SELECT host, n, k, mean AS p FROM hosts JOIN domain1 USING (domain)
+), host1 AS (
+  SELECT host, n + s AS weight, (k + s * p) / (n + s) AS mean FROM host0, ({_strength_sql("host0")})
+)
+SELECT page_id, host, path, rule,
+       coalesce(ruling, CASE WHEN greatest(0, mean - 1.64 * sqrt(mean * (1 - mean) / (weight + 1))) >= 0.5 * rate THEN 'allow' ELSE 'block' END)
+         AS verdict
+FROM ruled JOIN host1 USING (host), overall
+"""
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents", "doc_id", "text")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -19,6 +20,7 @@ from recipeflow.llm import (
     langid,
     order_minhash,
     pattern_packing,
+    queries,
     secret_scan,
     toxicity,
     url_reputation,
@@ -28,6 +30,7 @@ from recipeflow.llm import (
 from recipeflow.llm.word_ids import WordIds
 from recipeflow.session import ship_package, work_dir
 
+SMALL = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORDS = "the of and river stone light walk house green seven quiet order paper north until water again field small".split()
 
@@ -140,6 +143,23 @@ def test_near_classes(spark):
     assert order_minhash.near_classes(table.where("false")).count() == 0
 
 
+def test_near_classes_do_not_depend_on_the_partitioning(spark):
+    ship_package(spark)
+    rng = random.Random(9)
+    base = prose(77, 90).split()
+    rows = [(i, " ".join(mutated(base, rng.randint(0, 24), rng, WORDS))) for i in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for partitions in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = order_minhash.near_classes(table.repartition(int(partitions))).collect()
+            seen.add(tuple(sorted((r["doc_id"], r["class_id"], r["class_size"], r["n_links"]) for r in got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+
+
 def test_components(spark):
     links = {(i, i + 1) for i in range(100, 160)} | {(1, 5), (5, 9), (2, 3)}
     got = {r["node"]: r["label"] for r in order_minhash.components(spark.createDataFrame(list(links), "a long, b long")).collect()}
@@ -380,3 +400,15 @@ def test_url_rules_and_reputation(spark):
     # shrinking: a host without outcomes stands where its domain stands
     assert got[600]["mean"] < 0.2 < 0.8 < got[601]["mean"]
     assert url_reputation.judge_urls(table.where("false"), F.col("host"), rules).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql_twins(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    want = con.execute(queries.ORACLE[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SMALL)
+    assert set(got.columns) == set(columns)
+    assert collections.Counter(map(tuple, got.select(*columns).collect())) == collections.Counter(want.fetchall())
