@@ -335,6 +335,7 @@ def near_classes(
     nodes = stage(
         rows.groupBy("digest")
         .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+        .orderBy("digest")  # nodes are numbered in digest order, so the links don't depend on the partitioning
         .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
