@@ -31,7 +31,12 @@ def split_lines(text) -> Column:
 
 def split_item_list(text) -> Column:
     """'a, ,b' -> ['a', 'b'] (comma list, trimmed, blanks dropped)."""
-    return F.filter(F.transform(F.split(blank_to_empty(text), ","), strip), lambda x: x != "")
+    return clean_items(F.split(blank_to_empty(text), ","))
+
+
+def clean_items(items) -> Column:
+    """Items of an array, trimmed, NULLs and blanks dropped; a NULL array is empty."""
+    return F.filter(F.transform(F.coalesce(col(items), empty_array()), strip), lambda x: x != "")
 
 
 def top_n(arr, n: int) -> Column:
@@ -55,11 +60,11 @@ def _clean_title(s: Column) -> Column:
     return F.btrim(s, F.lit(' "“”'))
 
 
-def extract_titles(text, limit: int = K.MAX_TITLES) -> Column:
-    """Recipe titles from a bulleted answer: at most ``limit``, in order."""
+def extract_titles(text, limit: int | None = None) -> Column:
+    """Recipe titles from a bulleted answer, in order; all of them unless a ``limit`` is given."""
     pieces = F.flatten(F.transform(split_lines(text), _split_inline_bullets))
     titles = F.filter(F.transform(pieces, _clean_title), lambda x: x != "")
-    return F.slice(titles, 1, limit)
+    return titles if limit is None else F.slice(titles, 1, limit)
 
 
 # --------------------------------------------------------------------------

@@ -119,38 +119,41 @@ def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> D
     )
 
 
+LINE_SCHEMA = "chat_id string, document string"
+
+
 def scan_chat_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Read a chat store in the scale layout: JSON Lines, many chats per file,
-    each document carrying its own ``chat_id`` (splittable, no small files).
+    """Read a chat store in the scale layout: JSON Lines, many chats per file
+    (splittable, no small files).  A line holds ``chat_id`` and the ``document``
+    as a string, so a corrupt document keeps its chat.
 
-    Same output as :func:`scan_chats`.  A corrupt line keeps no identity, so
-    its ``chat_id`` is NULL and ``corrupt`` is true.
+    Same output as :func:`scan_chats`.
     """
-    schema = T.StructType([T.StructField("chat_id", T.StringType())] + CHAT_SCHEMA.fields)
-    df = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    ok = F.col("_corrupt").isNull()
-    chat_id = F.when(ok, F.col("chat_id"))
+    return chats_of_lines(spark.read.schema(LINE_SCHEMA).json(path).select("*", F.col("_metadata.file_path").alias("path")))
+
+
+def chats_of_lines(lines: DataFrame) -> DataFrame:
+    """Chat rows of (chat_id, document[, path]) lines, read from a batch or a stream."""
+    parsed = F.from_json("document", CHAT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    df = lines.withColumn("_d", parsed)
+    # an empty document parses to NULL without a corrupt record
+    ok = F.col("_d").isNotNull() & F.col("_d._corrupt").isNull()
     return df.select(
-        chat_id.alias("chat_id"),
-        F.coalesce(F.nullif(F.col("title"), F.lit("")), chat_id).alias("title"),
-        F.when(ok, F.col("messages")).alias("messages"),
-        F.col("health_filters"),
-        F.col("schema_version"),
-        F.col("created_at"),
-        F.col("last_payload"),
+        "chat_id",
+        F.coalesce(F.nullif(F.col("_d.title"), F.lit("")), F.col("chat_id")).alias("title"),
+        F.when(ok, F.col("_d.messages")).alias("messages"),
+        F.col("_d.health_filters"),
+        F.col("_d.schema_version"),
+        F.col("_d.created_at"),
+        F.col("_d.last_payload"),
         (~ok).alias("corrupt"),
-        F.col("_metadata.file_path").alias("path"),
+        *[c for c in ("path",) if c in lines.columns],
     )
 
 
 def list_chats(chats: DataFrame) -> DataFrame:
-    """(chat_id, title, path) in file-name order (a range-partitioned sort)."""
-    return chats.select("chat_id", "title", "path").orderBy("path")
+    """(chat_id, title, path) in file-name order, then by chat (a range-partitioned sort)."""
+    return chats.select("chat_id", "title", "path").orderBy("path", "chat_id")
 
 
 # --------------------------------------------------------------------------
@@ -304,6 +307,14 @@ def history(messages: DataFrame, chat_ids: DataFrame | None = None) -> DataFrame
 # --------------------------------------------------------------------------
 
 
+def filled_payload(messages: DataFrame, payload: Column) -> Column:
+    """Whether the struct ``payload`` has a field that is not NULL: an empty object is no payload."""
+    filled = F.lit(False)
+    for f in messages.select(payload.alias("p")).schema["p"].dataType.fieldNames():
+        filled = filled | payload[f].isNotNull()
+    return payload.isNotNull() & filled
+
+
 def latest_payload(messages: DataFrame, kind: str = "recipe_detail") -> DataFrame:
     """Per chat, the newest message carrying ``meta.payload.<kind>``.
 
@@ -311,11 +322,8 @@ def latest_payload(messages: DataFrame, kind: str = "recipe_detail") -> DataFram
     ``max_by`` is a partial aggregate: skew-safe.
     """
     p = F.col("meta.payload." + kind)
-    filled = F.lit(False)
-    for f in messages.select(p.alias("p")).schema["p"].dataType.fieldNames():
-        filled = filled | p[f].isNotNull()  # an empty object is no payload
     return (
-        messages.where(p.isNotNull() & filled)
+        messages.where(filled_payload(messages, p))
         .groupBy("chat_id")
         .agg(F.max_by(F.struct(F.col("seq"), p.alias("payload")), F.col("seq")).alias("_l"))
         .select("chat_id", F.col("_l.seq").alias("seq"), F.col("_l.payload").alias(kind))

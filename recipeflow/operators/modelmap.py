@@ -15,7 +15,7 @@ Plan (and why)
 --------------
 1. ``req_key = sha2(task | system | prompt)`` - a fixed-width key; the wide
    prompt text travels through an exchange only once.
-2. ``dropDuplicates([req_key])`` - partial aggregation collapses duplicate
+2. ``distinct`` over key and fields - a hash aggregate that collapses duplicate
    prompts map-side, so a prompt repeated by a third of all rows costs one
    row per map task (skew-safe).
 3. optional ``left_anti`` against a memory table of earlier answers.
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.operators.lookup import with_task_params
-from recipeflow.session import work_dir
+from recipeflow.session import read_table_if_any, work_dir
 
 KEY_SEP = "\u001f"
 ANSWER_SCHEMA = "req_key string, text string, error string"
@@ -106,9 +106,12 @@ def materialize(df: DataFrame, enabled: bool = True) -> DataFrame:
 
 
 def distinct_requests(requests: DataFrame, fields=("task", "system", "prompt")) -> DataFrame:
-    """One row per distinct request key (with the fields needed to answer it)."""
-    keyed = requests.withColumn("req_key", request_key(*fields))
-    return keyed.dropDuplicates(["req_key"])
+    """One row per distinct request key, with the fields it is made of.
+
+    The key fixes the fields (NULL reads as empty, as in the key), so a plain
+    ``distinct`` does: a hash aggregate, where a first() per key would sort whole prompts.
+    """
+    return requests.select(request_key(*fields).alias("req_key"), *[F.coalesce(c, F.lit("")).alias(c) for c in fields]).distinct()
 
 
 def answer_requests(
@@ -134,6 +137,7 @@ def map_model(
     memory: DataFrame | None = None,
     partitions: int | None = None,
     checkpoint: bool = True,
+    memory_path: str | None = None,
 ) -> DataFrame:
     """Answer every request row: adds ``req_key``, ``text``, ``error``.
 
@@ -141,24 +145,35 @@ def map_model(
     come from the task table.  Rows whose prompt is NULL are not sent to the
     model (text and error stay NULL).  ``memory`` (req_key, text) holds
     earlier successful answers that are reused instead of calling the model.
+    ``memory_path`` names such a table in shared storage: what it holds is
+    reused, and new successful answers are appended to it.
     """
+    memory = with_stored(requests.sparkSession, memory, memory_path, "req_key", "text")
     if memory is not None:
         memory = memory.select("req_key", "text").dropDuplicates(["req_key"])
     key = F.when(F.col("prompt").isNotNull(), request_key("task", "system", "prompt"))  # no prompt, no request
-    req = with_task_params(requests).withColumn("req_key", key)
-    todo = req.where(F.col("prompt").isNotNull()).select("req_key", *REQUEST_FIELDS).dropDuplicates(["req_key"])
+    req = requests.withColumn("req_key", key)
+    todo = with_task_params(distinct_requests(requests.where(F.col("prompt").isNotNull()).select("task", "system", "prompt")))
     if memory is not None:
         todo = todo.join(memory.select("req_key"), "req_key", "left_anti")
     answers = answer_requests(todo, model_factory, REQUEST_FIELDS, partitions, checkpoint)
+    if memory_path is not None:
+        successful_answers(answers).write.mode("append").parquet(memory_path)
     if memory is not None:
         answers = answers.unionByName(
             memory.select("req_key", "text", F.lit(None).cast("string").alias("error"))
         )
-    drop = [c for c in ("temperature", "max_tokens", "top_p", "repeat_penalty", "seed") if c not in requests.columns]
     # rows without a request match nothing; keys of their own keep them from meeting in one join task
     own = F.coalesce(F.col("req_key"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     answers = answers.withColumnRenamed("req_key", "_key")
-    return req.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left").drop(*drop, "_own", "_key")
+    return req.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+
+
+def with_stored(spark, memory: DataFrame | None, path: str | None, *cols: str) -> DataFrame | None:
+    """The rows of ``memory`` and of the memory table at ``path``, whichever there are."""
+    stored = read_table_if_any(spark, path) if path is not None else None
+    tables = [t.select(*cols) for t in (memory, stored) if t is not None]
+    return tables[0].unionByName(tables[1]) if len(tables) == 2 else tables[0] if tables else None
 
 
 def successful_answers(answered: DataFrame) -> DataFrame:

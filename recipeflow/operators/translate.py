@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.functions.text import blank_to_empty, can_translate, col, normalize_query, safe_lang_code, strip
-from recipeflow.operators.modelmap import KEY_SEP, materialize, run_model_batches
+from recipeflow.operators.modelmap import KEY_SEP, materialize, run_model_batches, with_stored
 
 MEMORY_SCHEMA = "mt_key string, text string, src string, tgt string, translated string"
 
@@ -68,13 +68,17 @@ def translate_texts(
     gate: bool = True,
     partitions: int | None = None,
     checkpoint: bool = True,
+    memory_path: str | None = None,
 ) -> DataFrame:
     """Adds ``out`` (translation, or the text when not translatable), ``out_error``
     (the model's error, NULL otherwise) and ``out_called`` (model consulted).
 
     With ``gate=False`` (raw mode) every row with non-blank text goes to the
-    model, codes are used as given and a missing source means 'en'.
+    model, codes are used as given and a missing source means 'en'.  ``memory_path``
+    names a memory table in shared storage: it is read, and new successful
+    translations are appended to it.
     """
+    memory = with_stored(df.sparkSession, memory, memory_path, "mt_key", "translated")
     if gate:
         s_code, t_code = safe_lang_code(src), safe_lang_code(tgt)
         go = can_translate(t_code) & can_translate(s_code)
@@ -90,12 +94,15 @@ def translate_texts(
     )
     todo = (
         base.where(F.col("_go"))
-        .select("mt_key", col(text).alias("text"), F.col("_src").alias("src"), F.col("_tgt").alias("tgt"))
-        .dropDuplicates(["mt_key"])
+        .select("mt_key", blank_to_empty(col(text)).alias("text"), F.col("_src").alias("src"), F.col("_tgt").alias("tgt"))
+        .distinct()  # the key fixes the fields
     )
     if memory is not None:
         todo = todo.join(memory.select("mt_key"), "mt_key", "left_anti")
     answers = _answer(todo, translator_factory, partitions, checkpoint)
+    if memory_path is not None:
+        good = answers.where(F.col("mt_error").isNull() & F.col("translated").isNotNull())
+        good.select("mt_key", "translated").write.mode("append").parquet(memory_path)
     if memory is not None:
         answers = answers.unionByName(
             memory.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error")).dropDuplicates(

@@ -16,7 +16,7 @@ from recipeflow.sources.tables import load
 
 
 def stored_chats(spark, sf):
-    return C.scan_chats(spark, chat_store(spark, sf), glob=None)
+    return C.scan_chat_lines(spark, chat_store(spark, sf))
 
 
 # SQL twin of the derived store: one row per conversation
@@ -97,7 +97,8 @@ def q_new_chat_rows(spark, sf):
 @register(
     "append_messages",
     with_views(
-        """SELECT e.user_id AS chat_id, e.event_id,
+        """SELECT e.user_id AS chat_id, e.event_id, 'user' AS role, e.event_type || ' ' || e.props AS content,
+             CASE WHEN e.event_id % 2 = 0 THEN e.props END AS payload_json,
              CAST(coalesce(m.last, -1) + row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id) AS BIGINT) AS seq
            FROM events e LEFT JOIN (SELECT chat_id, max(seq) AS last FROM v1 GROUP BY chat_id) m ON m.chat_id = e.user_id""",
         "v1",
@@ -106,14 +107,16 @@ def q_new_chat_rows(spark, sf):
 )
 def q_append_messages(spark, sf):
     msgs = V.v1_messages(spark, sf)
-    e = load(spark, sf, "events", "event_id", "user_id", "event_type")
+    e = load(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     new = e.select(
         F.col("user_id").alias("chat_id"),
         "event_id",
         F.lit("user").alias("role"),
-        F.col("event_type").alias("content"),
+        F.concat("event_type", F.lit(" "), "props").alias("content"),
+        F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("payload_json"),
     )
-    return C.append_messages(msgs, new, order_by="event_id").select("chat_id", "event_id", "seq")
+    out = C.append_messages(msgs, new, order_by="event_id")
+    return out.select("chat_id", "event_id", "seq", "role", "content", "payload_json")
 
 
 @register(

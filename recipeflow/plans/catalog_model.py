@@ -24,6 +24,7 @@ from recipeflow.sources import views as V
 from recipeflow.sources.tables import load
 
 GEN = StubGenerator()
+_CODE_OK = S.can_translate("code")
 _RAW_STRIPPED = S.strip("coalesce(raw, '')")
 _TITLE_STRIPPED = S.strip("coalesce(title, '')")
 TR = StubTranslator()
@@ -33,11 +34,12 @@ def _parse_block(src: str, key: str, text: str, prefix: str = "r") -> str:
     return S.parse_recipe_ctes(src, key, text, prefix)
 
 
-def _q(sql: str, *views: str, extra=None, parse=None) -> str:
-    """``with_views`` plus an optional parse CTE block placed after ``extra``."""
+def _q(sql: str, *views: str, extra=None, parse=None, after=()) -> str:
+    """``with_views`` plus an optional parse CTE block placed after ``extra``, and CTEs ``after`` it."""
     ex = list(extra or [])
     if parse is not None:
         ex.append(("__p", "SELECT 1"))
+    ex += after
     out = with_views(sql, *views, extra=ex)
     if parse is not None:
         out = out.replace("__p AS (SELECT 1)", _parse_block(*parse))
@@ -59,6 +61,25 @@ def q_map_model(spark, sf):
     return r.select("request_id", "task", "text", "error")
 
 
+@register(
+    "map_model_memory",
+    _q(
+        f"SELECT request_id, task, CASE WHEN EXISTS (SELECT 1 FROM v9 m WHERE m.request_id % 3 = 0 AND m.task = v9.task AND m.system = v9.system "
+        f"AND m.prompt = v9.prompt) THEN '{{mem}}' || task "
+        f"WHEN NOT {S.stub_fails('prompt')} THEN {S.stub_generate('task', 'prompt')} END AS text FROM v9",
+        "v9",
+    ),
+    row="43",
+)
+def q_map_model_memory(spark, sf):
+    """Earlier answers are reused; the memory holds some of them twice."""
+    req = V.v9_requests(spark, sf)
+    old = req.where(F.col("request_id") % 3 == 0).select(
+        M.request_key("task", "system", "prompt").alias("req_key"), F.concat(F.lit("{mem}"), "task").alias("text")
+    )
+    return M.map_model(req, GEN, memory=old.unionByName(old)).select("request_id", "task", "text")
+
+
 @register(
     "distinct_requests",
     _q(
@@ -196,7 +217,7 @@ _EXPLODED_TITLES_SQL = (
 )
 def q_back_translate_title(spark, sf):
     t = V.v2_title_answers(spark, sf).select("answer_id", P.extract_titles("text").alias("titles"))
-    e = C.explode_titles(t, "answer_id").withColumn("lang", probe_code("answer_id"))
+    e = M.materialize(C.explode_titles(t, "answer_id").withColumn("lang", probe_code("answer_id")))
     r = T.back_translate_title(e, "title", "lang", TR)
     return r.select("answer_id", "rank", "title_en")
 
@@ -219,6 +240,14 @@ def q_query_to_english(spark, sf):
 
 
 # ------------------------------------------------------------ jobs (55-58)
+def _logged(key: str, chat: str, rows: str) -> str:
+    """Message rows (key, turn, role, content) at the next positions of chat ``chat`` in the log v1."""
+    return f"""SELECT {key}, m.chat_id, role, content,
+             CAST(coalesce(l.last, -1) + row_number() OVER (PARTITION BY m.chat_id ORDER BY {key}, turn) AS BIGINT) AS seq
+           FROM (SELECT *, {chat} AS chat_id FROM ({rows})) m
+           LEFT JOIN (SELECT chat_id, max(seq) AS last FROM v1 GROUP BY chat_id) l ON l.chat_id = m.chat_id"""
+
+
 def _tr_list(arr: str, code: str, gate: str) -> str:
     return (
         f"CASE WHEN {gate} THEN list_transform({arr}, lambda ix: CASE WHEN {S.stub_translate_fails(chr(39) + 'en' + chr(39), code)} "
@@ -229,8 +258,13 @@ def _tr_list(arr: str, code: str, gate: str) -> str:
 @register(
     "suggest_job",
     _q(
-        f"""SELECT query_id, CAST(0 AS BIGINT) AS seq, 'user' AS role, raw AS content FROM tl
-           UNION ALL SELECT query_id, CAST(1 AS BIGINT) AS seq, 'assistant' AS role, {S.render_titles('titles')} AS content FROM tl""",
+        _logged(
+            "query_id",
+            "query_id // 5",
+            f"""SELECT query_id, 0 AS turn, 'user' AS role, raw AS content FROM tl
+           UNION ALL SELECT query_id, 1 AS turn, 'assistant' AS role, {S.render_titles('titles')} AS content FROM tl""",
+        ),
+        "v1",
         "v4",
         extra=[
             ("q", f"SELECT query_id, {_RAW_STRIPPED} AS raw, {S.safe_lang('display_lang')} AS code FROM v4"),
@@ -243,38 +277,56 @@ def _tr_list(arr: str, code: str, gate: str) -> str:
             ("t", f"SELECT query_id, raw, code, {S.extract_titles('text_en')} AS titles FROM a"),
             (
                 "tl",
-                f"SELECT query_id, raw, {_tr_list('titles', 'code', f'code <> {chr(39)}en{chr(39)} AND {S.can_translate(chr(99) + chr(111) + chr(100) + chr(101))}')} AS titles FROM t",
+                f"SELECT query_id, raw, {_tr_list('titles', 'code', f'code <> {chr(39)}en{chr(39)} AND {_CODE_OK}')} AS titles FROM t",
             ),
         ],
     ),
     row="55",
 )
 def q_suggest_job(spark, sf):
-    out = J.suggest_job(V.v4_queries(spark, sf), GEN, TR)
-    return out.select("query_id", "seq", "role", "content")
+    queries = V.v4_queries(spark, sf).withColumn("chat_id", F.floor(F.col("query_id") / 5))
+    out = J.suggest_job(queries, GEN, TR, log=V.v1_messages(spark, sf))
+    return out.select("query_id", "chat_id", "seq", "role", "content")
 
 
 def job_titles(spark, sf):
     t = V.v2_title_answers(spark, sf).select("answer_id", P.extract_titles("text").alias("titles"))
     e = C.explode_titles(t, "answer_id")
     return e.select(
-        (F.col("answer_id") * 10 + F.col("rank")).alias("title_id"), "title", probe_code("answer_id").alias("display_lang")
+        F.concat_ws("-", "answer_id", "rank").alias("title_id"),
+        F.floor(F.col("answer_id") / 50).alias("chat_id"),
+        "title",
+        probe_code("answer_id").alias("display_lang"),
     )
 
 
 _DEF_ING = S.str_list(K.DEFAULT_INGREDIENTS)
 _DEF_STEPS = S.str_list(K.DEFAULT_STEPS)
+_RECIPES_SQL = (
+    f"SELECT a.title_id, a.title, a.code, a.failed, CASE WHEN a.failed THEN {_DEF_ING} ELSE r.ingredients END AS ing, "
+    f"CASE WHEN a.failed THEN {_DEF_STEPS} ELSE r.steps END AS steps FROM a JOIN r_rec r ON r.k = a.title_id"
+)
+_RECIPE_GATE = f"NOT failed AND code <> 'en' AND {_CODE_OK}"
+_TRANSLATED_SQL = (
+    f"SELECT title_id, title, code, {_tr_list('ing', 'code', _RECIPE_GATE)} AS ing, "
+    f"{_tr_list('steps', 'code', _RECIPE_GATE)} AS steps FROM rr"
+)
 
 
 @register(
     "recipe_job",
     _q(
-        f"""SELECT title_id, CAST(0 AS BIGINT) AS seq, 'user' AS role, {S.lit(K.SELECTED_RECIPE_PREFIX)} || title AS content FROM tr
-           UNION ALL SELECT title_id, CAST(1 AS BIGINT) AS seq, 'assistant' AS role, {S.render_recipe('ing', 'steps', 'code')} AS content FROM tr""",
+        _logged(
+            "title_id",
+            "CAST(split_part(title_id, '-', 1) AS BIGINT) // 50",
+            f"""SELECT title_id, 0 AS turn, 'user' AS role, {S.lit(K.SELECTED_RECIPE_PREFIX)} || title AS content FROM tr
+           UNION ALL SELECT title_id, 1 AS turn, 'assistant' AS role, {S.render_recipe('ing', 'steps', 'code')} AS content FROM tr""",
+        ),
+        "v1",
         "v2",
         extra=[
             ("et", _EXPLODED_TITLES_SQL),
-            ("ti", f"SELECT answer_id * 10 + rank AS title_id, title, {probe_sql('answer_id')} AS display_lang FROM et"),
+            ("ti", f"SELECT answer_id || '-' || rank AS title_id, title, {probe_sql('answer_id')} AS display_lang FROM et"),
             ("t0", f"SELECT title_id, {_TITLE_STRIPPED} AS title, {S.safe_lang('display_lang')} AS code FROM ti"),
             (
                 "be",
@@ -288,38 +340,13 @@ _DEF_STEPS = S.str_list(K.DEFAULT_STEPS)
             ),
         ],
         parse=("a", "title_id", "text", "r"),
-    ).replace(
-        "SELECT title_id, CAST(0 AS BIGINT)",
-        "SELECT title_id, CAST(0 AS BIGINT)",
+        after=[("rr", _RECIPES_SQL), ("tr", _TRANSLATED_SQL)],
     ),
     row="56",
 )
 def q_recipe_job(spark, sf):
-    out = J.recipe_job(job_titles(spark, sf), GEN, TR)
-    return out.select("title_id", "seq", "role", "content")
-
-
-def _recipe_job_sql_fix():
-    """Insert the post-parse CTEs (rr, tr) after the parse block."""
-    from recipeflow.plans.registry import ORACLE
-
-    sql = ORACLE["recipe_job"]
-    rr = (
-        f"rr AS (SELECT a.title_id, a.title, a.code, a.failed, "
-        f"CASE WHEN a.failed THEN {_DEF_ING} ELSE r.ingredients END AS ing, "
-        f"CASE WHEN a.failed THEN {_DEF_STEPS} ELSE r.steps END AS steps "
-        f"FROM a JOIN r_rec r ON r.k = a.title_id)"
-    )
-    gate = f"NOT failed AND code <> 'en' AND {S.can_translate('code')}"
-    tr = (
-        f"tr AS (SELECT title_id, title, code, {_tr_list('ing', 'code', gate)} AS ing, "
-        f"{_tr_list('steps', 'code', gate)} AS steps FROM rr)"
-    )
-    head, sep, tail = sql.rpartition("\nSELECT title_id, CAST(0 AS BIGINT)")
-    ORACLE["recipe_job"] = head + ",\n" + rr + ",\n" + tr + sep + tail
-
-
-_recipe_job_sql_fix()
+    out = J.recipe_job(job_titles(spark, sf), GEN, TR, log=V.v1_messages(spark, sf))
+    return out.select("title_id", "chat_id", "seq", "role", "content")
 
 
 @register(
@@ -350,9 +377,10 @@ FROM v1 WHERE has_recipe GROUP BY chat_id"""
 @register(
     "health_job",
     _q(
-        f"""SELECT chat_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+        f"""SELECT tr.chat_id, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status,
+               CASE WHEN NOT failed THEN (SELECT max(v1.seq) + 1 FROM v1 WHERE v1.chat_id = tr.chat_id) END AS seq,
                CASE WHEN NOT failed THEN {S.check_block('title', 'text_loc')} END AS content FROM tr
-           UNION ALL SELECT chat_id, 'rejected' AS status, NULL AS content FROM lt WHERE NOT (len(ing) > 0 OR len(steps) > 0)""",
+           UNION ALL SELECT chat_id, 'rejected' AS status, NULL AS seq, NULL AS content FROM lt WHERE NOT (len(ing) > 0 OR len(steps) > 0)""",
         "v1",
         "v5",
         extra=[
@@ -385,8 +413,13 @@ def q_health_job(spark, sf):
     filters = C.upsert_filters(filter_events(spark, sf), chats)
     langs = chats.select("chat_id", probe_code("chat_id").alias("display_lang"))
     checks, rejected = J.health_job(msgs, filters, langs, GEN, TR)
-    return checks.select("chat_id", "status", "content").unionByName(
-        rejected.select("chat_id", F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("content"))
+    return checks.select("chat_id", "status", "seq", "content").unionByName(
+        rejected.select(
+            "chat_id",
+            F.lit("rejected").alias("status"),
+            F.lit(None).cast("bigint").alias("seq"),
+            F.lit(None).cast("string").alias("content"),
+        )
     )
 
 

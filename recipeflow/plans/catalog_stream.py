@@ -22,7 +22,7 @@ assert q_flatten_messages and q_latest_payload and q_upsert_filters
 
 @register("stream_messages", ORACLE["flatten_messages"], row="59")
 def q_stream_messages(spark, sf):
-    sink = S.stream_messages(spark, chat_store(spark, sf))
+    sink = S.stream_messages(spark, chat_store(spark, sf), lines=True)
     m = spark.read.parquet(sink)
     return m.select(
         "chat_id", "seq", "role", "content", "ts_raw", F.col("meta.payload.recipe_detail.title").alias("recipe_title")

@@ -368,6 +368,20 @@ def q_extract_titles(spark, sf):
     return t.select("answer_id", F.size("t").cast("bigint").alias("n_titles"), F.array_join("t", "\n").alias("titles"))
 
 
+@register(
+    "extract_titles_limited",
+    with_views(
+        f"SELECT answer_id, array_to_string({S.extract_titles('text', K.MAX_TITLES)}, {S.NL}) AS titles FROM v2",
+        "v2",
+    ),
+    row="30",
+)
+def q_extract_titles_limited(spark, sf):
+    """The application's own limit of titles, asked for."""
+    t = V.v2_title_answers(spark, sf)
+    return t.select("answer_id", F.array_join(P.extract_titles("text", K.MAX_TITLES), "\n").alias("titles"))
+
+
 @register(
     "explode_titles",
     with_views(
@@ -541,12 +555,17 @@ def q_render_recipe(spark, sf):
 
 
 # -------------------------------------------------------------- prompts (40)
+_PROMPT_FILTERS_SQL = "CASE WHEN k % 2 = 0 THEN ['Vegan', 'Nut-free']::VARCHAR[] ELSE []::VARCHAR[] END"
+
+
 @register(
     "build_prompts",
     with_views(
         f"SELECT 'suggest' AS kind, query_id AS id, {S.suggest_prompt(S.strip('raw'))} AS prompt FROM v4 "
-        f"UNION ALL SELECT 'detail' AS kind, answer_id AS id, {S.detail_prompt(S.extract_titles('text') + '[1]')} AS prompt FROM v2 "
-        f"UNION ALL SELECT 'nutrition' AS kind, k AS id, {S.nutrition_prompt('ingredients')} AS prompt FROM r_rec",
+        f"UNION ALL SELECT 'detail' AS kind, answer_id AS id, {S.detail_prompt('u.title')} AS prompt "
+        f"FROM v2, unnest({S.extract_titles('text')}) AS u(title) "
+        f"UNION ALL SELECT 'nutrition' AS kind, k AS id, {S.nutrition_prompt('ingredients')} AS prompt FROM r_rec "
+        f"UNION ALL SELECT 'health' AS kind, k AS id, {S.health_prompt('ingredients', 'steps', _PROMPT_FILTERS_SQL)} AS prompt FROM r_rec",
         "v4",
         "v2",
         "v3",
@@ -558,17 +577,19 @@ def q_build_prompts(spark, sf):
     s = V.v4_queries(spark, sf).select(
         F.lit("suggest").alias("kind"), F.col("query_id").alias("id"), R.suggest_prompt(X.strip("raw")).alias("prompt")
     )
-    d = V.v2_title_answers(spark, sf).select(
-        F.lit("detail").alias("kind"),
-        F.col("answer_id").alias("id"),
-        R.detail_prompt(F.try_element_at(P.extract_titles("text"), F.lit(1))).alias("prompt"),
+    titles = V.v2_title_answers(spark, sf).select("answer_id", P.extract_titles("text").alias("titles"))
+    d = C.explode_titles(titles, "answer_id").select(
+        F.lit("detail").alias("kind"), F.col("answer_id").alias("id"), R.detail_prompt("title").alias("prompt")
     )
-    n = P.with_recipe(V.v3_recipe_answers(spark, sf), "text", cap=False).select(
-        F.lit("nutrition").alias("kind"),
-        F.col("recipe_id").alias("id"),
-        R.nutrition_prompt(F.col("recipe.ingredients")).alias("prompt"),
+    tags = F.when(F.col("recipe_id") % 2 == 0, F.array(F.lit("Vegan"), F.lit("Nut-free"))).otherwise(P.empty_array())
+    recipe = P.with_recipe(V.v3_recipe_answers(spark, sf), "text").select("recipe_id", "recipe.*", tags.alias("tags"))
+    # both prompts of a recipe from one pass
+    kinds = F.array(
+        F.struct(F.lit("nutrition").alias("kind"), R.nutrition_prompt("ingredients").alias("prompt")),
+        F.struct(F.lit("health").alias("kind"), R.health_prompt("ingredients", "steps", "tags").alias("prompt")),
     )
-    return s.unionByName(d).unionByName(n)
+    r = recipe.select(F.col("recipe_id").alias("id"), F.explode(kinds).alias("_k")).select("_k.kind", "id", "_k.prompt")
+    return s.unionByName(d).unionByName(r)
 
 
 # ----------------------------------------------------- blocks, payload (41, 42)

@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recipeflow.functions import constants as K
 from recipeflow.functions import parse as P
@@ -32,10 +33,31 @@ from recipeflow.operators.modelmap import map_model, materialize
 from recipeflow.operators.translate import back_translate_title, translate_array, translate_block
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """The chat columns of a job's input, which its messages keep."""
+    return [c for c in ("chat_id", "ts") if c in df.columns]
+
+
+def _stored(memory_path: str | None, kind: str) -> str | None:
+    return None if memory_path is None else f"{memory_path}/{kind}"
+
+
+def append_to_log(rows: DataFrame, key: str, log: DataFrame, path: str | None = None) -> DataFrame:
+    """A job's message rows (with ``chat_id``) at the next positions of their chats in ``log``, in the order
+    of ``key``, the user's message first; appended to the parquet log at ``path`` if given."""
+    new = rows.withColumn("_order", F.struct(key, "seq")).drop("seq")
+    out = C.append_messages(log, new, "_order").drop("_order")
+    if path is not None:
+        out = materialize(out)
+        out.write.mode("append").parquet(path)
+    return out
+
+
 def _messages(df: DataFrame, key: str, user, assistant, payload=None) -> DataFrame:
     """The user and assistant message rows of each input row, from ONE pass
     (an explode of a two-element array, not a union that would evaluate the
     input twice)."""
+    kept = [key, *_carried(df)]
     pj = F.to_json(payload) if payload is not None else F.lit(None).cast("string")
     pair = F.array(
         F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("user").alias("role"), user.alias("content"),
@@ -43,7 +65,7 @@ def _messages(df: DataFrame, key: str, user, assistant, payload=None) -> DataFra
         F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("assistant").alias("role"), assistant.alias("content"),
                  pj.alias("payload_json")),
     )
-    return df.select(key, F.explode(pair).alias("_m")).select(key, "_m.*")
+    return df.select(*kept, F.explode(pair).alias("_m")).select(*kept, "_m.*")
 
 
 def suggest_job(
@@ -52,21 +74,32 @@ def suggest_job(
     translator: Callable,
     key: str = "query_id",
     memory: DataFrame | None = None,
+    log: DataFrame | None = None,
+    memory_path: str | None = None,
 ) -> DataFrame:
-    """queries(key, raw, display_lang) -> message rows (key, seq, role, content, payload_json)."""
+    """queries(key, raw, display_lang) -> message rows (key, seq, role, content, payload_json).
+
+    With ``chat_id`` (and ``ts``) in ``queries`` and a message ``log``, the rows take the next positions of
+    their chats.  Answers and translations of earlier runs are reused from ``memory_path``.
+    """
     q = queries.select(
         key,
+        *_carried(queries),
         X.strip(X.blank_to_empty(F.col("raw"))).alias("raw"),
         X.safe_lang_code("display_lang").alias("code"),
     )
-    q = q.withColumn("prompt", R.suggest_prompt(X.normalize_query("raw", "code")))
+    q = materialize(q.withColumn("prompt", R.suggest_prompt(X.normalize_query("raw", "code"))))  # read twice below
     req = q.withColumn("task", F.lit("suggest")).withColumn("system", F.lit(R.SYSTEM_PROMPT))
-    ans = map_model(req, generator)
-    t = ans.select(key, "raw", "code", P.extract_titles(P.titles_text_or_default("text", "error")).alias("titles"))
+    ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
+    t = ans.select(key, *_carried(q), "raw", "code", P.extract_titles(P.titles_text_or_default("text", "error")).alias("titles"))
     t = materialize(t)
     tgt = F.when(F.col("code") != "en", F.col("code")).otherwise(F.lit("auto"))
-    t = translate_array(t.withColumn("_tgt", tgt), key, "titles", F.lit("en"), "_tgt", translator, memory, out="titles_loc")
-    return _messages(t, key, F.col("raw"), R.render_titles("titles_loc"))
+    t = translate_array(
+        t.withColumn("_tgt", tgt), key, "titles", F.lit("en"), "_tgt", translator, memory, out="titles_loc",
+        memory_path=_stored(memory_path, "translations"),
+    )
+    rows = _messages(t, key, F.col("raw"), R.render_titles("titles_loc"))
+    return rows if log is None else append_to_log(rows, key, log)
 
 
 def recipe_job(
@@ -75,52 +108,62 @@ def recipe_job(
     translator: Callable,
     key: str = "title_id",
     memory: DataFrame | None = None,
+    log: DataFrame | None = None,
+    memory_path: str | None = None,
 ) -> DataFrame:
-    """titles(key, title, display_lang) -> message rows with the recipe payload."""
+    """titles(key, title, display_lang) -> message rows with the recipe payload; ``log`` and ``memory_path``
+    as in :func:`suggest_job`."""
     t = titles.select(
         key,
+        *_carried(titles),
         X.strip(X.blank_to_empty(F.col("title"))).alias("title"),
         X.safe_lang_code("display_lang").alias("code"),
     )
-    t = back_translate_title(t, "title", "code", translator, memory, out="title_en")
+    t = materialize(t)  # read several times below, computed once
+    translations = _stored(memory_path, "translations")
+    t = back_translate_title(t, "title", "code", translator, memory, out="title_en", memory_path=translations)
     req = (
         t.withColumn("task", F.lit("detail"))
         .withColumn("system", F.lit(R.SYSTEM_PROMPT))
         .withColumn("prompt", R.detail_prompt("title_en"))
     )
-    ans = map_model(req, generator)
-    r = P.with_recipe(ans.select(key, "title", "code", "error", "text"), "text", error="error")
+    ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
+    r = P.with_recipe(ans.select(key, *_carried(t), "title", "code", "error", "text"), "text", error="error")
     r = materialize(r.drop("text"))
     # ingredients and steps are translated in one pass as one array, then split
     tgt = F.when(F.col("error").isNull() & (F.col("code") != "en"), F.col("code")).otherwise(F.lit("auto"))
     r = r.withColumn("_tgt", tgt).withColumn(
         "_all", F.concat(F.col("recipe.ingredients"), F.col("recipe.steps"))
     ).withColumn("_n_ing", F.size("recipe.ingredients"))
-    r = translate_array(r, key, "_all", F.lit("en"), "_tgt", translator, memory, out="_all_loc")
+    r = translate_array(r, key, "_all", F.lit("en"), "_tgt", translator, memory, out="_all_loc", memory_path=translations)
     r = r.withColumn("ingredients", F.slice("_all_loc", 1, F.col("_n_ing"))).withColumn(
         "steps", F.slice("_all_loc", F.col("_n_ing") + 1, F.size("_all_loc"))
     )
-    return _messages(
+    rows = _messages(
         r,
         key,
         F.concat(F.lit(K.SELECTED_RECIPE_PREFIX), F.col("title")),
         R.render_recipe("ingredients", "steps", "code"),
         R.recipe_payload(F.col("title"), F.col("ingredients"), F.col("steps")),
     )
+    return rows if log is None else append_to_log(rows, key, log)
 
 
-def nutrition_job(lists: DataFrame, generator: Callable, key: str = "list_id", items: str = "items") -> DataFrame:
-    """lists(key, items STRING comma list) -> (key, text, error).
+def nutrition_job(
+    lists: DataFrame, generator: Callable, key: str = "list_id", items: str = "items", memory_path: str | None = None
+) -> DataFrame:
+    """lists(key, items: comma list or array of strings) -> (key, text, error).
 
     An empty list is answered with a fixed text and never reaches the model.
     """
-    li = lists.select(key, P.split_item_list(items).alias("_items"))
+    is_array = isinstance(lists.schema[items].dataType, T.ArrayType)
+    li = materialize(lists.select(key, (P.clean_items(items) if is_array else P.split_item_list(items)).alias("_items")))
     req = (
         li.withColumn("task", F.lit("nutrition"))
         .withColumn("system", F.lit(R.SYSTEM_PROMPT))
         .withColumn("prompt", R.nutrition_prompt("_items"))
     )
-    ans = map_model(req, generator)
+    ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
     text = F.when(F.size("_items") == 0, F.lit(K.NO_INGREDIENTS_TEXT)).otherwise(X.strip("text"))
     return ans.select(key, text.alias("text"), "error")
 
@@ -132,34 +175,44 @@ def health_job(
     generator: Callable,
     translator: Callable,
     memory: DataFrame | None = None,
+    memory_path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(checks, rejected).
 
     ``filters(chat_id, health_filters)``, ``langs(chat_id, display_lang)``.
-    checks: (chat_id, status 'ok'|'error', content, payload_json).
+    checks: (chat_id, status 'ok'|'error', seq, role, content, payload_json); a check that succeeded is the
+    assistant's message at the next position of its chat, the others have no seq.
     """
-    latest = C.latest_payload(messages)
+    latest = materialize(C.latest_payload(messages))  # accepted and rejected chats come from one pass
+    last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
     ok, rejected = C.eligible_for_check(latest)
     d = F.col("recipe_detail")
     j = (
         ok.join(filters, "chat_id", "left")
         .join(langs, "chat_id", "left")
+        .join(last, "chat_id")
         .select(
             "chat_id",
+            (F.col("_last") + 1).alias("seq"),
             d["title"].alias("title"),
             F.coalesce("health_filters", F.array().cast("array<string>")).alias("health_filters"),
             R.health_prompt(d["ingredients"], d["steps"], F.col("health_filters")).alias("prompt"),
             X.safe_lang_code("display_lang").alias("code"),
         )
     )
-    req = j.withColumn("task", F.lit("health")).withColumn("system", F.lit(R.SYSTEM_PROMPT))
-    ans = map_model(req, generator).withColumn("text_en", X.strip("text"))
+    req = materialize(j).withColumn("task", F.lit("health")).withColumn("system", F.lit(R.SYSTEM_PROMPT))
+    ans = map_model(req, generator, memory_path=_stored(memory_path, "answers")).withColumn("text_en", X.strip("text"))
     tgt = F.when(F.col("code") != "en", F.col("code")).otherwise(F.lit("auto"))
-    tr = translate_block(ans.withColumn("_tgt", tgt), "text_en", F.lit("en"), "_tgt", translator, memory, out="text_loc")
+    tr = translate_block(
+        ans.withColumn("_tgt", tgt), "text_en", F.lit("en"), "_tgt", translator, memory, out="text_loc",
+        memory_path=_stored(memory_path, "translations"),
+    )
     failed = F.col("error").isNotNull()
     checks = tr.select(
         "chat_id",
         F.when(failed, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.when(~failed, F.col("seq")).cast("bigint").alias("seq"),
+        F.when(~failed, F.lit("assistant")).alias("role"),
         F.when(~failed, R.render_check_block("title", "text_loc")).alias("content"),
         F.when(~failed, F.to_json(R.check_payload(F.col("health_filters"), F.col("text_loc")))).alias("payload_json"),
     )

@@ -172,13 +172,14 @@ def clean_title(x: str) -> str:
     return f"trim({s}, ' \"“”')"
 
 
-def extract_titles(text: str, limit: int = K.MAX_TITLES) -> str:
+def extract_titles(text: str, limit: int | None = None) -> str:
     pieces = (
         f"flatten(list_transform({split_lines(text)}, lambda lt: CASE WHEN contains(lt, ' * ') THEN "
         f"list_filter(list_transform(string_split(lt, ' * '), lambda px: {strip('px')}), lambda px: px <> '') "
         f"ELSE [lt] END))"
     )
-    return f"list_slice(list_filter(list_transform({pieces}, lambda cx: {clean_title('cx')}), lambda cx: cx <> ''), 1, {limit})"
+    titles = f"list_filter(list_transform({pieces}, lambda cx: {clean_title('cx')}), lambda cx: cx <> '')"
+    return titles if limit is None else f"list_slice({titles}, 1, {limit})"
 
 
 def is_bullet(s: str) -> str:

@@ -113,6 +113,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_table_if_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None if nothing was written there yet."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if fs.exists(hp) else None
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -1,7 +1,9 @@
 """Chat documents derived from the driver tables, and the chat-store writer.
 
-A chat store is a folder of JSON documents, one per chat, laid out as
-``chat_id=<id>/part-*.json`` (partition discovery restores ``chat_id``).
+A chat store is a folder of JSON Lines, many chats per file, each line a
+``chat_id`` and its document (:func:`write_chat_lines`); this is what the
+registered queries read.  A small store may also be one file per chat under
+``chat_id=<id>/`` (partition discovery restores ``chat_id``).
 The reference layout - ``<stem>.json`` files in one folder - is read by the
 same :func:`recipeflow.operators.chatlog.scan_chats`.
 
@@ -61,13 +63,9 @@ def write_chat_store(docs: DataFrame, path: str) -> str:
 
 
 def write_chat_lines(docs: DataFrame, path: str) -> str:
-    """Scale layout: JSON Lines with ``chat_id`` inside each document."""
-    lines = docs.select(
-        F.when(
-            F.col("value").startswith("{bad"), F.col("value")
-        ).otherwise(F.concat(F.lit('{"chat_id":"'), F.col("chat_id").cast("string"), F.lit('",'), F.expr("substring(value, 2)"))).alias("value")
-    )
-    lines.write.mode("overwrite").text(path)
+    """Scale layout: JSON Lines of ``chat_id`` and the escaped ``document``, corrupt ones included."""
+    line = F.struct(F.col("chat_id").cast("string").alias("chat_id"), F.col("value").alias("document"))
+    docs.select(F.to_json(line).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
@@ -76,5 +74,5 @@ def chat_store(spark: SparkSession, sf_dir: str) -> str:
     shared checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        _STORES[key] = write_chat_store(derived_chat_documents(spark, sf_dir), work_dir(spark, "chat-store"))
+        _STORES[key] = write_chat_lines(derived_chat_documents(spark, sf_dir), work_dir(spark, "chat-store"))
     return _STORES[key]

@@ -7,8 +7,8 @@ stream_latest_payload   message events -> newest recipe payload per chat
 stream_latest_filters   saved profiles -> newest tag list per chat
 
 Update-mode aggregates emit a row every time a chat's state changes.  The
-sink is ``foreachBatch`` appending each micro-batch with its ``batch_id`` to a
-parquet table; the current state of a chat is the row of its largest
+sink is ``foreachBatch`` writing each micro-batch to its own ``batch_id=``
+partition of a parquet table, so a batch that is retried replaces itself; the current state of a chat is the row of its largest
 ``batch_id`` (:func:`latest_by_batch`, a partial aggregate).  No custom state
 store is needed: ``max_by`` is an ordinary aggregate for the state store.
 Every query has its own checkpoint location in the shared checkpoint folder,
@@ -52,13 +52,24 @@ def read_chat_stream(spark: SparkSession, path: str, max_files: int = 64) -> Dat
     )
 
 
+def read_chat_lines_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
+    """Chat documents as a stream of JSON Lines files, many chats per file."""
+    lines = spark.readStream.schema(C.LINE_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
+    return C.chats_of_lines(lines).select("chat_id", "messages")
+
+
 def stream_messages(
-    spark: SparkSession, source: str, sink: str | None = None, checkpoint: str | None = None, timeout_s: int | None = None
+    spark: SparkSession,
+    source: str,
+    sink: str | None = None,
+    checkpoint: str | None = None,
+    timeout_s: int | None = None,
+    lines: bool = False,
 ) -> str:
-    """Drain ``source`` (trigger availableNow) into a parquet message log."""
+    """Drain ``source`` (trigger availableNow), a chat folder or with ``lines`` JSON Lines, into a parquet message log."""
     sink = sink or work_dir(spark, "stream-messages")
     checkpoint = checkpoint or work_dir(spark, "stream-messages-ckpt")
-    msgs = C.flatten_messages(read_chat_stream(spark, source))
+    msgs = C.flatten_messages((read_chat_lines_stream if lines else read_chat_stream)(spark, source))
     writer = (
         msgs.writeStream.format("parquet")
         .option("path", sink)
@@ -72,7 +83,7 @@ def stream_messages(
 
 def _append_batches(sink: str):
     def fn(batch: DataFrame, batch_id: int):
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")  # a batch that is retried replaces itself
 
     return fn
 
@@ -100,7 +111,7 @@ def stream_latest_payload(
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(events_path)
     p = F.col("meta.payload.recipe_detail")
     agg = (
-        events.where(p.isNotNull())
+        events.where(C.filled_payload(events, p))
         .groupBy("chat_id")
         .agg(F.max_by(F.struct(F.col("seq"), p.alias("recipe_detail")), F.col("seq")).alias("_l"))
         .select("chat_id", F.col("_l.seq").alias("seq"), F.col("_l.recipe_detail").alias("recipe_detail"))

@@ -74,9 +74,10 @@ def test_strip_unicode_whitespace(spark):
 def test_extract_titles(spark):
     t1 = 'Here are 6 recipes:\n- **Dal Tadka**: lentils\n* Palak * Aloo Gobi\n1. "Rajma"\n\n• Chole'
     t2 = '- "A"\n- “B”\n--- \n**C: x**\n: d\nE\nF\nG\nH'
-    out = one(spark, P.extract_titles("a"), t1, t2)
+    out = one(spark, P.extract_titles("a", 6), t1, t2)
     assert out[0] == ["Here are 6 recipes", "Dal Tadka", "Palak", "Aloo Gobi", '1. "Rajma', "Chole"]
     assert out[1] == ["A", "B", "C", "E", "F", "G"]
+    assert one(spark, P.extract_titles("a"), t2)[0] == ["A", "B", "C", "E", "F", "G", "H"]
 
 
 def test_parse_recipe(spark):

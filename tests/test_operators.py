@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from recipeflow.operators import chatlog as C
 from recipeflow.operators import modelmap as M
 from recipeflow.operators import translate as T
+from recipeflow.plans import jobs as J
 from recipeflow.plans.stubs import CountingGenerator, StubTranslator
+from recipeflow.session import work_dir
+from recipeflow.sources.chats import write_chat_lines
+from recipeflow.streaming.chat_stream import _append_batches, latest_by_batch
 
 FIXTURE_CHATS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "fixtures", "chats")
 
@@ -120,12 +124,12 @@ def test_row_number_within_hot_key(spark):
 
 def test_chat_lines_layout_matches_partitioned_layout(spark):
     from conftest import SF_SMALL
-    from recipeflow.session import work_dir
-    from recipeflow.sources.chats import chat_store, derived_chat_documents, write_chat_lines
+    from recipeflow.sources.chats import chat_store, derived_chat_documents, write_chat_store
 
-    lines_path = write_chat_lines(derived_chat_documents(spark, SF_SMALL), work_dir(spark, "chat-lines"))
+    lines_path = chat_store(spark, SF_SMALL)
+    folders = write_chat_store(derived_chat_documents(spark, SF_SMALL), work_dir(spark, "chat-folders"))
     a = C.scan_chat_lines(spark, lines_path).where("NOT corrupt")
-    b = C.scan_chats(spark, chat_store(spark, SF_SMALL), glob=None).where("NOT corrupt")
+    b = C.scan_chats(spark, folders, glob=None).where("NOT corrupt")
     cols = ["chat_id", "title", "schema_version", "created_at"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
     ma = C.flatten_messages(a).select("chat_id", "seq", "role", "content", "ts_raw")
@@ -133,5 +137,56 @@ def test_chat_lines_layout_matches_partitioned_layout(spark):
     assert ma.exceptAll(mb).count() == 0 and mb.exceptAll(ma).count() == 0
     # (Spark rejects queries that read only the corrupt-record column, so select data columns too)
     bad_a = C.scan_chat_lines(spark, lines_path).where("corrupt").select("chat_id", "title").collect()
-    bad_b = C.scan_chats(spark, chat_store(spark, SF_SMALL), glob=None).where("corrupt").select("chat_id", "title").collect()
-    assert len(bad_a) == len(bad_b) > 0
+    bad_b = C.scan_chats(spark, folders, glob=None).where("corrupt").select("chat_id", "title").collect()
+    assert sorted(bad_a) == sorted(bad_b) and bad_a
+
+
+def test_append_keeps_every_row_and_column(spark):
+    # a third of the rows in one chat, whole texts kept, several input files
+    new = spark.range(60_000, numPartitions=12).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 500).alias("chat_id"),
+        F.col("id").alias("event_order"),
+        F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("content"),
+    )
+    log = spark.createDataFrame([(7, 4)], "chat_id bigint, seq bigint")
+    out = C.append_messages(log, new)
+    by_chat = out.groupBy("chat_id").agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.countDistinct("seq").alias("d"))
+    assert out.count() == 60_000 and out.select("content").distinct().count() == 60_000
+    assert by_chat.where("n != d or hi - lo + 1 != n or lo != if(chat_id = 7, 5, 0)").count() == 0
+    late = out.where("chat_id = 7").orderBy("seq").select("event_order").collect()
+    assert [r[0] for r in late] == sorted(r[0] for r in late)
+
+
+def test_second_job_run_calls_no_model(spark):
+    lists = spark.createDataFrame([(1, ["eggs", " ", None, "rice"]), (2, []), (3, None), (4, ["eggs", "rice"])], "list_id int, items array<string>")
+    path, acc = work_dir(spark, "memory"), spark.sparkContext.accumulator(0)
+    first = {r.list_id: r.text for r in J.nutrition_job(lists, CountingGenerator(acc), memory_path=path).collect()}
+    calls = acc.value
+    again = {r.list_id: r.text for r in J.nutrition_job(lists, CountingGenerator(acc), memory_path=path).collect()}
+    assert again == first and first[1] is not None and first[1] == first[4] and first[2] == first[3]
+    assert calls > 0 and acc.value == calls
+
+
+def test_null_prompt_and_repeated_memory(spark):
+    req = spark.createDataFrame([(1, "detail", "s", None), (2, "detail", "s", ""), (3, "detail", "s", "p")], "id int, task string, system string, prompt string")
+    key = M.request_key("task", "system", "prompt")
+    old = req.where("id = 3").select(key.alias("req_key"), F.lit("old").alias("text"))
+    acc = spark.sparkContext.accumulator(0)
+    got = [(r.id, r.text, r.error) for r in M.map_model(req, CountingGenerator(acc), memory=old.unionByName(old)).collect()]
+    assert sorted(got) == [(1, None, None), (2, None, "boom"), (3, "old", None)] and acc.value == 1
+
+
+def test_chat_lines_keep_ids_and_quotes(spark):
+    docs = spark.createDataFrame([('20250906T083543_A "b"', '{"title": "x\\ny"}'), ("007", "{bad"), ("e", "")], "chat_id string, value string")
+    got = {r.chat_id: r for r in C.scan_chat_lines(spark, write_chat_lines(docs, work_dir(spark, "lines"))).collect()}
+    assert got['20250906T083543_A "b"'].title == "x\ny" and not got['20250906T083543_A "b"'].corrupt
+    assert got["007"].corrupt and got["007"].title == "007" and got["e"].corrupt
+
+
+def test_a_retried_batch_replaces_itself(spark):
+    sink = work_dir(spark, "changes")
+    write = _append_batches(sink)
+    for batch_id, seq in ((0, 1), (1, 2), (1, 2)):
+        write(spark.createDataFrame([("a", seq)], "chat_id string, seq int"), batch_id)
+    assert spark.read.parquet(sink).count() == 2
+    assert [tuple(r) for r in latest_by_batch(spark, sink).collect()] == [("a", 2)]
