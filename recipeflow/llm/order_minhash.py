@@ -6,16 +6,17 @@ agree in a sketch when the same runs come first *in the same order*, which makes
 similarity rather than to set overlap.
 
 1. Rows of equal text (white space and case aside) are one node; a hot text is pre-aggregated by digest.
-2. Texts that agree in a sketch share a bucket.  A bucket of n texts gives n - 1 candidate links to its smallest node, not
-   all pairs; and since a passage that many texts share can fill a bucket with strangers, texts that also agree in the
-   next sketch are linked among themselves (to the smallest node of that finer bucket).  Both are plain aggregates, so a bucket with a
-   third of all texts is split like any other.
+2. Texts that agree in a sketch share a bucket.  In rounds, some members of each bucket are hubs and meet the members of
+   other classes: first the smallest node, then ``HUBS`` more, ``GROWTH`` times as many in each round after that, until every member has
+   been one.  Classes are joined between rounds and a bucket of one class is done, so a family is compared with a few
+   hubs, while texts of one bucket stay in different classes only if they were compared.  Hubs and members meet in plain equi-joins,
+   so a bucket with a third of all texts is split like any other.
 3. A candidate is verified by banded alignment: the word edit distance must be at most ``1 - similarity`` of the longer
    text.  The band is that wide, so the test is exact.
 4. Verified links make classes: the smallest label travels along links, with label jumps, until nothing changes.
 
-Links between texts that agree in a sketch but are similar to its smallest node in neither bucket rest on the other sketches;
-recall is measured against brute force in the tests.
+The classes are those that verifying all pairs of each bucket would give; ``n_links`` counts the links that were verified on the
+way.  Texts that agree in no sketch are not compared; recall is measured in the tests.
 
 Defined results: NULL and empty texts are equal texts (one class, no links); a text of fewer than ``k`` words is one run; a class is
 named by its smallest id, NULL ids come last; repeated rows belong to one class; an empty table gives an empty result;
@@ -35,6 +36,8 @@ from recipeflow.llm.common import boxed, code_points, column, lean
 from recipeflow.session import stage
 
 SKETCHES, PICKED, WORDS, SIMILARITY = 16, 2, 5, 0.8
+#: Hubs of a bucket in the second round, and how many times more in each later one.
+HUBS, GROWTH = 64, 16
 #: Bits of a key bitmap: 4 MB whatever the number of keys.
 SLOTS = 1 << 25
 
@@ -158,7 +161,7 @@ class Sketcher:
 
 
 def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, picked: int, k: int) -> DataFrame:
-    """(doc_id, digest, keys): ``keys`` is NULL for a text without words."""
+    """(doc_id, digest, keys, words): ``keys`` is NULL for a text without words, ``words`` their number."""
 
     def run(batches):
         sketcher = Sketcher(sketches, picked, k)
@@ -176,13 +179,14 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                         batch.column(0).slice(at, upto - at),
                         batch.column(1).slice(at, upto - at),
                         pa.array([k.view(np.int64) if k.any() else None for k in keys], pa.list_(pa.int64())),
+                        pa.array([len(t.split()) for t in texts[at:upto]], pa.int32()),
                     ],
-                    names=["doc_id", "digest", "keys"],
+                    names=["doc_id", "digest", "keys", "words"],
                 )
                 at = upto
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text_key(text).alias("digest"), text.cast("string").alias("_text"))
-    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>, words int")
 
 
 # ---------------------------------------------------------------- verification
@@ -265,25 +269,52 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 # ---------------------------------------------------------------- candidates and classes
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, from ``nodes`` (node, keys): links to the smallest node of each bucket and finer bucket."""
-    n = F.size("keys")
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, mark, words, size) of the buckets of more than one of ``nodes`` (node, digest, keys, words)."""
     keyed = nodes.where("keys is not null").select(
-        "node", F.posexplode("keys").alias("i", "key"), F.col("keys"), n.alias("n")
-    ).select("node", "key", F.expr("element_at(keys, (i + 1) % n + 1)").alias("next"))
-    hubs = stage(
-        keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"),
-        "near-buckets",
+        "node", F.xxhash64("digest").alias("mark"), "words", F.explode(F.array_distinct("keys")).alias("key")
     )
-    members = stage(keyed.join(hubs, "key"), "near-members")
-    finer = stage(
-        members.groupBy("key", "next").agg(F.min("node").alias("inner"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"),
-        "near-finer",
-    )
-    links = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
-        members.join(finer, ["key", "next"]).select(F.col("inner").alias("a"), F.col("node").alias("b"))
-    )
-    return links.where("a < b").distinct()
+    sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    return stage(keyed.join(sizes, "key"), "near-members")
+
+
+def class_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b, similarity), a < b, that join what all pairs within each bucket of ``members`` would join.
+
+    A round compares its hubs with the members of other classes, and ends with the classes joined by its links.
+    """
+    links, tried = [], []
+    members = members.withColumn("label", F.col("node"))
+    hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "words", "label"), "node").alias("h")).select("key", "h.*")
+    few = 1  # members of a bucket that have been hubs, about
+    while True:
+        h = hubs.select("key", F.col("node").alias("hub"), F.col("words").alias("hub_words"), F.col("label").alias("hub_label"))
+        longer, shorter = F.greatest("words", "hub_words"), F.least("words", "hub_words")
+        fits = longer - shorter <= F.floor((1 - least) * longer + 1e-9)  # else the lengths alone are too far apart
+        met = members.join(h, "key").where((F.col("label") != F.col("hub_label")) & fits)
+        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "near-pairs")
+        tried.append(pairs)
+        found = stage(verified(pairs, texts, least), "near-links")
+        links.append(found)
+        # classes of classes: only labels that a new link joins change
+        label = members.select("node", "label").distinct()
+        joined = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la != lb")
+        moved = components(joined.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+        members = members.join(moved.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        # a bucket of at most `few` members, or of two, has had all its pairs
+        members = stage(members.where(F.col("size") > max(2, few)).join(mixed, "key", "left_semi"), "near-members")
+        if members.isEmpty():
+            break
+        few = HUBS if few == 1 else few * GROWTH
+        hubs = members.where(F.pmod("mark", "size") < few)
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -334,14 +365,14 @@ def near_classes(
     rows = stage(sketch_rows(docs, F.col(id_col), F.col(text_col), sketches, picked, k), "near-rows")
     nodes = stage(
         rows.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
         .orderBy("digest")  # nodes are numbered in digest order, so the links don't depend on the partitioning
         .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
-    pairs = stage(candidate_links(nodes), "near-pairs")
+    members = bucket_members(nodes)
     wanted = stage(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest", "first_id"), "node"),
+        members.select("node").distinct().join(nodes.select("node", "digest", "first_id"), "node"),
         "near-wanted",
     )
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -354,7 +385,7 @@ def near_classes(
         .dropDuplicates(["node"]),
         "near-texts",
     )
-    links = stage(verified(pairs, texts, similarity), "near-links")
+    links = class_links(members, texts, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = components(links)
     labelled = stage(

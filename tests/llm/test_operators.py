@@ -160,6 +160,36 @@ def test_near_classes_do_not_depend_on_the_partitioning(spark):
     assert len(seen) == 1
 
 
+def test_near_classes_equal_all_pairs_of_each_bucket(spark):
+    ship_package(spark)
+    rng = random.Random(12)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    rows = []
+    for f in range(2):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        rows += [base] + [list(base) for _ in range(130)]
+        for copy in rows[-130:]:
+            for p in rng.sample(range(120), 14 + 4 * f):
+                copy[p] = rng.choice(vocabulary)
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    how = order_minhash.SKETCHES, order_minhash.PICKED, order_minhash.WORDS
+    keys = {r["doc_id"]: set(r["keys"]) for r in order_minhash.sketch_rows(table, table.doc_id, table.text, *how).collect()}
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if keys[i] & keys[j] and root(i) != root(j) and order_minhash.edit_similarity(a.split(), b.split(), order_minhash.SIMILARITY):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(table).collect()}
+    assert got == {i: root(i) for i in got}
+
+
 def test_components(spark):
     links = {(i, i + 1) for i in range(100, 160)} | {(1, 5), (5, 9), (2, 3)}
     got = {r["node"]: r["label"] for r in order_minhash.components(spark.createDataFrame(list(links), "a long, b long")).collect()}
