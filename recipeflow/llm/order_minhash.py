@@ -3,7 +3,8 @@
 Texts are sequences of lower-cased words.  Every run of ``k`` words is labelled with its occurrence (first, second, ... of
 its kind in the text).  A sketch takes the ``picked`` labelled runs of least hash and keeps them in text order; two texts
 agree in a sketch when the same runs come first *in the same order*, which makes the sketch sensitive to edit
-similarity rather than to set overlap.
+similarity rather than to set overlap.  Runs are single words: an edit changes one of them wherever it falls, so texts of edit
+similarity 0.8 share two thirds of their runs at least.  Texts of up to ``SHORT`` words have sketches of fewer words.
 
 1. Rows of equal text (white space and case aside) are one node; a hot text is pre-aggregated by digest.
 2. Texts that agree in a sketch share a bucket.  In rounds, some members of each bucket are hubs and meet the members of
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from recipeflow.llm.common import boxed, code_points, column, lean
 from recipeflow.session import stage
 
-SKETCHES, PICKED, WORDS, SIMILARITY = 16, 2, 5, 0.8
+SKETCHES, PICKED, WORDS, SIMILARITY = 32, 4, 1, 0.8
+#: Texts of up to so many words have sketches of their own, of fewer single words.
+SHORT, SHORT_SKETCHES, SHORT_PICKED = 30, 20, 3
 #: Hubs of a bucket in the second round, and how many times more in each later one.
 HUBS, GROWTH = 64, 16
 #: Bits of a key bitmap: 4 MB whatever the number of keys.
@@ -160,11 +163,15 @@ class Sketcher:
         return out
 
 
-def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, picked: int, k: int) -> DataFrame:
-    """(doc_id, digest, keys, words): ``keys`` is NULL for a text without words, ``words`` their number."""
+def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, picked: int, k: int, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, digest, keys, words): ``keys`` is NULL for a text without words, ``words`` their number.
+
+    Texts of ``both`` to ``SHORT`` words have both kinds of sketches, so two texts that are similar have one kind in common.
+    """
+    both = int(least * (SHORT + 1))
 
     def run(batches):
-        sketcher = Sketcher(sketches, picked, k)
+        long, short = Sketcher(sketches, picked, k), Sketcher(SHORT_SKETCHES, SHORT_PICKED, 1)
         for batch in batches:
             texts = [t or "" for t in column(batch, "_text")]
             at = 0
@@ -173,13 +180,18 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                 while upto < len(texts) and (upto == at or held < 1 << 18):
                     held += len(texts[upto])
                     upto += 1
-                keys = sketcher.sketch(texts[at:upto])
+                words = [len(t.split()) for t in texts[at:upto]]
+                keys: list[list[int] | None] = [[] if n else None for n in words]
+                for sketcher, fits in ((long, lambda n: n >= both), (short, lambda n: 0 < n <= SHORT)):
+                    rows = [i for i, n in enumerate(words) if fits(n)]
+                    for i, own in zip(rows, sketcher.sketch([texts[at + i] for i in rows]) if rows else (), strict=True):
+                        keys[i] += own.view(np.int64).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, upto - at),
                         batch.column(1).slice(at, upto - at),
-                        pa.array([k.view(np.int64) if k.any() else None for k in keys], pa.list_(pa.int64())),
-                        pa.array([len(t.split()) for t in texts[at:upto]], pa.int32()),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(words, pa.int32()),
                     ],
                     names=["doc_id", "digest", "keys", "words"],
                 )
@@ -362,7 +374,7 @@ def near_classes(
     picked: int = PICKED,
 ) -> DataFrame:
     """One row per row of ``docs``: id, digest, class_id (smallest id of its class), class_size, n_links (of its text, to other texts)."""
-    rows = stage(sketch_rows(docs, F.col(id_col), F.col(text_col), sketches, picked, k), "near-rows")
+    rows = stage(sketch_rows(docs, F.col(id_col), F.col(text_col), sketches, picked, k, similarity), "near-rows")
     nodes = stage(
         rows.groupBy("digest")
         .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))

@@ -190,6 +190,29 @@ def test_near_classes_equal_all_pairs_of_each_bucket(spark):
     assert got == {i: root(i) for i in got}
 
 
+def test_sketches_propose_pairs_at_the_similarity_bound(spark):
+    ship_package(spark)
+    rng = random.Random(21)
+    vocabulary = [a + b for a in WORDS for b in WORDS] + WORDS * 8  # some words come often
+    lengths, n, rows = (5, 6, 8, 10, 15, 20, 29, 30, 31, 38, 60, 200, 700), 150, []
+    for length in lengths:
+        for _ in range(n):
+            a = [rng.choice(vocabulary) for _ in range(length)]
+            b, share = list(a), length // 5
+            for p in rng.sample(range(length), share):
+                b[p] = rng.choice(vocabulary) + "x"
+            rows += [" ".join(a), " ".join(b)]
+            b = [w for i, w in enumerate(a) if i % 5 != 2 or i >= 5 * share]  # each fifth word left out
+            rows += [" ".join(a), " ".join(b)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    how = order_minhash.SKETCHES, order_minhash.PICKED, order_minhash.WORDS
+    keys = {r["doc_id"]: set(r["keys"]) for r in order_minhash.sketch_rows(table, table.doc_id, table.text, *how).collect()}
+    for at, length in enumerate(lengths):
+        for kind in (0, 2):
+            first = range(at * 4 * n + kind, (at + 1) * 4 * n, 4)
+            assert sum(bool(keys[i] & keys[i + 1]) for i in first) >= 0.95 * n, (length, kind)
+
+
 def test_components(spark):
     links = {(i, i + 1) for i in range(100, 160)} | {(1, 5), (5, 9), (2, 3)}
     got = {r["node"]: r["label"] for r in order_minhash.components(spark.createDataFrame(list(links), "a long, b long")).collect()}
