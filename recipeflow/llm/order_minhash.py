@@ -12,7 +12,7 @@ similarity 0.8 share two thirds of their runs at least.  Texts of up to ``SHORT`
    been one.  Classes are joined between rounds and a bucket of one class is done, so a family is compared with a few
    hubs, while texts of one bucket stay in different classes only if they were compared.  Hubs and members meet in plain equi-joins,
    so a bucket with a third of all texts is split like any other.
-3. A candidate is verified by banded alignment: the word edit distance must be at most ``1 - similarity`` of the longer
+3. A candidate whose numbers of words, in all or by hash, are too far apart is ruled out.  Any other is verified by banded alignment: the word edit distance must be at most ``1 - similarity`` of the longer
    text.  The band is that wide, so the test is exact.
 4. Verified links make classes: the smallest label travels along links, with label jumps, until nothing changes.
 
@@ -41,6 +41,8 @@ SKETCHES, PICKED, WORDS, SIMILARITY = 32, 4, 1, 0.8
 SHORT, SHORT_SKETCHES, SHORT_PICKED = 30, 20, 3
 #: Hubs of a bucket in the second round, and how many times more in each later one.
 HUBS, GROWTH = 64, 16
+#: Bytes of a text's word counts by hash, from which most pairs are seen to be too far apart without their texts.
+BAG = 128
 #: Bits of a key bitmap: 4 MB whatever the number of keys.
 SLOTS = 1 << 25
 
@@ -107,6 +109,12 @@ class Sketcher:
         value[space] = 0
         return _mixed(np.add.reduceat(value, at)), np.searchsorted(begins, at, "right") - 1
 
+    def bags(self, texts: list[str]) -> np.ndarray:
+        """One row per text: words by the hash of the word, 255 at most."""
+        words, owner = self.word_hashes(texts)
+        place = owner * BAG + (words % np.uint64(BAG)).astype(np.int64)
+        return np.minimum(np.bincount(place, minlength=len(texts) * BAG), 255).astype(np.uint8).reshape(len(texts), BAG)
+
     def runs(self, words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each occurrence-labelled run of k words, text of each), in text order."""
         k = self.k
@@ -164,7 +172,7 @@ class Sketcher:
 
 
 def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, picked: int, k: int, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, digest, keys, words): ``keys`` is NULL for a text without words, ``words`` their number.
+    """(doc_id, digest, keys, words, bag): ``keys`` is NULL for a text without words, ``words`` their number.
 
     Texts of ``both`` to ``SHORT`` words have both kinds of sketches, so two texts that are similar have one kind in common.
     """
@@ -192,13 +200,14 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                         batch.column(1).slice(at, upto - at),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(words, pa.int32()),
+                        pa.array([b.tobytes() for b in long.bags(texts[at:upto])], pa.binary()),
                     ],
-                    names=["doc_id", "digest", "keys", "words"],
+                    names=["doc_id", "digest", "keys", "words", "bag"],
                 )
                 at = upto
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text_key(text).alias("digest"), text.cast("string").alias("_text"))
-    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>, words int")
+    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>, words int, bag binary")
 
 
 # ---------------------------------------------------------------- verification
@@ -260,6 +269,25 @@ def edit_similarity(a: list[str], b: list[str], least: float) -> float:
     return 1 - d / longer if d <= k else 0.0
 
 
+def within_reach(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``bags`` (node, words, bag) don't rule the similarity out: each word that one text has more
+    often than the other costs an edit, and neither equal hashes nor counts cut at 255 add to the difference."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            bag = [np.frombuffer(b"".join(column(batch, c)), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("bag_a", "bag_b")]
+            more = bag[0] - bag[1]
+            apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+            longer = np.maximum(*[batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("words_a", "words_b")])
+            near = apart <= np.floor((1 - least) * longer + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+    both = pairs.join(bags.toDF("a", "words_a", "bag_a"), "a").join(bags.toDF("b", "words_b", "bag_b"), "b")
+    return both.select("a", "b", "words_a", "words_b", "bag_a", "bag_b").mapInArrow(lean(run), "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the ``pairs`` (a, b) of nodes whose ``texts`` (node, text) are similar enough."""
 
@@ -290,7 +318,7 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
     return stage(keyed.join(sizes, "key"), "near-members")
 
 
-def class_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b, similarity), a < b, that join what all pairs within each bucket of ``members`` would join.
 
     A round compares its hubs with the members of other classes, and ends with the classes joined by its links.
@@ -309,7 +337,7 @@ def class_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
         tried.append(pairs)
-        found = stage(verified(pairs, texts, least), "near-links")
+        found = stage(verified(stage(within_reach(pairs, bags, least), "near-reach"), texts, least), "near-links")
         links.append(found)
         # classes of classes: only labels that a new link joins change
         label = members.select("node", "label").distinct()
@@ -377,7 +405,7 @@ def near_classes(
     rows = stage(sketch_rows(docs, F.col(id_col), F.col(text_col), sketches, picked, k, similarity), "near-rows")
     nodes = stage(
         rows.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.first("bag").alias("bag"), F.count(F.lit(1)).alias("copies"))
         .orderBy("digest")  # nodes are numbered in digest order, so the links don't depend on the partitioning
         .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
@@ -397,7 +425,7 @@ def near_classes(
         .dropDuplicates(["node"]),
         "near-texts",
     )
-    links = class_links(members, texts, similarity)
+    links = class_links(members, nodes.select("node", "words", "bag"), texts, similarity)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = components(links)
     labelled = stage(
