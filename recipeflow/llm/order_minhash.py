@@ -300,6 +300,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"]
             ).filter(keep)
 
+    bitmap = stage(key_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node"), "near-pair-bits")
+    texts = with_maybe(texts, bitmap, F.col("node")).where("_maybe")  # only these are shuffled
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
     )
