@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recipeflow.llm import (
+    chat_events,
     decontaminate,
     exact_dedup,
+    fim_chunks,
+    impact_search,
     langid,
     order_minhash,
     pattern_packing,
@@ -22,7 +25,7 @@ from recipeflow.llm import (
     wordpiece_count,
 )
 from recipeflow.llm.common import id_bucket
-from recipeflow.session import ship_package
+from recipeflow.session import ship_package, stage
 from recipeflow.sources.tables import load
 
 QUERIES: dict = {}
@@ -221,6 +224,122 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Units of a text, for RE2.
+_UNITS_SQL = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim_chunks.fim_texts(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim_chunks.restored_text(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op11_fill_in_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{_UNITS_SQL}') AS units,
+         [CAST('0x' || substr(h, 1, 8) AS BIGINT), CAST('0x' || substr(h, 9, 8) AS BIGINT),
+          CAST('0x' || substr(h, 17, 8) AS BIGINT), CAST('0x' || substr(h, 25, 8) AS BIGINT)] AS x
+  FROM d
+), c AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(x[1] % (len(units) + 1), x[2] % (len(units) + 1)) AS a,
+         greatest(x[1] % (len(units) + 1), x[2] % (len(units) + 1)) AS b
+  FROM u
+), p AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain'
+              WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form,
+       CAST(CASE WHEN form <> 'plain' THEN length(prefix) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(middle) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations become an event log, which is replayed, formatted and read back."""
+    turns = load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    log = stage(chat_events.events_of(turns.unionByName(hard)), "chat-log")
+    messages = chat_events.fold_events(log)
+    return chat_events.read_back(chat_events.assemble(chat_events.render_turns(messages)))
+
+
+ORACLE["op12_chat_format"] = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length('### ') + length(role) + length(regexp_replace(role, '[^\\\\#<:\n]', '', 'g')) + length(': ')
+            + length(text) + length(text) - length(replace(text, '\\', ''))
+            + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda r: length(r) - 2)), 0)
+            + len(regexp_extract_all(text, '</turn>')) + length('</turn>') + 1 AS size
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents", "doc_id", "text")
+    return impact_search.search(documents, load(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLE["op13_ranked_search"] = """
+WITH words AS (
+  SELECT rowid_, doc_id, unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS word
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
+), postings AS (
+  SELECT rowid_, any_value(doc_id) AS doc_id, word, count(*) AS tf FROM words GROUP BY rowid_, word
+), docs AS (
+  SELECT rowid_, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY rowid_
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+), weights AS (
+  SELECT word, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY word, docs
+), asked AS (
+  SELECT item_id, word, count(*) AS repeats
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark)
+  GROUP BY item_id, word
+), scored AS (
+  SELECT item_id, rowid_, any_value(p.doc_id) AS doc_id,
+         CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings p USING (word) JOIN weights USING (word) JOIN docs USING (rowid_), totals
+  GROUP BY item_id, rowid_
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
