@@ -213,9 +213,10 @@ class Found:
 
 
 class Block:
-    """Postings of up to ``BLOCK_DOCS`` documents for the terms of one group of queries."""
+    """Postings of up to ``most`` documents for the terms of one group of queries."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.ids: list[int | None] = []
         self.length: list[int] = []
         self.doc: list[int] = []
@@ -232,7 +233,7 @@ class Block:
             self.tf += [f for _, f in known]
 
     def full(self) -> bool:
-        return len(self.ids) >= BLOCK_DOCS or len(self.term) >= BLOCK_POSTINGS
+        return len(self.ids) >= self.most or len(self.term) >= BLOCK_POSTINGS
 
     def search(self, queries: Queries, found: Found, total_docs: int, total_terms: int) -> None:
         if not self.ids:
@@ -259,19 +260,19 @@ class Block:
                     found.add(q, scores, ids[near], absent[near])
 
 
-def search_blocks(counted: DataFrame, queries: Queries, total_docs: int, total_terms: int, top: int) -> DataFrame:
+def search_blocks(counted: DataFrame, queries: Queries, total_docs: int, total_terms: int, top: int, block_docs: int) -> DataFrame:
     """(query, doc_id, score): for each query the rows of ``counted`` that may be among its ``top`` highest, ``top`` a task at most."""
     shared = counted.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         queries = shared.value
-        found, block = Found(len(queries.names), top), Block()
+        found, block = Found(len(queries.names), top), Block(block_docs)
         for batch in batches:
             for row in zip(*[column(batch, c) for c in ("doc_id", "n", "terms", "tf")], strict=True):
                 block.add(*row, queries.vocabulary)
                 if block.full():
                     block.search(queries, found, total_docs, total_terms)
-                    block = Block()
+                    block = Block(block_docs)
         block.search(queries, found, total_docs, total_terms)
         for q, rows in enumerate(found.rows):
             if rows is not None:
@@ -328,6 +329,7 @@ def search(
     query_id: str = "item_id",
     query_text: str = "text",
     top: int = 20,
+    block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """(query id, rank, doc id, score): the ``top`` highest-scoring rows of ``docs`` for each row of ``queries``."""
     spark: SparkSession = docs.sparkSession
@@ -346,7 +348,7 @@ def search(
     for g in range(groups):
         held = held_queries(weights.where(F.pmod("query", F.lit(groups)) == g))
         if held.names:
-            own = stage(search_blocks(counted, held, total["docs"], total["terms"], top), "search-found")
+            own = stage(search_blocks(counted, held, total["docs"], total["terms"], top, block_docs), "search-found")
             rows = own if rows is None else rows.unionByName(own)
     if rows is None:
         rows = spark.createDataFrame([], "query long, doc_id long, score long")
