@@ -30,6 +30,7 @@ LOCAL_DEFAULTS = {
 #: Bytes of rows that go to a Python worker at a time.  Spark's own default (64 MB) is held several times over, in
 #: the JVM's direct memory and in Arrow, Python and numpy form, by each of an executor's workers.
 ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+SPARK_ARROW_BATCH = "67108864b"
 
 
 def get_spark(master: str | None = None, app_name: str = "recipeflow", **conf) -> SparkSession:
@@ -94,23 +95,51 @@ def clear_stages(spark: SparkSession) -> int:
     paths = _STAGES.pop(sc.applicationId, [])
     try:
         for p in paths:
-            hp = sc._jvm.org.apache.hadoop.fs.Path(p)
-            hp.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hp, True)
+            _delete(sc, p)
     except Exception:  # noqa: BLE001 - the JVM may be gone at interpreter exit
         return 0
     return len(paths)
 
 
+#: Spark deletes the shuffle files of a finished statement, not first when the driver collects its objects.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     Cuts lineage like a reliable ``checkpoint()`` and computes ``df`` exactly
-    once; the files outlive any executor.
+    once; the files outlive any executor.  The write's own shuffle files go when it has ended:
+    nothing reads them again.
     """
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that :func:`stage` returned, once what was made of them is written: frames that read them are dead."""
+    for df in frames:
+        path, sc = getattr(df, "_stage_path", None), df.sparkSession.sparkContext
+        if path in _STAGES.get(sc.applicationId, []):
+            _delete(sc, path)
+            _STAGES[sc.applicationId].remove(path)
+
+
+def _delete(sc, path: str) -> None:
+    hp = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hp.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hp, True)
 
 
 def read_table_if_any(spark: SparkSession, path: str) -> DataFrame | None:
@@ -133,7 +162,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    if not sc.getConf().contains(ARROW_BATCH[0]):
+    if spark.conf.get(ARROW_BATCH[0], SPARK_ARROW_BATCH) == SPARK_ARROW_BATCH and not sc.getConf().contains(ARROW_BATCH[0]):
         spark.conf.set(*ARROW_BATCH)
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     parent = os.path.dirname(pkg_dir)
