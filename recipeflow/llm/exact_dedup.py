@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import boxed
+from recipeflow.llm.common import boxed, key_bitmap, with_maybe
 from recipeflow.session import stage
 
 #: A run of these is one space when texts are compared.
@@ -82,8 +82,8 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 1024) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns unchanged.
 
-    The decisions travel as (id, digest) of the rows to drop; the join broadcasts
-    them when their stage is small and shuffles otherwise.  Rows repeated in whole
+    The decisions travel as (id, digest) of the rows to drop.  A bitmap of them, bounded and broadcast, passes most rows
+    that stay; only rows that it can't rule out are shuffled to the decisions.  Rows repeated in whole
     (same id and text) are told apart by a last ``dropDuplicates`` over those rows only.
     """
     keys = stage(
@@ -95,7 +95,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     marked = boxed(docs, _id=F.col(id_col), _digest=text_digest(F.col(text_col)))
     same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_digest") == F.col("_kdigest"))
-    out = marked.join(keys, same, "left_anti")
+    bitmap = stage(key_bitmap(keys, "_kid", "_kdigest"), "exact-dropped-bits")
+    marked = with_maybe(marked, bitmap, F.col("_id"), F.col("_digest"))
+    kept, marked = marked.where("not _maybe"), marked.where("_maybe")
+    out = kept.unionByName(marked.join(keys, same, "left_anti"))
     repeated = keys.where("_kept")
     if not repeated.isEmpty():
         out = out.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["_id", "_digest"]))

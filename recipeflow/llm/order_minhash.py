@@ -3,8 +3,8 @@
 Texts are sequences of lower-cased words.  Every run of ``k`` words is labelled with its occurrence (first, second, ... of
 its kind in the text).  A sketch takes the ``picked`` labelled runs of least hash and keeps them in text order; two texts
 agree in a sketch when the same runs come first *in the same order*, which makes the sketch sensitive to edit
-similarity rather than to set overlap.  Runs are single words: an edit changes one of them wherever it falls, so texts of edit
-similarity 0.8 share two thirds of their runs at least.  Texts of up to ``SHORT`` words have sketches of fewer words.
+similarity rather than to set overlap.  Runs are two words; texts of up to ``SHORT`` words, of which an edit would change too many
+runs, have sketches of single words.  A text's keys depend on its words alone, not on what it is read with.
 
 1. Rows of equal text (white space and case aside) are one node; a hot text is pre-aggregated by digest.
 2. Texts that agree in a sketch share a bucket.  In rounds, some members of each bucket are hubs and meet the members of
@@ -33,18 +33,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recipeflow.llm.common import boxed, code_points, column, lean
-from recipeflow.session import stage
+from recipeflow.llm.common import boxed, code_points, column, key_bitmap, lean, with_maybe
+from recipeflow.session import discard, stage
 
-SKETCHES, PICKED, WORDS, SIMILARITY = 32, 4, 1, 0.8
+SKETCHES, PICKED, WORDS, SIMILARITY = 48, 3, 2, 0.8
 #: Texts of up to so many words have sketches of their own, of fewer single words.
 SHORT, SHORT_SKETCHES, SHORT_PICKED = 30, 20, 3
 #: Hubs of a bucket in the second round, and how many times more in each later one.
 HUBS, GROWTH = 64, 16
+#: Runs of a text among which a sketch's picks are sought first, about; where they don't suffice all are.
+ENOUGH = 16
 #: Bytes of a text's word counts by hash, from which most pairs are seen to be too far apart without their texts.
 BAG = 128
-#: Bits of a key bitmap: 4 MB whatever the number of keys.
-SLOTS = 1 << 25
 
 
 def text_key(text: Column) -> Column:
@@ -53,30 +53,6 @@ def text_key(text: Column) -> Column:
     return F.sha2(words, 256)
 
 
-# ---------------------------------------------------------------- key bitmaps
-
-
-def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)) + 1
-
-
-def key_bitmap(rows: DataFrame, *key: str) -> DataFrame:
-    """(bucket, bits): one bit for the hash of each ``key`` of ``rows``; at most ``SLOTS`` bits in all, so fit to broadcast."""
-    slot = _slot(*[F.col(c) for c in key])
-    return rows.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-
-
-def with_maybe(rows: DataFrame, bitmap: DataFrame, *key: Column) -> DataFrame:
-    """``rows`` with ``_maybe``: false where the key is surely none of the bitmap's.  Hashes may clash, so a join decides the others;
-    only they are shuffled."""
-    marked = rows.withColumn("_slot", _slot(*key))
-    marked = marked.withColumn("bucket", F.bitmap_bucket_number("_slot")).join(F.broadcast(bitmap), "bucket", "left")
-    marked = marked.withColumn("_bit", F.bitmap_bit_position("_slot"))
-    byte = F.expr("cast(conv(hex(substring(bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0, F.lit(False))
-    return marked.withColumn("_maybe", hit).drop("_slot", "bucket", "bits", "_bit")
-
-
 # ---------------------------------------------------------------- sketches
 
 
@@ -131,12 +107,10 @@ class Sketcher:
         mark = run + _mixed(text.astype(np.uint64) + np.uint64(1))
         order = np.argsort(mark, kind="stable")
         same = np.concatenate([[False], mark[order][1:] == mark[order][:-1]]) if len(order) else np.zeros(0, bool)
-        if same.any():
-            place = np.arange(len(order))
-            occurrence = place - np.maximum.accumulate(np.where(same, 0, place))
-            label = np.zeros(len(order), np.uint64)
-            label[order] = occurrence.astype(np.uint64)
-            run = _mixed(run + label * np.uint64(0xD6E8FEB86659FD93))
+        place = np.arange(len(order))
+        label = np.zeros(len(order), np.uint64)
+        label[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
+        run = _mixed(run + label * np.uint64(0xD6E8FEB86659FD93))
         return run, text
 
     def sketch(self, texts: list[str]) -> np.ndarray:
@@ -148,24 +122,27 @@ class Sketcher:
         run, text = self.runs(words, owner, len(texts))
         begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         rows, sizes = text[begin], np.diff(np.append(begin, len(text)))
+        own = np.repeat(np.arange(len(begin)), sizes)
         most = np.uint64(0xFFFFFFFFFFFFFFFF)
+        low = np.where(sizes > ENOUGH, most // sizes.astype(np.uint64) * np.uint64(ENOUGH), most)
+        low_each = low[own]
+        runs = np.append(run, np.uint64(0))
         for s, seed in enumerate(self.seeds):
             value = (run ^ seed) * np.uint64(0x9FB21C651E98DF25)
             value ^= value >> np.uint64(32)
-            places = []
-            for p in range(self.picked):
-                low = np.minimum.reduceat(value, begin)
-                hit = np.flatnonzero(value == np.repeat(low, sizes))
-                where = np.full(len(begin), len(run), dtype=np.int64)
-                at = np.searchsorted(begin, hit, "right") - 1
-                np.minimum.at(where, at, hit)
-                where[low == most] = len(run)  # fewer runs than picks
-                places.append(where)
-                if p + 1 < self.picked:
-                    value[where[where < len(run)]] = most
+            value *= np.uint64(0x9E3779B97F4A7C15)
+            at = np.flatnonzero(value <= low_each)
+            few = np.flatnonzero(np.bincount(own[at], minlength=len(begin)) < np.minimum(sizes, self.picked))
+            if len(few):
+                at = np.sort(np.concatenate([at[~np.isin(own[at], few)], *[begin[t] + np.arange(sizes[t]) for t in few]]))
+            at = at[np.lexsort((value[at], own[at]))]  # equal values stay in text order
+            first = np.flatnonzero(np.concatenate([[True], own[at][1:] != own[at][:-1]]))
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            at, rank = at[rank < self.picked], rank[rank < self.picked]
+            places = np.full((len(begin), self.picked), len(run), np.int64)  # fewer runs than picks
+            places[own[at], rank] = at
             key = np.full(len(begin), seed, np.uint64)
-            runs = np.append(run, np.uint64(0))
-            for where in np.sort(np.stack(places), axis=0):  # text order
+            for where in np.sort(places, axis=1).T:  # text order
                 key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + runs[where])
             out[rows, s] = key
         return out
@@ -317,7 +294,10 @@ def bucket_members(nodes: DataFrame) -> DataFrame:
         "node", F.xxhash64("digest").alias("mark"), "words", F.explode(F.array_distinct("keys")).alias("key")
     )
     sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
-    return stage(keyed.join(sizes, "key"), "near-members")
+    bitmap = stage(key_bitmap(sizes, "key"), "near-bucket-bits")
+    members = stage(with_maybe(keyed, bitmap, F.col("key")).where("_maybe").drop("_maybe").join(sizes, "key"), "near-members")
+    discard(sizes, bitmap)
+    return members
 
 
 def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -325,7 +305,7 @@ def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: fl
 
     A round compares its hubs with the members of other classes, and ends with the classes joined by its links.
     """
-    links, tried = [], []
+    links, tried, read = [], [], members
     members = members.withColumn("label", F.col("node"))
     hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "words", "label"), "node").alias("h")).select("key", "h.*")
     few = 1  # members of a bucket that have been hubs, about
@@ -339,8 +319,10 @@ def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: fl
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = stage(pairs, "near-pairs")
         tried.append(pairs)
-        found = stage(verified(stage(within_reach(pairs, bags, least), "near-reach"), texts, least), "near-links")
+        reach = stage(within_reach(pairs, bags, least), "near-reach")
+        found = stage(verified(reach, texts, least), "near-links")
         links.append(found)
+        discard(reach)
         # classes of classes: only labels that a new link joins change
         label = members.select("node", "label").distinct()
         joined = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la != lb")
@@ -348,11 +330,14 @@ def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: fl
         members = members.join(moved.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
         mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         # a bucket of at most `few` members, or of two, has had all its pairs
-        members = stage(members.where(F.col("size") > max(2, few)).join(mixed, "key", "left_semi"), "near-members")
+        before, members = read, stage(members.where(F.col("size") > max(2, few)).join(mixed, "key", "left_semi"), "near-members")
+        discard(before)
+        read = members
         if members.isEmpty():
             break
         few = HUBS if few == 1 else few * GROWTH
         hubs = members.where(F.pmod("mark", "size") < few)
+    discard(*tried)
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -371,13 +356,14 @@ def components(links: DataFrame) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.col("a").alias("near")).unionByName(
             links.select(F.col("b").alias("node"), F.col("a").alias("near"))
         )
-        hooks = stage(ends.groupBy("node").agg(F.min("near").alias("to")), "near-hooks")
+        hooks = hooked = stage(ends.groupBy("node").agg(F.min("near").alias("to")), "near-hooks")
         while True:  # a hook leads to a smaller node: the way to a root halves each time
             target = hooks.select(F.col("node").alias("to"), F.col("to").alias("further"))
             jumped = stage(
                 hooks.join(target, "to").select("node", F.col("to").alias("old"), F.col("further").alias("to")), "near-hooks"
             )
-            hooks = jumped.select("node", "to")
+            discard(hooked)
+            hooked, hooks = jumped, jumped.select("node", "to")
             if jumped.where("to != old").isEmpty():
                 break
         roots = hooks.select(F.col("node").alias("label"), F.col("to").alias("root"))
@@ -427,7 +413,9 @@ def near_classes(
         .dropDuplicates(["node"]),
         "near-texts",
     )
+    discard(wanted, bitmap)
     links = class_links(members, nodes.select("node", "words", "bag"), texts, similarity)
+    discard(texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labels = components(links)
     labelled = stage(
@@ -437,6 +425,7 @@ def near_classes(
         .select("digest", "first_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("n_links")),
         "near-named",
     )
+    discard(nodes)
     classes = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = stage(classes, "near-class-ids")  # so that the join has two plain exchanges, which AQE can split
     named = stage(labelled.join(classes, "label").select("digest", "class_id", "class_size", "n_links"), "near-classes")
