@@ -7,17 +7,17 @@ similarity rather than to set overlap.  Runs are two words; texts of up to ``SHO
 runs, have sketches of single words.  A text's keys depend on its words alone, not on what it is read with.
 
 1. Rows of equal text (white space and case aside) are one node; a hot text is pre-aggregated by digest.
-2. Texts that agree in a sketch share a bucket.  In rounds, some members of each bucket are hubs and meet the members of
-   other classes: first the smallest node, then ``HUBS`` more, ``GROWTH`` times as many in each round after that, until every member has
-   been one.  Classes are joined between rounds and a bucket of one class is done, so a family is compared with a few
-   hubs, while texts of one bucket stay in different classes only if they were compared.  Hubs and members meet in plain equi-joins,
-   so a bucket with a third of all texts is split like any other.
-3. A candidate whose numbers of words, in all or by hash, are too far apart is ruled out.  Any other is verified by banded alignment: the word edit distance must be at most ``1 - similarity`` of the longer
-   text.  The band is that wide, so the test is exact.
-4. Verified links make classes: the smallest label travels along links, with label jumps, until nothing changes.
+2. Texts that agree in a sketch share a bucket. First each member of a bucket meets the smallest node in it; the links that verify
+   join most families whole.
+3. In the buckets that still hold several classes, all members of different classes are compared, in blocks: a unit holds some of the members outside
+   the bucket's largest class and a block of all members, bounded in rows and words, so a bucket with a third of all texts is many units. A pair is compared in one of its
+   common buckets only. A unit gives links that join classes which were apart, not pairs.
+4. A pair whose words, counted by hash, are too far apart is ruled out. Any other is verified by banded alignment: the word edit
+   distance must be at most ``1 - similarity`` of the longer text. The band is that wide, so the test is exact.
+5. Verified links make classes: the smallest label travels along links, with label jumps, until nothing changes.
 
 The classes are those that verifying all pairs of each bucket would give; ``n_links`` counts the links that were verified on the
-way.  Texts that agree in no sketch are not compared; recall is measured in the tests.
+way.  Texts that agree in no sketch are not compared; recall is measured in the tests, by band of similarity.
 
 Defined results: NULL and empty texts are equal texts (one class, no links); a text of fewer than ``k`` words is one run; a class is
 named by its smallest id, NULL ids come last; repeated rows belong to one class; an empty table gives an empty result;
@@ -27,6 +27,7 @@ other columns are not read or kept as they are.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,12 @@ from recipeflow.session import discard, stage
 SKETCHES, PICKED, WORDS, SIMILARITY = 48, 3, 2, 0.8
 #: Texts of up to so many words have sketches of their own, of fewer single words.
 SHORT, SHORT_SKETCHES, SHORT_PICKED = 30, 20, 3
-#: Hubs of a bucket in the second round, and how many times more in each later one.
-HUBS, GROWTH = 64, 16
+#: Members and words of a block, about.
+BLOCK_ROWS, BLOCK_WORDS = 512, 200_000
 #: Runs of a text among which a sketch's picks are sought first, about; where they don't suffice all are.
 ENOUGH = 16
-#: Bytes of a text's word counts by hash, from which most pairs are seen to be too far apart without their texts.
-BAG = 128
+#: Places of a text's word counts by hash, from which most pairs are seen to be too far apart without an alignment.
+BAG = 1024
 
 
 def text_key(text: Column) -> Column:
@@ -148,12 +149,18 @@ class Sketcher:
         return out
 
 
+def sketch_kinds(sketches: int, least: float) -> list[tuple[Callable[[int], bool], slice]]:
+    """Which numbers of words have the long and the short kind of sketches, and the places of either among all sketches."""
+    both = int(least * (SHORT + 1))
+    return [(lambda n: n >= both, slice(0, sketches)), (lambda n: 0 < n <= SHORT, slice(sketches, sketches + SHORT_SKETCHES))]
+
+
 def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, picked: int, k: int, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, digest, keys, words, bag): ``keys`` is NULL for a text without words, ``words`` their number.
+    """(doc_id, digest, keys, words): ``keys`` is NULL for a text without words, ``words`` their number.
 
     Texts of ``both`` to ``SHORT`` words have both kinds of sketches, so two texts that are similar have one kind in common.
     """
-    both = int(least * (SHORT + 1))
+    kinds = sketch_kinds(sketches, least)
 
     def run(batches):
         long, short = Sketcher(sketches, picked, k), Sketcher(SHORT_SKETCHES, SHORT_PICKED, 1)
@@ -167,7 +174,7 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                     upto += 1
                 words = [len(t.split()) for t in texts[at:upto]]
                 keys: list[list[int] | None] = [[] if n else None for n in words]
-                for sketcher, fits in ((long, lambda n: n >= both), (short, lambda n: 0 < n <= SHORT)):
+                for sketcher, (fits, _) in zip((long, short), kinds, strict=True):
                     rows = [i for i, n in enumerate(words) if fits(n)]
                     for i, own in zip(rows, sketcher.sketch([texts[at + i] for i in rows]) if rows else (), strict=True):
                         keys[i] += own.view(np.int64).tolist()
@@ -177,14 +184,13 @@ def sketch_rows(docs: DataFrame, doc_id: Column, text: Column, sketches: int, pi
                         batch.column(1).slice(at, upto - at),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(words, pa.int32()),
-                        pa.array([b.tobytes() for b in long.bags(texts[at:upto])], pa.binary()),
                     ],
-                    names=["doc_id", "digest", "keys", "words", "bag"],
+                    names=["doc_id", "digest", "keys", "words"],
                 )
                 at = upto
 
     rows = docs.select(doc_id.cast("long").alias("doc_id"), text_key(text).alias("digest"), text.cast("string").alias("_text"))
-    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>, words int, bag binary")
+    return rows.mapInArrow(lean(run), "doc_id long, digest string, keys array<long>, words int")
 
 
 # ---------------------------------------------------------------- verification
@@ -246,25 +252,6 @@ def edit_similarity(a: list[str], b: list[str], least: float) -> float:
     return 1 - d / longer if d <= k else 0.0
 
 
-def within_reach(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose ``bags`` (node, words, bag) don't rule the similarity out: each word that one text has more
-    often than the other costs an edit, and neither equal hashes nor counts cut at 255 add to the difference."""
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            bag = [np.frombuffer(b"".join(column(batch, c)), np.uint8).reshape(-1, BAG).astype(np.int16) for c in ("bag_a", "bag_b")]
-            more = bag[0] - bag[1]
-            apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
-            longer = np.maximum(*[batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("words_a", "words_b")])
-            near = apart <= np.floor((1 - least) * longer + 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
-
-    both = pairs.join(bags.toDF("a", "words_a", "bag_a"), "a").join(bags.toDF("b", "words_b", "bag_b"), "b")
-    return both.select("a", "b", "words_a", "words_b", "bag_a", "bag_b").mapInArrow(lean(run), "a long, b long")
-
-
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of the ``pairs`` (a, b) of nodes whose ``texts`` (node, text) are similar enough."""
 
@@ -289,61 +276,150 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def bucket_members(nodes: DataFrame) -> DataFrame:
-    """(key, node, mark, words, size) of the buckets of more than one of ``nodes`` (node, digest, keys, words)."""
-    keyed = nodes.where("keys is not null").select(
-        "node", F.xxhash64("digest").alias("mark"), "words", F.explode(F.array_distinct("keys")).alias("key")
-    )
-    sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
+    """(key, node, words) of the buckets of more than one of ``nodes`` (node, keys, words)."""
+    keyed = nodes.where("keys is not null").select("node", "words", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "near-buckets")
     bitmap = stage(key_bitmap(sizes, "key"), "near-bucket-bits")
-    members = stage(with_maybe(keyed, bitmap, F.col("key")).where("_maybe").drop("_maybe").join(sizes, "key"), "near-members")
+    members = stage(with_maybe(keyed, bitmap, F.col("key")).where("_maybe").join(sizes, "key").select("key", "node", "words"), "near-members")
     discard(sizes, bitmap)
     return members
 
 
-def class_links(members: DataFrame, bags: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b, similarity), a < b, that join what all pairs within each bucket of ``members`` would join.
-
-    A round compares its hubs with the members of other classes, and ends with the classes joined by its links.
-    """
-    links, tried, read = [], [], members
-    members = members.withColumn("label", F.col("node"))
-    hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "words", "label"), "node").alias("h")).select("key", "h.*")
-    few = 1  # members of a bucket that have been hubs, about
-    while True:
-        h = hubs.select("key", F.col("node").alias("hub"), F.col("words").alias("hub_words"), F.col("label").alias("hub_label"))
-        longer, shorter = F.greatest("words", "hub_words"), F.least("words", "hub_words")
-        fits = longer - shorter <= F.floor((1 - least) * longer + 1e-9)  # else the lengths alone are too far apart
-        met = members.join(h, "key").where((F.col("label") != F.col("hub_label")) & fits)
-        pairs = met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
-        tried.append(pairs)
-        reach = stage(within_reach(pairs, bags, least), "near-reach")
-        found = stage(verified(reach, texts, least), "near-links")
-        links.append(found)
-        discard(reach)
-        # classes of classes: only labels that a new link joins change
-        label = members.select("node", "label").distinct()
-        joined = found.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").where("la != lb")
-        moved = components(joined.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-        members = members.join(moved.toDF("label", "to"), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-        mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        # a bucket of at most `few` members, or of two, has had all its pairs
-        before, members = read, stage(members.where(F.col("size") > max(2, few)).join(mixed, "key", "left_semi"), "near-members")
-        discard(before)
-        read = members
-        if members.isEmpty():
-            break
-        few = HUBS if few == 1 else few * GROWTH
-        hubs = members.where(F.pmod("mark", "size") < few)
-    discard(*tried)
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
+def far_apart(words: Column, other: Column, least: float) -> Column:
+    """Whether the numbers of words alone rule the similarity out."""
+    longer, shorter = F.greatest(words, other), F.least(words, other)
+    return longer - shorter > F.floor((1 - least) * longer + 1e-9)
+
+
+def first_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b, similarity) of the members of each bucket to its smallest node."""
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "words")).alias("h")).select("key", F.col("h.node").alias("a"), F.col("h.words").alias("a_words"))
+    met = members.join(hubs, "key").where((F.col("node") != F.col("a")) & ~far_apart(F.col("words"), F.col("a_words"), least))
+    pairs = stage(met.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    found = stage(verified(pairs, texts, least), "near-links")
+    discard(pairs)
+    return found
+
+
+class Unit:
+    """Rows (node, label, main, text, keys) of one bucket that are compared at a time: ``rest`` holds members outside the bucket's largest
+    class, which meet those of ``whole``."""
+
+    def __init__(self, rows: list[tuple], slots: int, at: Callable[[int], list[slice]]):
+        rows = sorted(rows, key=lambda r: r[0])  # what is found doesn't depend on the rows' order
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.first_label = np.array([r[1] for r in rows], np.int64)
+        self.label = self.first_label.copy()
+        self.main = np.array([r[2] for r in rows], bool)
+        self.words = [r[3].lower().split() for r in rows]
+        self.size = np.array([len(w) for w in self.words])
+        self.bag = Sketcher(1, 1, 1).bags([r[3] for r in rows])
+        self.keys = np.zeros((len(rows), slots), np.int64)  # a sketch's keys in one column
+        for i, r in enumerate(rows):
+            done = 0
+            for places in at(len(self.words[i])):
+                n = places.stop - places.start
+                self.keys[i, places] = r[4][done : done + n]
+                done += n
+        self.hash = _mixed(self.node.astype(np.uint64))
+
+
+def unit_links(key: int, rest: Unit, whole: Unit, least: float) -> list[tuple]:
+    """(a, b, similarity, label of a, label of b) of links that join the classes of a unit as comparing all its pairs would."""
+    out = []
+    slots = rest.keys.shape[1]
+    for i in range(len(rest.node)):
+        longer = np.maximum(rest.size[i], whole.size)
+        most = np.floor((1 - least) * longer + 1e-9)
+        meets = (whole.label != rest.label[i]) & (np.abs(whole.size - rest.size[i]) <= most) & (whole.main | (whole.node > rest.node[i]))
+        near = np.flatnonzero(meets)
+        if not len(near):
+            continue
+        # of the buckets that a pair has in common, a hash of the pair prefers one
+        common = (whole.keys[near] == rest.keys[i]) & (rest.keys[i] != 0)
+        turn = ((rest.hash[i] + whole.hash[near]) % np.uint64(slots)).astype(np.int64)
+        place = np.where(common, (np.arange(slots) - turn[:, None]) % slots, slots).argmin(1)
+        near = near[rest.keys[i, place] == key]
+        more = whole.bag[near].astype(np.int16) - rest.bag[i].astype(np.int16)
+        apart = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        near = near[apart <= most[near]]
+        for j in near:
+            if whole.label[j] == rest.label[i]:  # a link before this one has joined them
+                continue
+            similarity = edit_similarity(rest.words[i], whole.words[j], least)
+            if similarity:
+                pair = (int(rest.node[i]), int(rest.first_label[i])), (int(whole.node[j]), int(whole.first_label[j]))
+                (a, la), (b, lb) = sorted(pair)
+                out.append((a, b, similarity, la, lb))
+                gone, stays = whole.label[j], rest.label[i]
+                for u in (rest, whole):
+                    u.label[u.label == gone] = stays
     return out
 
 
+def block_links(members: DataFrame, labels: DataFrame, texts: DataFrame, least: float, sketches: int) -> DataFrame:
+    """Links (a, b, similarity, la, lb) that join the classes ``labels`` (node, label) as comparing all pairs of different
+    classes within each bucket of ``members`` would; ``la`` and ``lb`` are the classes that a and b had."""
+    labelled = stage(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
+    classes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    mixed = classes.groupBy("key").agg(
+        F.max(F.struct("n", "label", "w")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("classes")
+    )
+
+    def blocks(n: Column, w: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK_ROWS, w / BLOCK_WORDS)).cast("int")
+
+    mixed = stage(
+        mixed.where("classes > 1").select(
+            "key",
+            F.col("main.label").alias("main"),
+            blocks(F.col("n"), F.col("w")).alias("all_blocks"),
+            blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rest_blocks"),
+        ),
+        "near-mixed",
+    )
+    own = stage(labelled.join(mixed, "key"), "near-unlike")
+    discard(labelled, mixed)
+    bitmap = stage(key_bitmap(own, "node"), "near-unlike-bits")
+    wanted = with_maybe(texts, bitmap, F.col("node")).where("_maybe").select("node", "text", "keys")
+    mine = F.xxhash64("node")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("rest_blocks") - 1),
+        lambda r: F.struct(F.lit(False).alias("rest"), r.alias("r"), F.pmod(mine, F.col("all_blocks")).cast("int").alias("m")),
+    )
+    is_rest = F.transform(
+        F.sequence(F.lit(0), F.col("all_blocks") - 1),
+        lambda m: F.struct(F.lit(True).alias("rest"), F.pmod(mine, F.col("rest_blocks")).cast("int").alias("r"), m.alias("m")),
+    )
+    outside = F.col("label") != F.col("main")
+    units = own.withColumn("_unit", F.when(outside, F.concat(meets, is_rest)).otherwise(meets))
+    units = units.join(wanted, "node").select(
+        "key", F.explode("_unit").alias("_unit"), "node", "label", (~outside).alias("main"), "text", "keys"
+    )
+    units = units.select("key", "_unit.r", "_unit.m", "_unit.rest", "node", "label", "main", "text", "keys")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("la", pa.int64()), ("lb", pa.int64())])
+    kinds = sketch_kinds(sketches, least)
+
+    def places(words: int) -> list[slice]:
+        return [where for fits, where in kinds if fits(words)]
+
+    def compare(table: pa.Table) -> pa.Table:
+        held: dict[bool, list] = {True: [], False: []}
+        columns = [table.column(c).to_pylist() for c in ("rest", "node", "label", "main", "text", "keys")]
+        for is_rest, *row in zip(*columns, strict=True):
+            held[is_rest].append(row)
+        found = []
+        if held[True] and held[False]:
+            rest, whole = (Unit(held[r], sketches + SHORT_SKETCHES, places) for r in (True, False))
+            found = unit_links(table.column("key")[0].as_py(), rest, whole, least)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * 5, schema)], schema=schema)
+
+    links = units.groupBy("key", "r", "m").applyInArrow(compare, "a long, b long, similarity double, la long, lb long")
+    found = stage(links, "near-links")
+    discard(own)
+    return found
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that verified ``links`` (a, b), a < b, connect each node to.
 
@@ -393,14 +469,14 @@ def near_classes(
     rows = stage(sketch_rows(docs, F.col(id_col), F.col(text_col), sketches, picked, k, similarity), "near-rows")
     nodes = stage(
         rows.groupBy("digest")
-        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.first("bag").alias("bag"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
         .orderBy("digest")  # nodes are numbered in digest order, so the links don't depend on the partitioning
         .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
     members = bucket_members(nodes)
     wanted = stage(
-        members.select("node").distinct().join(nodes.select("node", "digest", "first_id"), "node"),
+        members.select("node").distinct().join(nodes.select("node", "digest", "first_id", "keys"), "node"),
         "near-wanted",
     )
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
@@ -409,15 +485,23 @@ def near_classes(
     own = with_maybe(own, bitmap, F.col("_id"), F.col("_digest")).where("_maybe").drop("_maybe")
     texts = stage(
         own.join(wanted, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("first_id")))
-        .select("node", "text")
+        .select("node", "text", "keys")
         .dropDuplicates(["node"]),
         "near-texts",
     )
     discard(wanted, bitmap)
-    links = class_links(members, nodes.select("node", "words", "bag"), texts, similarity)
-    discard(texts)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    links = first_links(members, texts, similarity)
     labels = components(links)
+    more = block_links(members, labels, texts, similarity, sketches)
+    joined = components(more.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    labels = (
+        labels.join(joined.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        # classes of one node are no rows of ``labels``
+        .unionByName(joined.join(labels.select("node"), "node", "left_anti"))
+    )
+    links = links.unionByName(more.select("a", "b", "similarity"))
+    discard(texts, members)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labelled = stage(
         nodes.select("node", "digest", "first_id", "copies")
         .join(labels, "node", "left")

@@ -92,3 +92,36 @@ def test_clashing_columns_and_long_texts(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
     left = order_minhash.drop_near_copies(table)
     assert left.columns == table.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3, 4]
+
+
+def test_blocks_of_a_bucket_join_what_all_pairs_would(spark, monkeypatch):
+    """Families near the bound, in blocks of a few rows: the classes are those of all pairs that share a key."""
+    ship_package(spark)
+    rng = random.Random(6)
+    rows = []
+    for n in (26, 40, 120):
+        for _ in range(2):
+            base = words(rng, n)
+            for _ in range(40):
+                copy = list(base)
+                for p in rng.sample(range(n), round(n * rng.uniform(0.05, 0.17))):
+                    copy[p] = rng.choice(VOCABULARY)
+                rows.append((len(rows), " ".join(copy)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["keys"]) for r in order_minhash.sketch_rows(table, table.doc_id, table.text, SKETCHES, PICKED, WORDS).collect()}
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if keys[i] & keys[j] and order_minhash.edit_similarity(a.split(), b.split(), 0.8):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert len({root(i) for i, _ in rows}) > 6
+    for block in (512, 7):
+        monkeypatch.setattr(order_minhash, "BLOCK_ROWS", block)
+        got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(table).collect()}
+        assert got == {i: root(i) for i in got}
