@@ -108,10 +108,9 @@ KANA_TO_LATIN = {
 }
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: script detection ranges (first 200 characters are examined)
+# FIXED VALUES: script detection ranges
 # ---------------------------------------------------------------------------
 
-SNIFF_PREFIX = 200
 SNIFF_MIN = 10
 JA_CLASS = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}]"
 ZH_KO_CLASS = "[\\x{1100}-\\x{11FF}\\x{3130}-\\x{318F}\\x{AC00}-\\x{D7AF}\\x{3400}-\\x{9FFF}]"
@@ -226,7 +225,7 @@ DEFAULT_CHAT_TITLE = "Ingredients"
 TS_FORMAT_CURRENT = "yyyyMMdd'T'HHmmss"
 TS_FORMAT_OLDER = "yyyyMMdd-HHmmss"
 SELECTED_RECIPE_PREFIX = "Selected recipe: "
-CHECK_BLOCK_PREFIX = "\U0001FA7A Health Check for: "
+CHECK_BLOCK_PREFIX = "🩺 Health Check for: "
 CHECK_BLOCK_DEFAULT_TITLE = "current recipe"
 NO_INGREDIENTS_TEXT = "No ingredients provided."
 

@@ -8,6 +8,8 @@ are in :mod:`recipeflow.operators.lookup`.
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,66 +117,42 @@ def check_payload(filters, text) -> Column:
 
 
 # --------------------------------------------------------------------------
-# prompts (own wording; the slots follow the application: query / title /
-# items / recipe + filters)
+# prompts: a template names its slots in braces; the defaults hold little more
 # --------------------------------------------------------------------------
 
-SYSTEM_PROMPT = (
-    "You are a cooking helper that runs offline. Answer briefly and in plain, tidy text; "
-    "when there are several items, put them in a bullet list."
-)
-
-SUGGEST_HEAD = "Act as a cooking assistant. The user asked for: "
-SUGGEST_TAIL = (
-    "\n\nReply with exactly 6 recipe names, one per line, and nothing else: "
-    "no explanations, numbers or bold text. For example:\n"
-    "- Lentil Soup\n- Herb Omelette\n- Garden Salad\n- Tomato Pasta\n- Fried Rice\n- Fruit Crumble\n"
-)
-DETAIL_HEAD = "Give the recipe for '"
-DETAIL_TAIL = (
-    "' in English.\nUse exactly this layout:\nIngredients:\n- first item\n- second item\n...\n\n"
-    "Steps:\n1. first step\n2. second step\n..."
-)
-NUTRITION_HEAD = (
-    "Estimate the nutrition of one serving made from the ingredients below. "
-    "Give a short block with calories, macronutrients and a few micronutrients; "
-    "mark rough values with '~'.\n\nIngredients:\n"
-)
-HEALTH_HEAD = (
-    "Act as a diet-aware cooking assistant. Review the recipe and suggest concrete ingredient "
-    "swaps with a short reason for each requested health condition.\n\nIngredients:\n"
-)
-HEALTH_STEPS = "\n\nSteps:\n"
-HEALTH_FILTERS = "\n\nHealth conditions:\n"
-HEALTH_TAIL = (
-    "\n\nAnswer in this layout only:\nHealth Check:\n- For <condition>:\n"
-    "  • Swap: <from> → <to>\n    Reason: <why>\n"
-    "If a condition does not apply, write 'Looks OK – no changes'.\n"
-)
-
-
-def suggest_prompt(query) -> Column:
-    return F.concat(F.lit(SUGGEST_HEAD), blank_to_empty(query), F.lit(SUGGEST_TAIL))
-
-
-def detail_prompt(title_en) -> Column:
-    return F.concat(F.lit(DETAIL_HEAD), blank_to_empty(title_en), F.lit(DETAIL_TAIL))
-
-
-def nutrition_prompt(items) -> Column:
+SYSTEM_PROMPT = "Plain text about food, no markup."
+SUGGEST_TEMPLATE = "Wanted: {query}\nDish names that fit, a line each:\n"
+DETAIL_TEMPLATE = "Dish: {title}\nWrite its two lists under the headings Ingredients: and Steps:\n"
+NUTRITION_TEMPLATE = "{items}\nNutrition of a portion of this:\n"
+HEALTH_TEMPLATE = "{ingredients}\n\n{steps}\n\nTo respect: {filters}\nWhat to replace, and why:\n"
+
+
+def template_parts(template: str) -> list[tuple[str, str | None]]:
+    """(text, slot behind it or None) of a template."""
+    return [(text, slot) for text, slot, _, _ in Formatter().parse(template)]
+
+
+def fill(template: str, **slots) -> Column:
+    """The template with each ``{slot}`` replaced by its column."""
+    parts = [[F.lit(text)] + ([slots[slot]] if slot is not None else []) for text, slot in template_parts(template)]
+    return F.concat(*[c for part in parts for c in part])
+
+
+def suggest_prompt(query, template: str = SUGGEST_TEMPLATE) -> Column:
+    return fill(template, query=blank_to_empty(query))
+
+
+def detail_prompt(title_en, template: str = DETAIL_TEMPLATE) -> Column:
+    return fill(template, title=blank_to_empty(title_en))
+
+
+def nutrition_prompt(items, template: str = NUTRITION_TEMPLATE) -> Column:
     """NULL for an empty list: such rows are answered without the model."""
     items = col(items)
-    return F.when(
-        F.size(items) > 0, F.concat(F.lit(NUTRITION_HEAD), bullets(items))
-    )
+    return F.when(F.size(items) > 0, fill(template, items=bullets(items)))
 
 
-def health_prompt(ingredients, steps, filters) -> Column:
+def health_prompt(ingredients, steps, filters, template: str = HEALTH_TEMPLATE) -> Column:
     ing = F.coalesce(col(ingredients), F.array().cast("array<string>"))
     st = F.coalesce(col(steps), F.array().cast("array<string>"))
-    return F.concat(
-        F.lit(HEALTH_HEAD), bullets(ing),
-        F.lit(HEALTH_STEPS), numbered(st),
-        F.lit(HEALTH_FILTERS), render_filters(filters),
-        F.lit(HEALTH_TAIL),
-    )
+    return fill(template, ingredients=bullets(ing), steps=numbered(st), filters=render_filters(filters))

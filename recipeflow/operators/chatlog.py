@@ -103,6 +103,8 @@ def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> D
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.json(path)
+    if "chat_id" in df.columns:  # folders name the chats: ids are read as they are written, 007 is not 7
+        df = reader.schema(T.StructType([*CHAT_SCHEMA, T.StructField("chat_id", T.StringType())])).json(path)
     fname = F.col("_metadata.file_name")
     stem = F.regexp_extract(fname, "^(.*?)(\\.json)?$", 1)
     chat_id = F.col("chat_id").cast("string") if "chat_id" in df.columns else stem
@@ -203,11 +205,19 @@ def unify_message_schema(messages: DataFrame, chats: DataFrame | None = None) ->
 # --------------------------------------------------------------------------
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL, so rows without a chat are kept like any other's."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def new_chat_rows(requests: DataFrame, ts: str = "ts", title: str = "title") -> DataFrame:
     """Chat ids ``<yyyyMMdd'T'HHmmss>_<title with '_' for ' '>``.
 
     Requests in the same second with the same title get the same id (the
     application overwrote the file); ``n_same_id`` reports such collisions.
+    A request without a time has no id, and is kept.
     The count is a partial aggregate joined back, so a hot id is handled by
     map-side combining and AQE skew splitting, not by one window task.
     """
@@ -217,7 +227,7 @@ def new_chat_rows(requests: DataFrame, ts: str = "ts", title: str = "title") ->
         F.concat(F.date_format(F.col(ts), K.TS_FORMAT_CURRENT), F.lit("_"), F.replace(t, F.lit(" "), F.lit("_"))),
     )
     counts = rows.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_same_id"))
-    return rows.join(counts, "chat_id", "inner")
+    return join_null_safe(rows, counts, "chat_id")
 
 
 # --------------------------------------------------------------------------
@@ -249,7 +259,7 @@ def row_number_within(df: DataFrame, key: str, order: str, partitions: int | Non
         ),
     ).drop("_cnt")
     return (
-        local.join(offsets, [key, "_pid"], "inner")
+        join_null_safe(local, offsets, key, "_pid")
         .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
         .drop("_pid", "_lrn", "_off")
     )
@@ -271,7 +281,7 @@ def append_messages(
     last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
     numbered = row_number_within(new, "chat_id", order_by, out="_rn")
     out = (
-        numbered.join(last, "chat_id", "left")
+        join_null_safe(numbered, last, "chat_id", how="left")
         .withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.col("_rn")).cast("bigint"))
         .drop("_last", "_rn")
     )
@@ -286,17 +296,21 @@ def append_messages(
 # --------------------------------------------------------------------------
 
 
-def history(messages: DataFrame, chat_ids: DataFrame | None = None) -> DataFrame:
+def history(messages: DataFrame, chat_ids: DataFrame | None = None, dense: bool = True) -> DataFrame:
     """Messages newest first: ``rank`` 1 is the last message of the chat.
 
-    ``seq`` is dense (list position), so the reverse position is
-    ``max(seq) - seq + 1`` - a partial aggregate and a join, no per-chat sort.
+    With a ``dense`` ``seq`` (list position) the reverse position is ``max(seq) - seq + 1``: a partial aggregate and a join,
+    no per-chat sort.  Where positions may be missing, rows are numbered by :func:`row_number_within`.
+    Rows without a chat are a chat of their own.
     """
     if chat_ids is not None:
-        messages = messages.join(chat_ids.select("chat_id").distinct(), "chat_id", "left_semi")
+        messages = join_null_safe(messages, chat_ids.select("chat_id").distinct(), "chat_id", how="left_semi")
+    if not dense:
+        backwards = messages.withColumn("_back", -F.col("seq"))
+        return row_number_within(backwards, "chat_id", "_back", out="rank").drop("_back")
     last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
     return (
-        messages.join(last, "chat_id", "inner")
+        join_null_safe(messages, last, "chat_id")
         .withColumn("rank", (F.col("_last") - F.col("seq") + 1).cast("bigint"))
         .drop("_last")
     )

@@ -173,14 +173,19 @@ def translate_array(
     translator_factory: Callable,
     memory: DataFrame | None = None,
     out: str = "translated",
+    unique_key: bool = False,
     **kw,
 ) -> DataFrame:
     """Item-wise translation of an array column.
 
     Each item is stripped and translated; a failed item keeps its original
     (unstripped) text; if the pair of codes is not translatable the array is
-    returned unchanged.  ``key`` must identify rows of ``df``.
+    returned unchanged.  Rows are staged with numbers of their own, so a repeated ``key`` merges nothing;
+    with ``unique_key`` the caller says that ``key`` identifies the rows already.
     """
+    if not unique_key:
+        df = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+        key = "_row"
     go = can_translate(safe_lang_code(tgt)) & can_translate(safe_lang_code(src))
     items = df.where(go).select(
         key, col(src).alias("_s"), col(tgt).alias("_t"), F.posexplode(arr).alias("_pos", "_item")
@@ -190,11 +195,8 @@ def translate_array(
     tr = tr.withColumn("_val", F.when(F.col("_tr_error").isNull(), F.col("_tr")).otherwise(F.col("_item")))
     back = tr.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_val"))).alias("_pairs"))
     back = back.select(key, F.transform("_pairs", lambda x: x["_val"]).alias("_arr"))
-    return (
-        df.join(back, key, "left")
-        .withColumn(out, F.coalesce(F.col("_arr"), col(arr)))
-        .drop("_arr")
-    )
+    joined = df.join(back, key, "left").withColumn(out, F.coalesce(F.col("_arr"), col(arr))).drop("_arr")
+    return joined if unique_key else joined.drop("_row")
 
 
 def query_to_english(df, text, lang, translator_factory, memory=None, out="query_en", **kw) -> DataFrame:

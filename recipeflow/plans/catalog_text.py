@@ -250,9 +250,10 @@ def q_looks_like_lang(spark, sf):
 
 
 # post edit: noise phrases picked per item (our own sample list)
+# what the edits look for, and marks of our own beside which they must not
 NOISE = (
-    "スーシー", " 、", "ソース ソース", "ソースソース", "ナイジェリ", "カクマー", "サルモン", "　。",
-    "수시", "컵", "마리화나", "<unk>", " ，", "\t；", " ：", "・",
+    *[found for found, _ in K.POST_EDIT_JA], *[found for found, _ in K.POST_EDIT_KO], K.POST_EDIT_ZH_DROP,
+    " 、", "　。", " ，", "\t；", " ：", "・",
 )
 EDIT_CODES = ("ja", "ko", "zh", "zh-cn", "zh-tw", "en", "fr")
 _NOISE_SQL = "[" + ", ".join(S.lit(x) for x in NOISE) + "]"

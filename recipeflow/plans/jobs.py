@@ -30,6 +30,7 @@ from recipeflow.functions import render as R
 from recipeflow.functions import text as X
 from recipeflow.operators import chatlog as C
 from recipeflow.operators.modelmap import map_model, materialize
+from recipeflow.sources.message_log import MessageLog
 from recipeflow.operators.translate import back_translate_title, translate_array, translate_block
 
 
@@ -42,14 +43,18 @@ def _stored(memory_path: str | None, kind: str) -> str | None:
     return None if memory_path is None else f"{memory_path}/{kind}"
 
 
-def append_to_log(rows: DataFrame, key: str, log: DataFrame, path: str | None = None) -> DataFrame:
+def append_to_log(rows: DataFrame, key: str, log: DataFrame | MessageLog, run: str | None = None, at=None) -> DataFrame:
     """A job's message rows (with ``chat_id``) at the next positions of their chats in ``log``, in the order
-    of ``key``, the user's message first; appended to the parquet log at ``path`` if given."""
+    of ``key``, the user's message first.
+
+    A :class:`MessageLog` is written too, as ``run`` of the time ``at``; a repeated run takes the place of the one before.
+    """
     new = rows.withColumn("_order", F.struct(key, "seq")).drop("seq")
-    out = C.append_messages(log, new, "_order").drop("_order")
-    if path is not None:
+    stored = isinstance(log, MessageLog)
+    out = C.append_messages(log.read(without_run=run) if stored else log, new, "_order").drop("_order")
+    if stored:
         out = materialize(out)
-        out.write.mode("append").parquet(path)
+        log.write(out, run, at)
     return out
 
 
@@ -74,13 +79,15 @@ def suggest_job(
     translator: Callable,
     key: str = "query_id",
     memory: DataFrame | None = None,
-    log: DataFrame | None = None,
+    log: DataFrame | MessageLog | None = None,
     memory_path: str | None = None,
+    run: str | None = None,
+    at=None,
 ) -> DataFrame:
     """queries(key, raw, display_lang) -> message rows (key, seq, role, content, payload_json).
 
     With ``chat_id`` (and ``ts``) in ``queries`` and a message ``log``, the rows take the next positions of
-    their chats.  Answers and translations of earlier runs are reused from ``memory_path``.
+    their chats; a :class:`MessageLog` stores them as ``run``, with the time ``at`` where a row has none.  Answers and translations of earlier runs are reused from ``memory_path``.
     """
     q = queries.select(
         key,
@@ -92,14 +99,14 @@ def suggest_job(
     req = q.withColumn("task", F.lit("suggest")).withColumn("system", F.lit(R.SYSTEM_PROMPT))
     ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
     t = ans.select(key, *_carried(q), "raw", "code", P.extract_titles(P.titles_text_or_default("text", "error")).alias("titles"))
-    t = materialize(t)
+    t = materialize(t.withColumn("_row", F.monotonically_increasing_id()))
     tgt = F.when(F.col("code") != "en", F.col("code")).otherwise(F.lit("auto"))
     t = translate_array(
-        t.withColumn("_tgt", tgt), key, "titles", F.lit("en"), "_tgt", translator, memory, out="titles_loc",
-        memory_path=_stored(memory_path, "translations"),
+        t.withColumn("_tgt", tgt), "_row", "titles", F.lit("en"), "_tgt", translator, memory, out="titles_loc",
+        unique_key=True, memory_path=_stored(memory_path, "translations"),
     )
     rows = _messages(t, key, F.col("raw"), R.render_titles("titles_loc"))
-    return rows if log is None else append_to_log(rows, key, log)
+    return rows if log is None else append_to_log(rows, key, log, run, at)
 
 
 def recipe_job(
@@ -108,8 +115,10 @@ def recipe_job(
     translator: Callable,
     key: str = "title_id",
     memory: DataFrame | None = None,
-    log: DataFrame | None = None,
+    log: DataFrame | MessageLog | None = None,
     memory_path: str | None = None,
+    run: str | None = None,
+    at=None,
 ) -> DataFrame:
     """titles(key, title, display_lang) -> message rows with the recipe payload; ``log`` and ``memory_path``
     as in :func:`suggest_job`."""
@@ -129,13 +138,15 @@ def recipe_job(
     )
     ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
     r = P.with_recipe(ans.select(key, *_carried(t), "title", "code", "error", "text"), "text", error="error")
-    r = materialize(r.drop("text"))
+    r = materialize(r.drop("text").withColumn("_row", F.monotonically_increasing_id()))
     # ingredients and steps are translated in one pass as one array, then split
     tgt = F.when(F.col("error").isNull() & (F.col("code") != "en"), F.col("code")).otherwise(F.lit("auto"))
     r = r.withColumn("_tgt", tgt).withColumn(
         "_all", F.concat(F.col("recipe.ingredients"), F.col("recipe.steps"))
     ).withColumn("_n_ing", F.size("recipe.ingredients"))
-    r = translate_array(r, key, "_all", F.lit("en"), "_tgt", translator, memory, out="_all_loc", memory_path=translations)
+    r = translate_array(
+        r, "_row", "_all", F.lit("en"), "_tgt", translator, memory, out="_all_loc", unique_key=True, memory_path=translations
+    )
     r = r.withColumn("ingredients", F.slice("_all_loc", 1, F.col("_n_ing"))).withColumn(
         "steps", F.slice("_all_loc", F.col("_n_ing") + 1, F.size("_all_loc"))
     )
@@ -146,7 +157,7 @@ def recipe_job(
         R.render_recipe("ingredients", "steps", "code"),
         R.recipe_payload(F.col("title"), F.col("ingredients"), F.col("steps")),
     )
-    return rows if log is None else append_to_log(rows, key, log)
+    return rows if log is None else append_to_log(rows, key, log, run, at)
 
 
 def nutrition_job(
@@ -169,28 +180,34 @@ def nutrition_job(
 
 
 def health_job(
-    messages: DataFrame,
+    messages: DataFrame | MessageLog,
     filters: DataFrame,
     langs: DataFrame,
     generator: Callable,
     translator: Callable,
     memory: DataFrame | None = None,
     memory_path: str | None = None,
+    run: str | None = None,
+    at=None,
 ) -> tuple[DataFrame, DataFrame]:
     """(checks, rejected).
 
     ``filters(chat_id, health_filters)``, ``langs(chat_id, display_lang)``.
     checks: (chat_id, status 'ok'|'error', seq, role, content, payload_json); a check that succeeded is the
-    assistant's message at the next position of its chat, the others have no seq.
+    assistant's message at the next position of its chat, the others have no seq.  A :class:`MessageLog` as
+    ``messages`` is read and the checks that succeeded are stored in it as ``run``.
     """
+    log = messages if isinstance(messages, MessageLog) else None
+    if log is not None:
+        messages = log.read(without_run=run)
     latest = materialize(C.latest_payload(messages))  # accepted and rejected chats come from one pass
     last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
     ok, rejected = C.eligible_for_check(latest)
     d = F.col("recipe_detail")
     j = (
-        ok.join(filters, "chat_id", "left")
-        .join(langs, "chat_id", "left")
-        .join(last, "chat_id")
+        C.join_null_safe(
+            C.join_null_safe(C.join_null_safe(ok, filters, "chat_id", how="left"), langs, "chat_id", how="left"), last, "chat_id"
+        )
         .select(
             "chat_id",
             (F.col("_last") + 1).alias("seq"),
@@ -216,4 +233,7 @@ def health_job(
         F.when(~failed, R.render_check_block("title", "text_loc")).alias("content"),
         F.when(~failed, F.to_json(R.check_payload(F.col("health_filters"), F.col("text_loc")))).alias("payload_json"),
     )
+    if log is not None:
+        checks = materialize(checks)
+        log.write(checks.where("seq is not null").drop("status"), run, at)
     return checks, rejected.select("chat_id")

@@ -244,23 +244,29 @@ def parse_recipe_ctes(src: str, key: str, text: str, prefix: str, fallback: bool
 # --------------------------------------------------------------------------
 
 
+def fill(template: str, **slots: str) -> str:
+    parts = [f"{lit(text)}" + (f" || {slots[slot]}" if slot is not None else "") for text, slot in R.template_parts(template)]
+    return "(" + " || ".join(parts) + ")"
+
+
 def suggest_prompt(q: str) -> str:
-    return f"({lit(R.SUGGEST_HEAD)} || coalesce({q}, '') || {lit(R.SUGGEST_TAIL)})"
+    return fill(R.SUGGEST_TEMPLATE, query=f"coalesce({q}, '')")
 
 
 def detail_prompt(t: str) -> str:
-    return f"({lit(R.DETAIL_HEAD)} || coalesce({t}, '') || {lit(R.DETAIL_TAIL)})"
+    return fill(R.DETAIL_TEMPLATE, title=f"coalesce({t}, '')")
 
 
 def nutrition_prompt(items: str) -> str:
-    return f"(CASE WHEN len({items}) > 0 THEN {lit(R.NUTRITION_HEAD)} || {bullets(items)} END)"
+    return f"(CASE WHEN len({items}) > 0 THEN {fill(R.NUTRITION_TEMPLATE, items=bullets(items))} END)"
 
 
 def health_prompt(ing: str, steps: str, filters: str) -> str:
-    return (
-        f"({lit(R.HEALTH_HEAD)} || {bullets(f'coalesce({ing}, []::VARCHAR[])')} || {lit(R.HEALTH_STEPS)} || "
-        f"{numbered(f'coalesce({steps}, []::VARCHAR[])')} || {lit(R.HEALTH_FILTERS)} || {render_filters(filters)} || "
-        f"{lit(R.HEALTH_TAIL)})"
+    return fill(
+        R.HEALTH_TEMPLATE,
+        ingredients=bullets(f"coalesce({ing}, []::VARCHAR[])"),
+        steps=numbered(f"coalesce({steps}, []::VARCHAR[])"),
+        filters=render_filters(filters),
     )
 
 

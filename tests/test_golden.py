@@ -120,14 +120,14 @@ def test_nutrition_guard(spark):
     from recipeflow.plans.jobs import nutrition_job
     from recipeflow.plans.stubs import StubGenerator
 
-    from recipeflow.functions.render import NUTRITION_HEAD
+    from recipeflow.functions.render import NUTRITION_TEMPLATE
 
     lists = [(1, " , "), (2, "egg, milk"), (3, "egg, milk, salt")]
     df = spark.createDataFrame(lists, "list_id bigint, items string")
     out = {r.list_id: r for r in nutrition_job(df, StubGenerator()).collect()}
     assert out[1].text == "No ingredients provided." and out[1].error is None
     for k, items in ((2, ["egg", "milk"]), (3, ["egg", "milk", "salt"])):
-        prompt = NUTRITION_HEAD + "- " + "\n- ".join(items)
+        prompt = NUTRITION_TEMPLATE.format(items="- " + "\n- ".join(items))
         if len(prompt) % 10 == 0:
             assert out[k].text is None and out[k].error == "boom"
         else:
