@@ -266,7 +266,9 @@ def leaks(
     """(doc_id, item_id, start, end, edits): the places of ``docs`` that equal a benchmark item within ``rate`` edits."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
-    items = stage(items.where("text is not null"), "benchmark-items")
+    asked = stage(items.where("text is not null").distinct(), "benchmark-rows")
+    # each text is indexed once, however many items hold it
+    items = stage(asked.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), "benchmark-items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -289,7 +291,9 @@ def leaks(
 
         part = rows.mapInArrow(lean(run), LEAKS)
         result = part if result is None else result.unionByName(part)
-    return result.withColumnRenamed("_id", id_col)
+    holders = asked.withColumnRenamed("id", "item_id").join(items.withColumnRenamed("id", "_item"), "text").select("_item", "item_id")
+    named = result.withColumnRenamed("item_id", "_item").join(holders, "_item")
+    return named.select(F.col("_id").alias(id_col), "item_id", "start", "end", "edits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

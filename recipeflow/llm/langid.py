@@ -1,7 +1,7 @@
 """Language identification by n-gram filters that hold a bitmask of languages.
 
 Training collects, per language, the character n-grams that are common in it.  All languages share one bit-sliced Bloom
-filter: each of its ``slots`` holds a word with one bit per language, an n-gram sets its language's bit in ``hashes`` slots,
+filter: each of its ``slots`` holds one bit per language, in as many 64-bit words as that takes, an n-gram sets its language's bit in ``hashes`` slots,
 and the AND of those slots answers at once which languages contain an n-gram.
 
 A text is scored by counting, per language, its n-grams that the filter claims.  A filter of which a share f of
@@ -9,7 +9,8 @@ the slots is set claims a strange n-gram with probability f ** hashes; the count
 with the most corrected hits wins.
 
 Only text and language of the training rows are learned from.  Defined results: NULL texts and texts without a letter are
-``und`` with score 0; texts shorter than an n-gram are padded with spaces at both ends, like all texts; equal scores go to
+``und`` with score 0; texts are padded with a space at both ends; a text with letters but no n-gram (a single letter, or letters
+beyond the basic plane alone) tells the languages apart by nothing, so all score 0; equal scores go to
 the language that comes first by name; without training rows everything is ``und``; an empty table gives an
 empty result; repeated rows get equal answers; other columns are not read.
 """
@@ -20,19 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recipeflow.llm.common import basic_plane, code_points, column, lean, letter_table, lower_table, segments
 from recipeflow.session import stage
 
-#: Bound of the texts that a language's n-grams are learned from, and of the languages (bits of a word).
-FIT_TEXTS, MOST_LANGUAGES = 1_000, 64
+#: Bound of the texts that a language's n-grams are learned from.
+FIT_TEXTS = 1_000
 
 
 @dataclass
 class Filters:
-    """``words[slot]``: bit i is set for language i."""
+    """``words[slot, i // 64]``: bit ``i % 64`` is set for language i."""
 
     languages: list[str]
     words: np.ndarray
@@ -97,24 +98,17 @@ def train(
     ``least`` times are kept.  (A bounded fit, the bound being a parameter; prediction covers all texts.)
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text")
-    kinds = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    words = np.zeros(slots, dtype=np.uint64)
-    names = sorted(kinds)
+    totals = stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-languages")
+    names = sorted(r["lang"] for r in totals.collect())
+    words = np.zeros((slots, max(1, -(-len(names) // 64))), dtype=np.uint64)
     if not names:
         return Filters([], words, np.zeros(0), size, hashes)
-    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(1.0)
-    for k in names:  # about fit_texts of each language, by hash, and exactly as many at most
-        share = F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * fit_texts / total[k]))).otherwise(share)
     h = F.xxhash64("text")
-    near = rows.where(F.col("lang").isin(names)).where(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
-    parts = [
-        near.where(F.col("lang") == k).orderBy(h, "text").limit(fit_texts).select("lang", "text")
-        for k in names
-    ]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.unionByName(p)
+    # about fit_texts of each language, by hash, and exactly as many at most: one pass for all languages
+    share = F.least(F.lit(1.0), 1.3 * fit_texts / F.col("n"))
+    near = rows.join(F.broadcast(totals), "lang").where(F.pmod(h, F.lit(1_000_003)) < share * 1_000_003)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(h, "text"))
+    sample = near.withColumn("_place", place).where(F.col("_place") <= fit_texts).select("lang", "text")
     sample = stage(sample, "langid-sample")
     grams = Grams(size)
 
@@ -132,8 +126,8 @@ def train(
     for i, name in enumerate(names):
         g = kept.gram[kept.lang == name].to_numpy().view(np.uint64)
         for k in range(hashes):
-            np.bitwise_or.at(words, slot_of(g, k, slots), np.uint64(1 << i))
-    wrong = np.array([np.mean((words >> np.uint64(i)) & np.uint64(1)) ** hashes for i in range(len(names))])
+            np.bitwise_or.at(words[:, i // 64], slot_of(g, k, slots), np.uint64(1 << i % 64))
+    wrong = np.array([np.mean((words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) ** hashes for i in range(len(names))])
     return Filters(names, words, wrong, size, hashes)
 
 
@@ -159,15 +153,15 @@ def _predict(shared):
                 np.add.at(seen, rows, np.bincount(owner, minlength=len(group)))
                 mask = filters.claims(found)
                 for i in range(len(filters.languages)):
-                    bit = (mask >> np.uint64(i)) & np.uint64(1)
+                    bit = (mask[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
                     np.add.at(hits[:, i], rows, np.bincount(owner, weights=bit, minlength=len(group)))
             out, score = [], []
             for i in range(len(texts)):
-                if not letters[i] or not seen[i] or not filters.languages:
+                if not filters.languages or not (letters[i] or any(c.isalpha() for c in texts[i] or "")):
                     out.append("und")
                     score.append(0.0)
                     continue
-                true = np.clip((hits[i] / seen[i] - filters.wrong) / np.maximum(1 - filters.wrong, 1e-9), 0, 1)
+                true = np.clip((hits[i] / max(seen[i], 1) - filters.wrong) / np.maximum(1 - filters.wrong, 1e-9), 0, 1)
                 best = int(np.argmax(true))
                 out.append(filters.languages[best])
                 score.append(float(true[best]))
@@ -180,7 +174,7 @@ def _predict(shared):
 
 
 def predict(docs: DataFrame, filters: Filters, doc_id: Column, text: Column) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row; the filters (``8 * slots`` bytes) are broadcast."""
+    """(doc_id, lang_pred, score) for each row; the filters (``slots`` bits a language, in whole words) are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
     return docs.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("_text")).mapInArrow(
         lean(_predict(shared)), PREDICTED

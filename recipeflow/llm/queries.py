@@ -142,7 +142,8 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(load(spark, sf_dir, "documents", "doc_id", "text"))
+    documents = load(spark, sf_dir, "documents", "doc_id", "text")
+    found = secret_scan.scan(documents, identifiers=secret_scan.corpus_identifiers(documents))
 
     def kept(*kinds):
         return F.filter("spans", lambda s: s["kind"].isin(*kinds))

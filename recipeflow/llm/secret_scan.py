@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and incompressible strings in sensitive contexts.
 
 The base kinds are patterns (assignments to sensitive names, access keys, long hexadecimal runs).  The method adds what no
-pattern names: a string of ``SHORTEST`` characters or more that stands near a sensitive word is a candidate; its novelty is the
+pattern names: a string of ``SHORTEST`` characters or more within ``REACH`` of a sensitive word, before or behind it, is a candidate, and so is one that
+begins within ``REACH`` behind a reported string (the next line of a wrapped key); its novelty is the
 number of bytes by which it lengthens the zstandard frame of the text around it, the compressor being primed with a dictionary of
-identifiers.  What the code around or the dictionary knows costs next to nothing; a random string costs about its
+identifiers: common words of programs, and the ``KNOWN`` most frequent identifiers of the corpus, counted over all its texts
+(:func:`corpus_identifiers`).  What the code around or the dictionary knows costs next to nothing; a random string costs about its
 entropy.  Candidates of at least ``least`` bytes a character that mix letters and digits are reported as ``novel``.
 
 Defined results: NULL and empty texts have no spans; spans are code points, ends exclusive; base matches are leftmost and do not
@@ -14,6 +16,8 @@ table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -31,6 +35,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE_WORDS = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "bearer", "auth")
 SENSITIVE = re.compile("|".join(SENSITIVE_WORDS), re.IGNORECASE | re.ASCII)
 SHORTEST, REACH, AROUND = 16, 64, 256
+#: Identifiers of the corpus that the compressor is primed with, at most (of 64 characters at most).
+KNOWN = 1024
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 #: What the compressor knows beforehand: words that identifiers are made of.
 IDENTIFIERS = (
@@ -70,27 +76,51 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def candidates(text: str, words: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of each run of candidate characters, less what a sensitive word in it and what stands before that word.
+
+    ``words`` are the places of sensitive words; of several in one run the first counts, so the work is linear.
+    """
+    found = []
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(words) and words[at][1] <= start:
+            at += 1
+        if at < len(words) and words[at][0] < end:
+            start = min(words[at][1], end)
+        if end - start >= SHORTEST:
+            found.append((start, end))
+    return found
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], meter: NoveltyMeter, least: float = 0.45) -> list[tuple[str, int, int]]:
-    found: dict[tuple[int, int], bool] = {}
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    for s in SENSITIVE.finditer(text):
-        # a candidate begins within reach behind the sensitive word
-        for m in CANDIDATE.finditer(text, s.end()):
-            if m.start() > s.end() + REACH:
-                break
-            if (m.start(), m.end()) in found:
-                continue
-            c = m[0]
-            fresh = (
-                any(x.isdigit() for x in c)
-                and any(x.isalpha() for x in c)
-                and not any(a < m.end() and m.start() < b for _, a, b in known)
-                and meter.novelty(text[max(0, m.start() - AROUND) : m.start()], c, text[m.end() : m.end() + AROUND]) >= least
-            )
-            found[m.start(), m.end()] = fresh
-    return [("novel", a, b) for (a, b), fresh in found.items() if fresh]
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    begins, ends = [a for a, _ in words], [b for _, b in words]
+    taken = sorted((a, b) for _, a, b in known)
+    far = list(accumulate((b for _, b in taken), max))  # how far the base spans up to each reach
+    found, carried = [], -1
+    for start, end in candidates(text, words):
+        behind = bisect_left(ends, start - REACH)
+        before = bisect_left(begins, end)
+        near = (
+            (behind < len(ends) and ends[behind] <= start)
+            or (before < len(begins) and begins[before] <= end + REACH)
+            or 0 <= start - carried <= REACH and carried >= 0
+        )
+        last = bisect_left(taken, (end, 0)) - 1
+        if not near or (last >= 0 and far[last] > start):
+            continue
+        c = text[start:end]
+        if not any(x.isdigit() for x in c) or not any(x.isalpha() for x in c):
+            continue
+        if meter.novelty(text[max(0, start - AROUND) : start], c, text[end : end + AROUND]) >= least:
+            found.append(("novel", start, end))
+            carried = end
+    return found
 
 
 def scan_text(text: str | None, meter: NoveltyMeter) -> list[tuple[str, int, int]]:
@@ -99,12 +129,23 @@ def scan_text(text: str | None, meter: NoveltyMeter) -> list[tuple[str, int, int
     return sorted(base + novel_spans(text or "", base, meter), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans: array of kind, start, end, value) of each row."""
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> str:
+    """The ``known`` most frequent identifiers of several words (``like_this`` or ``likeThis``) of all texts, by rows that hold them.
+
+    Words with digits are left out: a key that many texts repeat must not become known.
+    """
+    names = F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"\b[A-Za-z]{2,24}(?:_[A-Za-z]{2,24}|[a-z][A-Z][a-z]{1,24})+\b"), F.lit(0))
+    counts = docs.select(F.explode(F.array_distinct(names)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("n > 1 and length(name) <= 64").orderBy(F.desc("n"), "name").limit(known).collect()
+    return " ".join(r["name"] for r in reversed(top))  # the most frequent stand last, nearest to the text
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", identifiers: str = "") -> DataFrame:
+    """(doc_id, spans: array of kind, start, end, value) of each row; ``identifiers`` are known besides :data:`IDENTIFIERS`."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
 
     def run(batches):
-        meter = NoveltyMeter()
+        meter = NoveltyMeter(identifiers + " " + IDENTIFIERS)
         for batch in batches:
             out = []
             for text in column(batch, "_text"):

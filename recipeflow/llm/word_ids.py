@@ -41,7 +41,8 @@ class WordIds:
 
     def __init__(self, path: str, slots: int = 1 << 21):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text that spells a special token out goes to the tokenizer whole, which gives it that token's id
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -138,6 +139,8 @@ class WordIds:
         cuts = np.flatnonzero(cut)
         within = place - np.maximum.accumulate(np.where(cut, place, 0))
         whole = np.logical_or.reduceat((kind == ODD) | (within >= LONGEST), begins)
+        for i, t in enumerate(texts):
+            whole[i] |= any(s in t or s in t.lower() for s in self.special) if "<" in t or ">" in t else False
         values = self.mix[low] * self.power[np.minimum(within, LONGEST - 1)]
         sums = np.add.reduceat(values, cuts)
         sizes = np.diff(np.append(cuts, len(codes)))

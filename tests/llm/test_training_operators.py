@@ -290,7 +290,6 @@ def test_token_counts(docs, empty):
 
 def test_word_ids_equal_the_tokenizer():
     plain = Tokenizer.from_file(TOKENIZER)
-    plain.encode_special_tokens = True
     texts = [
         "a\x1cb cé Ça.x don't İstanbul ΣΑΣ 12³ x, ,. Ĳ ŉ K  q", "", "  ", "ſtraße µ ª", "they'LL 're ''s x'sy \"'s z'",
         "café x", "a1b2 3.5% \xa0 ½ ¿qué? «oui»", "中文 text 🙂", "<|endoftext|> x", prose(1, 500), "w" * 5000,
