@@ -18,7 +18,8 @@ Plan (and why)
 2. ``distinct`` over key and fields - a hash aggregate that collapses duplicate
    prompts map-side, so a prompt repeated by a third of all rows costs one
    row per map task (skew-safe).
-3. optional ``left_anti`` against a memory table of earlier answers.
+3. optional ``left_anti`` against earlier answers; with a memory table, keys that its filter lets
+   through are looked up in its buckets (the table itself is not shuffled).
 4. ``repartition(n, req_key)`` - model tasks are balanced by request count
    (AQE does not coalesce an explicit repartition, so small-in-bytes but
    expensive-to-compute batches still fan out).
@@ -39,7 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.operators.lookup import with_task_params
-from recipeflow.session import read_table_if_any, work_dir
+from recipeflow.session import work_dir
+from recipeflow.sources.memory_table import MemoryTable
 
 KEY_SEP = "\u001f"
 ANSWER_SCHEMA = "req_key string, text string, error string"
@@ -145,10 +147,9 @@ def map_model(
     come from the task table.  Rows whose prompt is NULL are not sent to the
     model (text and error stay NULL).  ``memory`` (req_key, text) holds
     earlier successful answers that are reused instead of calling the model.
-    ``memory_path`` names such a table in shared storage: what it holds is
+    ``memory_path`` names a :class:`MemoryTable` in shared storage: what it holds is
     reused, and new successful answers are appended to it.
     """
-    memory = with_stored(requests.sparkSession, memory, memory_path, "req_key", "text")
     if memory is not None:
         memory = memory.select("req_key", "text").dropDuplicates(["req_key"])
     key = F.when(F.col("prompt").isNotNull(), request_key("task", "system", "prompt"))  # no prompt, no request
@@ -156,24 +157,32 @@ def map_model(
     todo = with_task_params(distinct_requests(requests.where(F.col("prompt").isNotNull()).select("task", "system", "prompt")))
     if memory is not None:
         todo = todo.join(memory.select("req_key"), "req_key", "left_anti")
-    answers = answer_requests(todo, model_factory, REQUEST_FIELDS, partitions, checkpoint)
-    if memory_path is not None:
-        successful_answers(answers).write.mode("append").parquet(memory_path)
+    no_error = F.lit(None).cast("string").alias("error")
+    if memory_path is None:
+        answers = answer_requests(todo, model_factory, REQUEST_FIELDS, partitions, checkpoint)
+    else:
+        store = MemoryTable(requests.sparkSession, memory_path, "req_key", "text")
+        todo, held = split_held(todo, store)
+        new = answer_requests(todo, model_factory, REQUEST_FIELDS, partitions)  # read twice: always staged
+        store.append(successful_answers(new))
+        answers = new.unionByName(held.select("req_key", "text", no_error))
     if memory is not None:
-        answers = answers.unionByName(
-            memory.select("req_key", "text", F.lit(None).cast("string").alias("error"))
-        )
+        answers = answers.unionByName(memory.select("req_key", "text", no_error))
     # rows without a request match nothing; keys of their own keep them from meeting in one join task
     own = F.coalesce(F.col("req_key"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     answers = answers.withColumnRenamed("req_key", "_key")
     return req.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
 
 
-def with_stored(spark, memory: DataFrame | None, path: str | None, *cols: str) -> DataFrame | None:
-    """The rows of ``memory`` and of the memory table at ``path``, whichever there are."""
-    stored = read_table_if_any(spark, path) if path is not None else None
-    tables = [t.select(*cols) for t in (memory, stored) if t is not None]
-    return tables[0].unionByName(tables[1]) if len(tables) == 2 else tables[0] if tables else None
+def split_held(todo: DataFrame, store: MemoryTable) -> tuple[DataFrame, DataFrame]:
+    """(requests that ``store`` has no answer to, (key, value) of the others).
+
+    The requests are staged; of them only keys go to the stored rows' buckets, and the wide rows of the misses alone
+    go on to the model.
+    """
+    todo = materialize(todo)
+    held = materialize(store.lookup(todo))
+    return todo.join(held.select(store.key), store.key, "left_anti"), held
 
 
 def successful_answers(answered: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.functions.text import blank_to_empty, can_translate, col, normalize_query, safe_lang_code, strip
-from recipeflow.operators.modelmap import KEY_SEP, materialize, run_model_batches, with_stored
+from recipeflow.operators.modelmap import KEY_SEP, materialize, run_model_batches, split_held
+from recipeflow.sources.memory_table import MemoryTable
 
 MEMORY_SCHEMA = "mt_key string, text string, src string, tgt string, translated string"
 
@@ -75,10 +76,9 @@ def translate_texts(
 
     With ``gate=False`` (raw mode) every row with non-blank text goes to the
     model, codes are used as given and a missing source means 'en'.  ``memory_path``
-    names a memory table in shared storage: it is read, and new successful
-    translations are appended to it.
+    names a :class:`MemoryTable` in shared storage: what it holds is reused, and new
+    successful translations are appended to it.
     """
-    memory = with_stored(df.sparkSession, memory, memory_path, "mt_key", "translated")
     if gate:
         s_code, t_code = safe_lang_code(src), safe_lang_code(tgt)
         go = can_translate(t_code) & can_translate(s_code)
@@ -99,10 +99,14 @@ def translate_texts(
     )
     if memory is not None:
         todo = todo.join(memory.select("mt_key"), "mt_key", "left_anti")
-    answers = _answer(todo, translator_factory, partitions, checkpoint)
-    if memory_path is not None:
-        good = answers.where(F.col("mt_error").isNull() & F.col("translated").isNotNull())
-        good.select("mt_key", "translated").write.mode("append").parquet(memory_path)
+    if memory_path is None:
+        answers = _answer(todo, translator_factory, partitions, checkpoint)
+    else:
+        store = MemoryTable(df.sparkSession, memory_path, "mt_key", "translated")
+        todo, held = split_held(todo, store)
+        new = _answer(todo, translator_factory, partitions, True)  # read twice: always staged
+        store.append(new.where(F.col("mt_error").isNull() & F.col("translated").isNotNull()))
+        answers = new.unionByName(held.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error")))
     if memory is not None:
         answers = answers.unionByName(
             memory.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error")).dropDuplicates(

@@ -18,9 +18,11 @@ from recipeflow.plans import sqlgen as S
 from recipeflow.plans.catalog_chat import FILTER_EVENTS_SQL, filter_events
 from recipeflow.plans.catalog_text import probe_code, probe_sql
 from recipeflow.plans.oracle_views import with_views
-from recipeflow.plans.registry import register
+from recipeflow.plans.registry import ORACLE, register
 from recipeflow.plans.stubs import StubGenerator, StubTranslator
+from recipeflow.session import work_dir
 from recipeflow.sources import views as V
+from recipeflow.sources.memory_table import MemoryTable
 from recipeflow.sources.tables import load
 
 GEN = StubGenerator()
@@ -80,6 +82,23 @@ def q_map_model_memory(spark, sf):
     return M.map_model(req, GEN, memory=old.unionByName(old)).select("request_id", "task", "text")
 
 
+@register("map_model_memory_table", ORACLE["map_model_memory"], row="43")
+def q_map_model_memory_table(spark, sf):
+    """The second of two runs over a stored memory whose rows were appended twice and compacted."""
+    req = V.v9_requests(spark, sf)
+    old = M.materialize(
+        req.where(F.col("request_id") % 3 == 0).select(
+            M.request_key("task", "system", "prompt").alias("req_key"), F.concat(F.lit("{mem}"), "task").alias("text")
+        )
+    )
+    store = MemoryTable(spark, work_dir(spark, "answers"), "req_key", "text", buckets=8)
+    store.append(old)
+    store.append(old)
+    store.compact()
+    M.map_model(req, GEN, memory_path=store.path)
+    return M.map_model(req, GEN, memory_path=store.path).select("request_id", "task", "text")
+
+
 @register(
     "distinct_requests",
     _q(
@@ -134,6 +153,19 @@ def q_translate(spark, sf):
     )
 
 
+@register("translate_memory_table", ORACLE["translate"], row="45")
+def q_translate_memory_table(spark, sf):
+    """As ``translate``, with the earlier translations in a stored memory; the second of two runs."""
+    q = V.v4_queries(spark, sf).withColumn("_tgt", probe_code("query_id"))
+    store = MemoryTable(spark, work_dir(spark, "translations"), "mt_key", "translated", buckets=8)
+    store.append(M.materialize(_memory(spark, sf)))
+    T.translate(q, "raw", F.lit("en"), "_tgt", TR, memory_path=store.path)
+    r = T.translate(q, "raw", F.lit("en"), "_tgt", TR, memory_path=store.path)
+    return r.select(
+        "query_id", "translated", F.col("translated_error").isNotNull().alias("failed"), F.col("translated_called").alias("called")
+    )
+
+
 _TITLES_SQL = f"SELECT answer_id, {S.extract_titles('text')} AS titles FROM v2"
 
 

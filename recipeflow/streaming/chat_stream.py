@@ -2,27 +2,30 @@
 
 stream_messages         chat documents arriving as files -> one row per
                         message -> parquet sink (stateless, append)
+stream_distinct_messages  message events, some sent again -> each message once
+                        (state in RocksDB, expires behind a watermark)
 stream_latest_payload   message events -> newest recipe payload per chat
-                        (streaming ``max_by``, update mode)
 stream_latest_filters   saved profiles -> newest tag list per chat
 
-Update-mode aggregates emit a row every time a chat's state changes.  The
-sink is ``foreachBatch`` writing each micro-batch to its own ``batch_id=``
-partition of a parquet table, so a batch that is retried replaces itself; the current state of a chat is the row of its largest
-``batch_id`` (:func:`latest_by_batch`, a partial aggregate).  No custom state
-store is needed: ``max_by`` is an ordinary aggregate for the state store.
+The latest_* streams keep no operator state: every micro-batch is reduced to one
+row per chat (a partial aggregate, so a hot chat is one row a task) and merged by
+``foreachBatch`` into a :class:`~recipeflow.streaming.state_table.StateTable`, a snapshot and its open deltas.
+A batch that is retried replaces itself, and the greatest ``seq`` wins whatever the order of arrival.
 Every query has its own checkpoint location in the shared checkpoint folder,
 so a restarted or re-tried query resumes exactly once.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recipeflow.operators import chatlog as C
 from recipeflow.session import work_dir
+from recipeflow.streaming.state_table import StateTable
 
 
 def _run(writer, timeout_s: int | None = None):
@@ -81,19 +84,69 @@ def stream_messages(
     return sink
 
 
-def _append_batches(sink: str):
-    def fn(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")  # a batch that is retried replaces itself
+#: State in RocksDB, checkpointed as changelogs: a commit uploads what changed, not the whole state.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings while a query starts, which keeps those that it starts with."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    return fn
+
+def stream_distinct_messages(
+    spark: SparkSession,
+    events_path: str,
+    schema: T.StructType,
+    key: tuple[str, ...] = ("chat_id", "seq"),
+    delay: str = "7 days",
+    sink: str | None = None,
+    checkpoint: str | None = None,
+    max_files: int = 64,
+    timeout_s: int | None = None,
+) -> str:
+    """Drain message events into a parquet log that holds each ``key`` once; returns the log's folder.
+
+    The watermark runs on the time at which a file arrived, in whose order files are read. So no message is too late to be
+    stored, however old its own ``ts`` is or if it has none; one sent again within ``delay`` of its first arrival is dropped,
+    and its key's state expires behind that. NULL in a key equals NULL.
+    """
+    sink = sink or work_dir(spark, "stream-distinct")
+    checkpoint = checkpoint or work_dir(spark, "stream-distinct-ckpt")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(events_path)
+    arrived = events.select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
+    once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(list(key)).drop("_arrived")
+    writer = (
+        once.writeStream.format("parquet")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+    )
+    with _settings(spark, ROCKSDB):
+        _run(writer, timeout_s)
+    return sink
 
 
-def latest_by_batch(spark: SparkSession, sink: str, key: str = "chat_id") -> DataFrame:
-    """Current state per key from an update-mode changelog."""
-    log = spark.read.parquet(sink)
-    cols = [c for c in log.columns if c not in (key, "batch_id")]
-    agg = log.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_s"))
-    return agg.select(key, "_s.*")
+def _merge_stream(rows: DataFrame, state: StateTable, checkpoint: str, timeout_s: int | None) -> DataFrame:
+    """Drain ``rows`` into ``state`` and read it."""
+    writer = (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, batch_id: state.merge(batch, batch_id))
+        .trigger(availableNow=True)
+    )
+    _run(writer, timeout_s)
+    return state.read()
 
 
 def stream_latest_payload(
@@ -102,28 +155,18 @@ def stream_latest_payload(
     schema: T.StructType,
     sink: str | None = None,
     checkpoint: str | None = None,
-    max_files: int = 4,
+    max_files: int = 64,
     timeout_s: int | None = None,
+    **folding,
 ) -> DataFrame:
-    """Newest ``recipe_detail`` payload per chat from a stream of message events."""
+    """Newest ``recipe_detail`` payload per chat from a stream of message events; ``folding`` as in :class:`StateTable`."""
     sink = sink or work_dir(spark, "stream-latest-payload")
     checkpoint = checkpoint or work_dir(spark, "stream-latest-payload-ckpt")
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(events_path)
     p = F.col("meta.payload.recipe_detail")
-    agg = (
-        events.where(C.filled_payload(events, p))
-        .groupBy("chat_id")
-        .agg(F.max_by(F.struct(F.col("seq"), p.alias("recipe_detail")), F.col("seq")).alias("_l"))
-        .select("chat_id", F.col("_l.seq").alias("seq"), F.col("_l.recipe_detail").alias("recipe_detail"))
-    )
-    writer = (
-        agg.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(_append_batches(sink))
-        .trigger(availableNow=True)
-    )
-    _run(writer, timeout_s)
-    return latest_by_batch(spark, sink)
+    rows = events.where(C.filled_payload(events, p)).select("chat_id", "seq", p.alias("recipe_detail"))
+    state = StateTable(spark, sink, rows.schema, "chat_id", "seq", **folding)
+    return _merge_stream(rows, state, checkpoint, timeout_s)
 
 
 def stream_latest_filters(
@@ -132,22 +175,18 @@ def stream_latest_filters(
     schema: T.StructType,
     sink: str | None = None,
     checkpoint: str | None = None,
-    max_files: int = 4,
+    max_files: int = 64,
     timeout_s: int | None = None,
+    **folding,
 ) -> DataFrame:
-    """Newest saved tag list per chat (last write wins) from a stream."""
+    """Newest saved tag list per chat (last write wins) from a stream; an event whose ``deleted`` is true removes
+    the chat's list until a later one is saved."""
     sink = sink or work_dir(spark, "stream-latest-filters")
     checkpoint = checkpoint or work_dir(spark, "stream-latest-filters-ckpt")
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(events_path)
-    agg = events.groupBy("chat_id").agg(F.max_by("tags", "seq").alias("health_filters"))
-    writer = (
-        agg.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(_append_batches(sink))
-        .trigger(availableNow=True)
-    )
-    _run(writer, timeout_s)
-    return latest_by_batch(spark, sink)
+    rows = events.select("chat_id", "seq", F.col("tags").alias("health_filters"), *[c for c in ("deleted",) if c in events.columns])
+    state = StateTable(spark, sink, rows.drop("deleted").schema, "chat_id", "seq", **folding)
+    return _merge_stream(rows, state, checkpoint, timeout_s).select("chat_id", "health_filters")
 
 
 def stage_files(df: DataFrame, path: str, n_files: int = 8, order: str | None = None) -> str:

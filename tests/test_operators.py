@@ -12,7 +12,6 @@ from recipeflow.plans import jobs as J
 from recipeflow.plans.stubs import CountingGenerator, StubTranslator
 from recipeflow.session import work_dir
 from recipeflow.sources.chats import write_chat_lines
-from recipeflow.streaming.chat_stream import _append_batches, latest_by_batch
 
 FIXTURE_CHATS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "fixtures", "chats")
 
@@ -181,12 +180,3 @@ def test_chat_lines_keep_ids_and_quotes(spark):
     got = {r.chat_id: r for r in C.scan_chat_lines(spark, write_chat_lines(docs, work_dir(spark, "lines"))).collect()}
     assert got['20250906T083543_A "b"'].title == "x\ny" and not got['20250906T083543_A "b"'].corrupt
     assert got["007"].corrupt and got["007"].title == "007" and got["e"].corrupt
-
-
-def test_a_retried_batch_replaces_itself(spark):
-    sink = work_dir(spark, "changes")
-    write = _append_batches(sink)
-    for batch_id, seq in ((0, 1), (1, 2), (1, 2)):
-        write(spark.createDataFrame([("a", seq)], "chat_id string, seq int"), batch_id)
-    assert spark.read.parquet(sink).count() == 2
-    assert [tuple(r) for r in latest_by_batch(spark, sink).collect()] == [("a", 2)]
