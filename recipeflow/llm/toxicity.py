@@ -2,14 +2,17 @@
 
 * The lexicon is learned from labelled rows: words that toxic rows use far more often than chance, near copies
   counting once.
-* A trie of the lexicon is intersected with Levenshtein automata (distance 1, for terms of ``FUZZY_FROM`` letters or more;
-  shorter ones match exactly) and made deterministic: one table that maps (state, character) to a state.  All words of
+* A trie of the lexicon is intersected with Levenshtein automata and made deterministic: one table that maps (state,
+  character) to a state.  A term of ``FUZZY_FROM`` letters or more is met at one edit: a character substituted, inserted or left
+  out, or two neighbours swapped; a term of ``SHORT_FROM`` at one substitution or swap; shorter ones match exactly.  All words of
   many texts run through it side by side, one character at a time; a word leaves at its first dead state.
-* A misspelling that clean labelled rows use is a word of its own, not a misspelling, and does not count.  Such
-  exceptions are strings at distance 1 from a term, so their number is bounded by the lexicon.
+* A misspelling is a word of its own, and does not count, unless ``PURITY`` of the labelled witnesses that use it are toxic; a clean
+  row that only quotes it is no witness against it.  A term whose other misspellings fail the same test matches exactly.
+  Such exceptions are strings at one edit from a term, so their number is bounded by the lexicon.
 * Each match is weighed by a window of ``WINDOW`` characters on both sides: between quotation marks or after a reporting
   word it is a mention and counts ``QUOTED``; near a second person it counts ``AIMED``.
-* A text's score is a logistic function of its weighed matches, fitted to the labelled rows.
+* A text's score is a logistic function of its weighed matches (exact, misspelt, misspelt short terms), fitted to the
+  labelled rows; a kind of misspelling that fewer than ``EVIDENCE`` of them hold is worth ``MISSPELT`` of an exact match.
 
 Labels, lang, source and ids are never inputs of a score.  Defined results: NULL and empty texts score like any text without a match;
 NULL labels are not learned from; without labelled rows of both kinds nothing is toxic; an empty table gives an empty result;
@@ -38,7 +41,9 @@ from recipeflow.llm.common import (
 )
 from recipeflow.session import stage
 
-FUZZY_FROM = 5
+FUZZY_FROM, SHORT_FROM = 5, 4
+PURITY, EVIDENCE, MISSPELT = 0.8, 10, 0.8
+KINDS = 3  # of matches: exact, misspelt, misspelt short term
 WINDOW = 48
 QUOTED, AIMED = 0.25, 1.25
 QUOTES = "\"“”„«»‹›"
@@ -47,7 +52,6 @@ REPORTING = ("said", "says", "called", "quoted", "quote", "wrote", "term", "word
 SECOND_PERSON = ("you", "your", "youre", "du", "dich", "dir", "tu", "te", "toi", "vous", "usted", "eres", "es-tu")
 #: Bound of the labelled rows that the lexicon is chosen on and the score is fitted to (all are used up to it).
 FIT_ROWS = 20_000
-CANDIDATES = 400
 
 # ---------------------------------------------------------------- the automaton
 
@@ -55,7 +59,7 @@ CANDIDATES = 400
 @dataclass
 class Automaton:
     """Deterministic: ``step[state, class]``, 0 is dead, 1 the start; ``term[state]`` is the matched term or -1,
-    ``edits[state]`` its distance."""
+    ``edits[state]`` 0 if it is exact, 1 if it is misspelt, 2 if it is a misspelt term of fewer than ``FUZZY_FROM`` letters."""
 
     classes: np.ndarray  # code point -> class, 0 for characters of no term
     step: np.ndarray
@@ -64,8 +68,12 @@ class Automaton:
 
 
 def build_automaton(terms: list[str]) -> Automaton:
-    """Subset construction over (trie node, edits so far): a character is matched, substituted, inserted or, by an empty
-    move, left out."""
+    """Subset construction over (trie node, what was edited, awaited letter).
+
+    Nothing was edited (``NONE``), a character was substituted or swapped (``SAME``, the length is kept) or inserted or left out
+    (``OTHER``).  Behind the first letter of a swap the second is awaited, and the node is the one behind both.
+    """
+    NONE, SAME, OTHER = 0, 1, 2
     letters = sorted({c for t in terms for c in t})
     classes = np.zeros(1 << 16, dtype=np.uint8 if len(letters) < 255 else np.uint16)
     for i, c in enumerate(letters, 1):
@@ -88,43 +96,70 @@ def build_automaton(terms: list[str]) -> Automaton:
             reach[at] = max(reach[at], len(t))
         ends[at] = number
     fuzzy = [n >= FUZZY_FROM for n in reach]
-
-    def closed(items: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
-        todo, out = list(items), set(items)
-        while todo:
-            node, e = todo.pop()
-            if e == 0:
-                for child in children[node].values():
-                    if fuzzy[child] and (child, 1) not in out:
-                        out.add((child, 1))
-                        todo.append((child, 1))
-        return frozenset((n, e) for n, e in out if not (e == 1 and (n, 0) in out))
-
-    start = closed({(0, 0)})
+    short = [n >= SHORT_FROM for n in reach]
+    Item = tuple[int, int, int]
+
+    def closed(items: set[Item]) -> frozenset[Item]:
+        out = set(items)
+        for node, e, awaited in items:
+            if e == NONE:
+                out.update((child, OTHER, 0) for child in children[node].values() if fuzzy[child])  # left out
+        # what fewer or better edits reach as well adds nothing
+        return frozenset((n, e, w) for n, e, w in out if w or not any((n, less, 0) in out for less in range(e)))
+
+    def after(state: frozenset[Item], k: int) -> frozenset[Item]:
+        out: set[Item] = set()
+        for node, e, awaited in state:
+            if awaited:
+                if k == awaited:
+                    out.add((node, SAME, 0))
+                continue
+            if k in children[node]:
+                out.add((children[node][k], e, 0))
+            if e != NONE:
+                continue
+            if fuzzy[node]:
+                out.add((node, OTHER, 0))  # inserted
+            for x, child in children[node].items():
+                if x != k and short[child]:
+                    out.add((child, SAME, 0))  # substituted
+                    if k in children[child] and short[children[child][k]]:
+                        out.add((children[child][k], SAME, x))  # swapped
+        return closed(out)
+
+    def match(state: frozenset[Item]) -> tuple[int, int]:
+        """(kind, term) of the best match that ends here."""
+        found = []
+        for node, e, awaited in state:
+            if ends[node] >= 0 and not awaited:
+                size = len(terms[ends[node]])
+                if e == NONE or size >= FUZZY_FROM:
+                    found.append((min(e, 1), ends[node]))
+                elif e == SAME and size >= SHORT_FROM:
+                    found.append((2, ends[node]))
+        return min(found, default=(0, -1))
+
+    start = closed({(0, NONE, 0)})
     number = {frozenset(): 0, start: 1}
     order, rows = [frozenset(), start], []
     for state in order:
         row = []
+        # a letter that no item of the state names is like any other
+        named = {x for n, _, w in state for x in ({w} if w else children[n])}
+        named |= {x for n, e, w in state if not w and e == NONE for c in children[n].values() for x in children[c]}
+        rest = None
         for k in range(len(letters) + 1):
-            after: set[tuple[int, int]] = set()
-            for node, e in state:
-                child = children[node].get(k) if k else None
-                if child is not None:
-                    after.add((child, e))
-                if e == 0:
-                    if fuzzy[node]:
-                        after.add((node, 1))  # inserted
-                    after.update((c, 1) for x, c in children[node].items() if x != k and fuzzy[c])  # substituted
-            nxt = closed(after)
+            if k in named:
+                nxt = after(state, k)
+            else:
+                rest = after(state, 0) if rest is None else rest
+                nxt = rest
             if nxt not in number:
                 number[nxt] = len(order)
                 order.append(nxt)
             row.append(number[nxt])
         rows.append(row)
-    best = [
-        min(((e, ends[n]) for n, e in s if ends[n] >= 0 and (e == 0 or len(terms[ends[n]]) >= FUZZY_FROM)), default=(0, -1))
-        for s in order
-    ]
+    best = [match(s) for s in order]
     return Automaton(
         classes,
         np.array(rows, dtype=np.int32),
@@ -134,10 +169,10 @@ def build_automaton(terms: list[str]) -> Automaton:
 
 
 class Scanner:
-    """Finds the lexicon in texts; ``spared`` are spellings that do not count."""
+    """Finds the lexicon in texts; ``spared`` are spellings that do not count, ``exact`` terms whose misspellings don't."""
 
-    def __init__(self, terms: list[str], spared: set[str]):
-        self.terms, self.spared = terms, spared
+    def __init__(self, terms: list[str], spared: set[str], exact: set[str] = frozenset()):
+        self.terms, self.spared, self.exact = terms, spared, exact
         self.automaton = build_automaton(terms)
         self.lengths = (min(map(len, terms), default=1) - 1, max(map(len, terms), default=0) + 1)
         self.letters, self.lower = letter_table(), lower_table()
@@ -178,8 +213,8 @@ class Scanner:
         return begin, begin + size, a.term[state], a.edits[state]
 
     def weighed(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple]]]:
-        """Per text: sums of the weights of exact and misspelled matches, and the matches (start, end, term, edits, weight)."""
-        total = np.zeros((len(texts), 2))
+        """Per text: sums of the weights of exact, misspelt and misspelt short matches, and the matches (start, end, term, edits, weight)."""
+        total = np.zeros((len(texts), KINDS))
         spans: list[list[tuple]] = [[] for _ in texts]
         for group in segments(texts, overlap=WINDOW + self.lengths[1]):
             codes, begins = code_points([s.text for s in group])
@@ -192,12 +227,12 @@ class Scanner:
                 if not s.core <= at < s.core_end:
                     continue
                 spelled = "".join(map(chr, codes[b:e].tolist()))
-                if d and spelled in self.spared:
+                if d and (spelled in self.spared or self.terms[t] in self.exact):
                     continue
                 lo, hi = int(begins[o]), int(begins[o]) + len(s.text)
                 w = self.context(codes, max(lo, b - WINDOW), b, e, min(hi, e + WINDOW))
                 total[s.row, d] += w
-                spans[s.row].append((at, at + e - b, self.terms[t], d, w))
+                spans[s.row].append((at, at + e - b, self.terms[t], min(d, 1), w))
         return total, spans
 
     def context(self, codes: np.ndarray, lo: int, b: int, e: int, hi: int) -> float:
@@ -219,8 +254,9 @@ class Scanner:
 class Model:
     terms: list[str]
     spared: set[str]
-    slopes: tuple[float, float]
+    slopes: tuple[float, ...]
     base: float
+    exact: set[str] = frozenset()
 
     def scores(self, total: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.base + saturated(total) @ np.array(self.slopes))))
@@ -265,11 +301,11 @@ def _witnesses(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(table), "row")
 
 
-def learn_lexicon(sample: DataFrame, most: int = CANDIDATES, surprise: float = 16.0, purity: float = 0.8) -> list[str]:
+def learn_lexicon(sample: DataFrame, surprise: float = 16.0, purity: float = PURITY) -> list[str]:
     """Words of ``sample`` (witness, toxic, words) that toxic witnesses use far more often than chance.
 
     A word is a term if at least ``purity`` of its witnesses are toxic and the likelihood-ratio of that, against the
-    overall rate, is at least ``surprise`` nats; the ``most`` most surprising words are kept.
+    overall rate, is at least ``surprise`` nats; their number is bounded by that of the sample's witnesses.
     """
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("witness").alias("n")).collect()}
     bad, good = sides.get(1, 0), sides.get(0, 0)
@@ -283,14 +319,19 @@ def learn_lexicon(sample: DataFrame, most: int = CANDIDATES, surprise: float = 1
     gain = n * (share * F.log(share / rate) + other)
     counted = words.groupBy("word").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n"))
     kept = counted.where((share >= purity) & (share > rate) & (gain >= surprise))
-    return sorted(r["word"] for r in kept.orderBy(F.desc(gain), "word").limit(most).select("word").collect())
+    return sorted(r["word"] for r in kept.select("word").collect())
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
-    """Logistic regression on two features with a small ridge, by Newton steps; slopes are not negative."""
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic regression with a small ridge, by Newton steps; slopes are not negative, and a kind of misspelling
+    (a column but the first) with little evidence has its share of the first slope."""
     if not len(x) or y.min() == y.max():
-        return (0.0, 0.0), -5.0
-    use = [0, 1]
+        return (0.0,) * KINDS, -5.0
+    rare = [j for j in range(1, x.shape[1]) if (x[:, j] > 0).sum() < EVIDENCE]
+    x = x.copy()
+    for j in rare:
+        x[:, 0] += MISSPELT * x[:, j]
+    use = [j for j in range(x.shape[1]) if j not in rare]
     while True:
         a = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
         w, ridge = np.zeros(a.shape[1]), np.diag([0.5] * len(use) + [0.01])
@@ -298,13 +339,17 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
             w += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ w)
         if (w[:-1] >= 0).all():
-            slopes = [0.0, 0.0]
-            for i, j in enumerate(use):
-                slopes[j] = float(w[i])
-            return (slopes[0], slopes[1]), float(w[-1])
+            slopes = dict(zip(use, w[:-1].tolist(), strict=True))
+            first = slopes.get(0, 0.0)
+            return tuple(MISSPELT * first if j in rare else slopes.get(j, 0.0) for j in range(x.shape[1])), float(w[-1])
         use = [j for i, j in enumerate(use) if w[i] >= 0]
 
 
+def _own_words(uses: dict[str, tuple[set[int], set[int]]]) -> set[str]:
+    """What clean witnesses (first) use, unless ``PURITY`` of all that use it are toxic (second)."""
+    return {name for name, (clean, toxic) in uses.items() if clean and len(toxic) < PURITY * (len(clean) + len(toxic))}
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) covers.
 
@@ -324,7 +369,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     sample = stage(_witnesses(sample), "toxic-witnesses")
     terms = learn_lexicon(sample)
     if not terms:
-        return Model([], set(), (0.0, 0.0), -5.0)
+        return Model([], set(), (0.0,) * KINDS, -5.0)
     scanner = Scanner(terms, set())
 
     def scan(batches):
@@ -332,29 +377,45 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
             texts = column(batch, "text")
             total, spans = scanner.weighed(texts)
             near = [[t[m[0] : m[1]].lower() for m in s if m[3]] for t, s in zip(texts, spans, strict=True)]
+            meant = [[m[2] for m in s if m[3]] for s in spans]
             weights = [[m[4] for m in s if m[3]] for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(total[:, 0]),
-                    pa.array(near, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())),
+                    batch.column(0), batch.column(1), pa.array(total[:, 0]), pa.array(near, pa.list_(pa.string())),
+                    pa.array(meant, pa.list_(pa.string())), pa.array(weights, pa.list_(pa.float64())),
                 ],
-                names=["toxic", "witness", "exact", "near", "weights"],
+                names=["toxic", "witness", "exact", "near", "meant", "weights"],
             )
 
     found = sample.select("toxic", "witness", "text").mapInArrow(
-        lean(scan), "toxic int, witness long, exact double, near array<string>, weights array<double>"
+        lean(scan),
+        "toxic int, witness long, exact double, near array<string>, meant array<string>, weights array<double>",
     ).collect()  # a few numbers for each row of the bounded sample
-    # Spellings that clean rows use are words of their own.  What the rest are worth is judged crosswise: each half of
-    # the witnesses with the spellings spared by the other half.
-    clean = [{w for r in found if r["toxic"] == 0 and r["witness"] % 2 == half for w in r["near"]} for half in (0, 1)]
-    x = np.array(
-        [
-            (r["exact"], sum(v for w, v in zip(r["near"], r["weights"], strict=True) if w not in clean[1 - r["witness"] % 2]))
-            for r in found
-        ]
-    )
+    matches = [list(zip(r["near"], r["meant"], r["weights"], strict=True)) for r in found]
+
+    def uses(rows, name) -> dict[str, tuple[set[int], set[int]]]:
+        """Clean and toxic witnesses by ``name`` of a match; clean quotations are none."""
+        out: dict[str, tuple[set[int], set[int]]] = {}
+        for i in rows:
+            r = found[i]
+            for m in matches[i]:
+                if r["toxic"] or m[2] > QUOTED:
+                    out.setdefault(name(m), (set(), set()))[r["toxic"]].add(r["witness"])
+        return out
+
+    # What misspellings are worth is judged crosswise: each half of the witnesses with the spellings spared by the other half.
+    everyone = range(len(found))
+    spared = [_own_words(uses([i for i in everyone if found[i]["witness"] % 2 == half], lambda m: m[0])) for half in (0, 1)]
+    matches = [[m for m in ms if m[0] not in spared[1 - r["witness"] % 2]] for ms, r in zip(matches, found, strict=True)]
+    exact = _own_words(uses(everyone, lambda m: m[1]))
+    x = np.zeros((len(found), KINDS))
+    for i, r in enumerate(found):
+        x[i, 0] = r["exact"]
+        for _, term, weight in matches[i]:
+            if term not in exact:
+                x[i, 1 if len(term) >= FUZZY_FROM else 2] += weight
     slopes, base = _fit(saturated(x), np.array([float(r["toxic"]) for r in found]))
-    return Model(terms, clean[0] | clean[1], slopes, base)
+    return Model(terms, spared[0] | spared[1], slopes, base, exact)
 
 
 # ---------------------------------------------------------------- scoring
@@ -362,7 +423,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` as struct ``_doc`` with ``score`` and ``matches`` (start, end, term, edits, weight)."""
-    scanner = Scanner(model.terms, model.spared)
+    scanner = Scanner(model.terms, model.spared, model.exact)
     parts = (("start", T.LongType()), ("end", T.LongType()), ("term", T.StringType()), ("edits", T.IntegerType()), ("weight", T.DoubleType()))
     kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in parts]))
     names = [n for n, _ in parts]

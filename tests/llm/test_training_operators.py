@@ -344,17 +344,60 @@ def test_packing_round_trip(docs, empty):
 # ---- 10
 
 
+def one_edit(word, term):
+    """Whether ``word`` is one edit from ``term``, two swapped neighbours being one; short terms keep their length."""
+    if len(word) == len(term):
+        places = [i for i in range(len(word)) if word[i] != term[i]]
+        i = places[0] if places else 0
+        swapped = len(places) == 2 and places[1] == i + 1 and word[i : i + 2] == term[i : i + 2][::-1]
+        return len(term) >= toxicity.SHORT_FROM and (len(places) == 1 or swapped)
+    return len(term) >= toxicity.FUZZY_FROM and edits(word, term) == 1
+
+
 def test_automaton_equals_edit_distance():
-    terms = ["trash", "idiot", "scum", "worthless", "stupid"]
+    terms = ["trash", "idiot", "scum", "scummy", "worthless", "stupid", "ass", "assa", "asasa"]
     scanner = toxicity.Scanner(terms, set())
     rng = random.Random(5)
-    for _ in range(1500):
+    swaps = 0
+    for _ in range(4000):
         word = "".join(mutated(rng.choice(terms), rng.randint(0, 2), rng, "abcdiorst1"))
-        near = [edits(word, t) for t in terms if edits(word, t) <= (1 if len(t) >= toxicity.FUZZY_FROM else 0)]
+        if rng.random() < 0.4 and len(word) > 1:
+            i = rng.randrange(len(word) - 1)
+            word = word[:i] + word[i + 1] + word[i] + word[i + 2 :]
+        near = [t for t in terms if word == t or one_edit(word, t)]
         found = scanner.weighed(["x " + word + " y"])[1][0]
-        assert bool(found) == bool(near)
+        assert bool(found) == bool(near), word
         if near:
-            assert found[0][3] == min(near)
+            assert found[0][3] == (word not in terms) and found[0][2] in near
+            swaps += word not in terms and sorted(word) == sorted(found[0][2])
+    assert swaps > 100
+
+
+def test_misspelt_terms_count_unless_clean_rows_use_them(spark):
+    ship_package(spark)
+    rows = []
+    for i in range(400):
+        text = prose(i, 60)
+        if i % 5 == 0:
+            text += " wretched " + ("scum" if i % 10 else "wretchde")
+        elif i % 5 == 1:
+            text += ' he wrote "wretchde" there' if i < 40 else " wretchel"
+        rows.append((i, text, int(i % 5 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    model = toxicity.learn(table, table.select("doc_id", table["score"].alias("toxic")))
+    assert model.terms == ["scum", "wretched"]
+    assert "wretchel" in model.spared and "wretchde" not in model.spared  # the clean rows only quote it
+    probes = {"a wretchde b": 1, "a wrteched b": 1, "a wretchel b": 0, "a scmu b": 1, "a skum b": 1, "a scu b": 0, "a skun b": 0}
+    asked = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    got = {r["_doc"]["text"]: int(r["score"] >= 0.5) for r in toxicity.score_texts(asked, model).collect()}
+    assert got == probes
+
+
+def test_a_lexicon_of_more_than_400_terms(spark):
+    ship_package(spark)
+    terms = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) + "zz" for i in range(450)]
+    sample = spark.createDataFrame([(i, int(i < 40), terms if i < 40 else ["plain"]) for i in range(400)], "witness long, toxic int, words array<string>")
+    assert toxicity.learn_lexicon(sample) == sorted(terms)
 
 
 def test_context_and_scores(spark):
