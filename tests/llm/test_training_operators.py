@@ -379,9 +379,9 @@ def test_misspelt_terms_count_unless_clean_rows_use_them(spark):
     for i in range(400):
         text = prose(i, 60)
         if i % 5 == 0:
-            text += " wretched " + ("scum" if i % 10 else "wretchde")
+            text += " wretched " + ("scum" if i % 100 else "wretchde")
         elif i % 5 == 1:
-            text += ' he wrote "wretchde" there' if i < 40 else " wretchel"
+            text += ' he wrote "wretchde" there' if i < 20 else " wretchel"
         rows.append((i, text, int(i % 5 == 0)))
     table = spark.createDataFrame(rows, "doc_id long, text string, score int")
     model = toxicity.learn(table, table.select("doc_id", table["score"].alias("toxic")))
