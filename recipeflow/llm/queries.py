@@ -78,7 +78,8 @@ def _strength_sql(level: str) -> str:
         FROM {level} WHERE n > 0)"""
 
 
-_COMPOUND_SQL = ", ".join(f"'{s}'" for s in url_reputation.COMPOUND_SUFFIXES)
+_COMPOUND_SQL = "regexp_matches(bare, '(^|\\.)(" + "|".join(url_reputation.REGISTRY_LABELS) + ")\\.[a-z]{2}$')"
+_ADDRESS_SQL = r"regexp_matches(bare, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$')"
 
 ORACLE["op1_url_reputation"] = f"""
 WITH seen AS (
@@ -89,14 +90,16 @@ WITH seen AS (
 ), ruled AS (
   SELECT *, {_rule_sql("pattern")} AS rule, {_rule_sql("verdict")} AS ruling FROM seen
 ), counted AS (
-  SELECT host, string_split(host, '.') AS labels, CAST(count(ruling) AS DOUBLE) AS n,
-         CAST(count(*) FILTER (WHERE ruling = 'allow') AS DOUBLE) AS k
+  SELECT host, CAST(count(ruling) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE ruling = 'allow') AS DOUBLE) AS k,
+         regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\\.+$', '') AS bare
   FROM ruled GROUP BY host
 ), named AS (
-  SELECT host, n, k, array_to_string(labels[-2:], '.') AS two, array_to_string(labels[-3:], '.') AS three, labels[-1] AS one FROM counted
+  SELECT *, array_to_string(string_split(bare, '.')[-2:], '.') AS two, array_to_string(string_split(bare, '.')[-3:], '.') AS three,
+         string_split(bare, '.')[-1] AS one
+  FROM counted
 ), hosts AS (
-  SELECT host, n, k, CASE WHEN two IN ({_COMPOUND_SQL}) THEN three ELSE two END AS domain,
-         CASE WHEN two IN ({_COMPOUND_SQL}) THEN two ELSE one END AS suffix
+  SELECT host, n, k, CASE WHEN {_ADDRESS_SQL} THEN bare WHEN {_COMPOUND_SQL} THEN three ELSE two END AS domain,
+         CASE WHEN {_ADDRESS_SQL} THEN '{url_reputation.ADDRESSES}' WHEN {_COMPOUND_SQL} THEN two ELSE one END AS suffix
   FROM named
 ), overall AS (
   SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1) ELSE 0.5 END AS rate FROM hosts

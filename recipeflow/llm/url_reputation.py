@@ -18,7 +18,7 @@ Verdicts are made per distinct host and written once; the join back is by
 host, both sides plain exchanges that AQE can split, or a broadcast where Spark sees a small table.
 
 Defined results: a URL that is NULL or has no ``://`` has empty host and path and is
-judged like a host without evidence; a NULL outcome is no evidence; rows repeated in whole count and
+judged like a host without evidence; ports and users of a host make no domain, and an address is a domain of its own; a NULL outcome is no evidence; rows repeated in whole count and
 return as often as they stand; an empty table gives an empty result.
 """
 
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from recipeflow.llm.common import boxed
 from recipeflow.session import stage
 
-#: Suffixes of more than one label; others are a host's last label.
-COMPOUND_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn")
+#: Labels under which countries register names: in front of a two-letter last label they belong to the suffix.
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: The suffix of hosts that are addresses; each is a domain of its own.
+ADDRESSES = "(address)"
 
 
 @dataclass(frozen=True)
@@ -64,14 +66,29 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare_host(host: Column) -> Column:
+    """``host`` without user, port and final dots."""
+    return F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$|\.+(?=$|:[0-9]*$)", "")
+
+
+def _address(bare: Column) -> Column:
+    return bare.rlike(r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$")
+
+
+def _compound(bare: Column) -> Column:
+    return bare.rlike(r"(^|\.)(" + "|".join(REGISTRY_LABELS) + r")\.[a-z]{2}$")
+
+
 def public_suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*COMPOUND_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    bare = bare_host(host)
+    labels = F.when(_compound(bare), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(_address(bare), F.lit(ADDRESSES)).otherwise(labels)
 
 
 def registered_domain(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*COMPOUND_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    bare = bare_host(host)
+    labels = F.when(_compound(bare), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
+    return F.when(_address(bare), bare).otherwise(labels)
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:

@@ -513,6 +513,28 @@ def test_url_rules_and_reputation(spark):
     assert url_reputation.judge_urls(table.where("false"), F.col("host"), rules).count() == 0
 
 
+def test_domains_and_suffixes_of_hosts(spark):
+    from pyspark.sql import functions as F
+
+    want = {
+        "a.b.gov.uk": ("b.gov.uk", "gov.uk"), "shop.example.com:8080": ("example.com", "com"), "u:p@a.example.co.jp.": ("example.co.jp", "co.jp"),
+        "10.1.2.3": ("10.1.2.3", "(address)"), "10.1.2.3:80": ("10.1.2.3", "(address)"), "[::1]:80": ("[::1]", "(address)"),
+        "com.de": ("com.de", "com.de"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.com.": ("x.com", "com"), "a.x.com.:1": ("x.com", "com"),
+    }
+    table = spark.createDataFrame([(h,) for h in want], "host string")
+    got = table.select("host", url_reputation.registered_domain(F.col("host")), url_reputation.public_suffix(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+
+
+def test_addresses_are_blocked_one_by_one(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://10.0.0.{1 + i % 2}/{i}", i % 2) for i in range(200)]
+    table = spark.createDataFrame(rows + rows[:20], "page_id long, url string, good int")  # repeated rows count again
+    got = url_reputation.judge_urls(table, F.col("good")).groupBy("host", "verdict").count().collect()
+    assert {(r["host"], r["verdict"], r["count"]) for r in got} == {("10.0.0.1", "block", 110), ("10.0.0.2", "allow", 110)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
