@@ -15,8 +15,9 @@ from recipeflow.functions import parse as P
 from recipeflow.functions import render as R
 from recipeflow.functions import text as X
 from recipeflow.operators import chatlog as C
-from recipeflow.operators.counters import run_counters
+from recipeflow.operators.counters import counter_sketches, merge_counters, run_counters
 from recipeflow.operators.lookup import with_task_params
+from recipeflow.operators.ranked import top_n_rows
 from recipeflow.plans import sqlgen as S
 from recipeflow.plans.oracle_views import with_views
 from recipeflow.plans.registry import register
@@ -41,6 +42,9 @@ def _long(df, key, arr, pos="pos", item="item"):
     return df.select(key, F.posexplode(arr).alias(pos, item)).withColumn(pos, F.col(pos).cast("bigint"))
 
 
+_TEXT_LINES = S.split_lines("text")
+
+
 def _unnest_sql(src: str, key: str, arr: str, pos="pos", item="item") -> str:
     return f"SELECT {key}, u.{item} AS {item}, CAST(u.o - 1 AS BIGINT) AS {pos} FROM {src}, unnest({arr}) WITH ORDINALITY AS u({item}, o)"
 
@@ -341,6 +345,19 @@ def q_top_n_items(spark, sf):
     return _long(d, "doc_id", "l", item="line")
 
 
+@register(
+    "top_n_item_rows",
+    f"SELECT lang, doc_id, pos, line, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY length(line) DESC, doc_id, pos) AS rank "
+    f"FROM ({_unnest_sql(f'(SELECT lang, doc_id, {_TEXT_LINES} AS l FROM documents)', 'lang, doc_id', 'l', item='line')})) WHERE rank <= 20",
+    row="53",
+)
+def q_top_n_item_rows(spark, sf):
+    """The 20 longest lines of each language: few groups, all of them hot."""
+    d = load(spark, sf, "documents", "doc_id", "lang", "text").select("lang", "doc_id", F.posexplode(P.split_lines("text")).alias("pos", "line"))
+    order = [F.char_length("line").desc(), F.col("doc_id"), F.col("pos")]
+    return top_n_rows(d.withColumn("pos", F.col("pos").cast("bigint")), ["lang"], order, 20, "rank").withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @register(
     "split_item_list",
     f"SELECT conv_id, turn, u.item AS item, CAST(u.o - 1 AS BIGINT) AS pos FROM "
@@ -667,3 +684,26 @@ def q_run_counters(spark, sf):
     q = V.v4_queries(spark, sf)
     task = F.element_at(F.array(*[F.lit(t) for t in V.TASKS]), (F.col("query_id") % len(V.TASKS)).cast("int") + 1)
     return run_counters(q.withColumn("task", task), "raw", "display_lang", "task")
+
+
+@register(
+    "merged_counters",
+    with_views(
+        f"SELECT {S.safe_lang('display_lang')} AS lang, CAST(count(*) AS BIGINT) AS n_requests, "
+        "CAST(sum(length(coalesce(raw, ''))) AS BIGINT) AS n_chars, TRUE AS texts_near, TRUE AS median_near FROM v4 GROUP BY 1",
+        "v4",
+    ),
+    row="54",
+)
+def q_merged_counters(spark, sf):
+    """Counters stored per part and merged, with whether the sketches' estimates are near the exact figures."""
+    q = V.v4_queries(spark, sf).withColumn("part", F.col("query_id") % 7)
+    merged = merge_counters(counter_sketches(q, "raw", "display_lang", part="part"), "lang")
+    n = F.char_length(F.coalesce("raw", F.lit("")))
+    exact = q.groupBy(X.safe_lang_code("display_lang").alias("lang")).agg(
+        F.count_distinct(F.coalesce("raw", F.lit(""))).alias("_n"),
+        F.percentile(n, F.lit(0.45)).alias("_low"), F.percentile(n, F.lit(0.55)).alias("_high"),
+    )
+    near = F.abs(F.col("n_texts") - F.col("_n")) <= F.greatest(F.lit(1), 0.05 * F.col("_n"))
+    median = F.col("p50").between(F.floor("_low"), F.ceil("_high"))
+    return merged.join(exact, "lang").select("lang", "n_requests", "n_chars", near.alias("texts_near"), median.alias("median_near"))

@@ -11,6 +11,8 @@ health   messages + saved filters -> latest recipe per chat -> guard
           (rejected chats are a side output) -> prompt -> model -> translated
           block -> check block message with payload
 
+``counters`` takes a job's counters (:func:`recipeflow.operators.counters.observed`) in the pass that reads its rows.
+
 Model calls go through :func:`recipeflow.operators.modelmap.map_model` (one
 call per distinct request, answers checkpointed) and translations through
 the translation-memory operators; everything else is narrow column work.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,7 @@ from recipeflow.functions import parse as P
 from recipeflow.functions import render as R
 from recipeflow.functions import text as X
 from recipeflow.operators import chatlog as C
+from recipeflow.operators.counters import observed
 from recipeflow.operators.modelmap import map_model, materialize
 from recipeflow.sources.message_log import MessageLog
 from recipeflow.operators.translate import back_translate_title, translate_array, translate_block
@@ -83,6 +86,7 @@ def suggest_job(
     memory_path: str | None = None,
     run: str | None = None,
     at=None,
+    counters: Observation | None = None,
 ) -> DataFrame:
     """queries(key, raw, display_lang) -> message rows (key, seq, role, content, payload_json).
 
@@ -106,6 +110,7 @@ def suggest_job(
         unique_key=True, memory_path=_stored(memory_path, "translations"),
     )
     rows = _messages(t, key, F.col("raw"), R.render_titles("titles_loc"))
+    rows = observed(rows, "content", counters)
     return rows if log is None else append_to_log(rows, key, log, run, at)
 
 
@@ -119,6 +124,7 @@ def recipe_job(
     memory_path: str | None = None,
     run: str | None = None,
     at=None,
+    counters: Observation | None = None,
 ) -> DataFrame:
     """titles(key, title, display_lang) -> message rows with the recipe payload; ``log`` and ``memory_path``
     as in :func:`suggest_job`."""
@@ -157,11 +163,13 @@ def recipe_job(
         R.render_recipe("ingredients", "steps", "code"),
         R.recipe_payload(F.col("title"), F.col("ingredients"), F.col("steps")),
     )
+    rows = observed(rows, "content", counters)
     return rows if log is None else append_to_log(rows, key, log, run, at)
 
 
 def nutrition_job(
-    lists: DataFrame, generator: Callable, key: str = "list_id", items: str = "items", memory_path: str | None = None
+    lists: DataFrame, generator: Callable, key: str = "list_id", items: str = "items", memory_path: str | None = None,
+    counters: Observation | None = None,
 ) -> DataFrame:
     """lists(key, items: comma list or array of strings) -> (key, text, error).
 
@@ -176,7 +184,7 @@ def nutrition_job(
     )
     ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
     text = F.when(F.size("_items") == 0, F.lit(K.NO_INGREDIENTS_TEXT)).otherwise(X.strip("text"))
-    return ans.select(key, text.alias("text"), "error")
+    return observed(ans.select(key, text.alias("text"), "error"), "text", counters)
 
 
 def health_job(
