@@ -14,8 +14,9 @@ Semantics (per call of the application's cached translator):
   are never memorised.
 
 Plan: gate (narrow) -> distinct keys (partial aggregate, skew-safe) ->
-``left_anti`` memory -> balanced ``repartition`` -> ``mapInPandas`` ->
-checkpoint -> join back on the key.  Arrays are exploded with their position,
+``left_anti`` memory -> ``mapInPandas`` in that aggregate's tasks ->
+checkpoint -> join back on the key, for the rows that have one (the others
+do not move).  Arrays are exploded with their position,
 translated as items and re-assembled per row key (``array_sort`` over
 ``collect_list(struct(pos, value))``: one row's own items, never a hot group).
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recipeflow.functions.text import blank_to_empty, can_translate, col, normalize_query, safe_lang_code, strip
-from recipeflow.operators.modelmap import KEY_SEP, materialize, run_model_batches, split_held
+from recipeflow.operators.modelmap import KEY_SEP, answered, materialize, run_model_batches, split_held
 from recipeflow.sources.memory_table import MemoryTable
 
 MEMORY_SCHEMA = "mt_key string, text string, src string, tgt string, translated string"
@@ -39,23 +40,15 @@ def mt_key(text, src, tgt) -> Column:
 
 
 def _answer(uniq: DataFrame, factory: Callable, partitions: int | None, checkpoint: bool) -> DataFrame:
-    n = partitions or int(uniq.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-
     def call_factory():
         fn = factory()
         if hasattr(fn, "complete_batch"):
             return fn
         return lambda r: fn(r["text"], r["src"], r["tgt"])
 
-    ans = (
-        uniq.select("mt_key", "text", "src", "tgt")
-        .repartition(n, "mt_key")
-        .mapInPandas(
-            run_model_batches(call_factory, "mt_key", ("text", "src", "tgt"), ("translated", "mt_error")),
-            "mt_key string, translated string, mt_error string",
-        )
-    )
-    return materialize(ans, checkpoint)
+    run = run_model_batches(call_factory, "mt_key", ("text", "src", "tgt"), ("translated", "mt_error"))
+    uniq = uniq.select("mt_key", "text", "src", "tgt")
+    return answered(uniq, "mt_key", run, "mt_key string, translated string, mt_error string", partitions, checkpoint)
 
 
 def translate_texts(
@@ -103,26 +96,29 @@ def translate_texts(
         answers = _answer(todo, translator_factory, partitions, checkpoint)
     else:
         store = MemoryTable(df.sparkSession, memory_path, "mt_key", "translated")
-        todo, held = split_held(todo, store)
-        new = _answer(todo, translator_factory, partitions, True)  # read twice: always staged
-        store.append(new.where(F.col("mt_error").isNull() & F.col("translated").isNotNull()))
-        answers = new.unionByName(held.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error")))
+        keys = base.where(F.col("_go")).select("mt_key")
+        if memory is not None:
+            keys = keys.join(memory.select("mt_key"), "mt_key", "left_anti")
+        todo, held = split_held(todo, keys, store)
+        answers = held.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error"))
+        if todo is not None:
+            new = _answer(todo, translator_factory, partitions, True)  # read twice: always staged
+            store.append(new.where(F.col("mt_error").isNull() & F.col("translated").isNotNull()))
+            answers = new.unionByName(answers)
     if memory is not None:
         answers = answers.unionByName(
             memory.select("mt_key", "translated", F.lit(None).cast("string").alias("mt_error")).dropDuplicates(
                 ["mt_key"]
             )
         )
-    # rows without a request match nothing; keys of their own keep them from meeting in one join task
-    own = F.coalesce(F.col("mt_key"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    answers = answers.withColumnRenamed("mt_key", "_key")
-    j = base.withColumn("_own", own).join(answers, F.col("_own") == F.col("_key"), "left")
-    return j.select(
-        *[F.col(c) for c in df.columns],
-        F.when(F.col("_go"), F.col("translated")).otherwise(col(text)).alias(out),
-        F.col("mt_error").alias(out + "_error"),
-        F.col("_go").alias(out + "_called"),
+    called = base.where(F.col("_go")).join(answers, "mt_key", "left").select(
+        *df.columns, F.col("translated").alias(out), F.col("mt_error").alias(out + "_error"), F.lit(True).alias(out + "_called")
+    )
+    # rows without a request keep their text where they are
+    others = base.where(~F.col("_go")).select(
+        *df.columns, col(text).alias(out), F.lit(None).cast("string").alias(out + "_error"), F.lit(False).alias(out + "_called")
     )
+    return called.unionByName(others)
 
 
 def memory_rows(translated: DataFrame, text: str, src, tgt, out: str = "translated") -> DataFrame:
@@ -199,7 +195,10 @@ def translate_array(
     tr = tr.withColumn("_val", F.when(F.col("_tr_error").isNull(), F.col("_tr")).otherwise(F.col("_item")))
     back = tr.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_val"))).alias("_pairs"))
     back = back.select(key, F.transform("_pairs", lambda x: x["_val"]).alias("_arr"))
-    joined = df.join(back, key, "left").withColumn(out, F.coalesce(F.col("_arr"), col(arr))).drop("_arr")
+    # rows without items to translate stay where they are; of the others the array itself need not be moved
+    asked = F.coalesce(go & (F.size(arr) > 0) & F.col(key).isNotNull(), F.lit(False))
+    called = df.where(asked).join(back, key, "left").withColumnRenamed("_arr", out)
+    joined = called.unionByName(df.where(~asked).withColumn(out, col(arr)))
     return joined if unique_key else joined.drop("_row")
 
 

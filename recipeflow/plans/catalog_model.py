@@ -158,7 +158,7 @@ def q_translate_memory_table(spark, sf):
     """As ``translate``, with the earlier translations in a stored memory; the second of two runs."""
     q = V.v4_queries(spark, sf).withColumn("_tgt", probe_code("query_id"))
     store = MemoryTable(spark, work_dir(spark, "translations"), "mt_key", "translated", buckets=8)
-    store.append(M.materialize(_memory(spark, sf)))
+    store.append(M.materialize(_memory(spark, sf).select("mt_key", "translated")))
     T.translate(q, "raw", F.lit("en"), "_tgt", TR, memory_path=store.path)
     r = T.translate(q, "raw", F.lit("en"), "_tgt", TR, memory_path=store.path)
     return r.select(
