@@ -102,8 +102,8 @@ def step_text(s: Column) -> Column:
 _HEADING_AHEAD = "\n(?=(?i:ingredients|steps|method))"
 
 
-def _primary(lines: Column) -> Column:
-    """Section state machine in linear time.
+def _sections(lines: Column) -> Column:
+    """The sections of an answer, array<struct<kind, lines>>, their heading the first line.
 
     Lines are stripped and non-blank, so a heading is a line starting
     (ASCII case-insensitively, as ``str.lower().startswith`` does for these
@@ -113,23 +113,23 @@ def _primary(lines: Column) -> Column:
     and are ignored.  No fold: every step is a flat ``transform``/``filter``.
     """
     chunks = F.split(F.array_join(lines, "\n"), _HEADING_AHEAD)
-    parts = F.transform(
-        chunks,
-        lambda c: F.struct(
-            heading_kind(F.substring_index(c, "\n", 1)).alias("kind"),
-            F.slice(F.split(c, "\n"), 2, F.greatest(F.size(F.split(c, "\n")) - 1, F.lit(0))).alias("body"),
-        ),
+    return F.transform(
+        chunks, lambda c: F.struct(heading_kind(F.substring_index(c, "\n", 1)).alias("kind"), F.split(c, "\n").alias("lines"))
     )
+
+
+def _of_sections(parts: Column) -> Column:
+    """Section state machine in linear time, over :func:`_sections`."""
     ing = F.flatten(
         F.transform(
             F.filter(parts, lambda p: p["kind"] == _SEC_ING),
-            lambda p: F.transform(F.filter(p["body"], _is_bullet), _bullet_item),
+            lambda p: F.transform(F.filter(p["lines"], lambda x, i: (i > 0) & _is_bullet(x)), _bullet_item),
         )
     )
     steps = F.flatten(
         F.transform(
             F.filter(parts, lambda p: p["kind"] == _SEC_STEPS),
-            lambda p: F.filter(F.transform(p["body"], step_text), lambda x: x != ""),
+            lambda p: F.filter(F.transform(F.filter(p["lines"], lambda x, i: i > 0), step_text), lambda x: x != ""),
         )
     )
     return F.struct(ing.alias("ingredients"), steps.alias("steps"))
@@ -137,7 +137,7 @@ def _primary(lines: Column) -> Column:
 
 def parse_recipe_primary(text) -> Column:
     """Section state machine (headings switch section and are dropped)."""
-    return _primary(split_lines(text))
+    return _of_sections(_sections(split_lines(text)))
 
 
 def parse_recipe_fallback(text) -> Column:
@@ -190,14 +190,14 @@ def titles_text_or_default(text, error) -> Column:
 def with_recipe(df, text, out: str = "recipe", error: str | None = None, cap: bool = False):
     """Add ``out`` = parsed recipe (struct<ingredients, steps>) to ``df``.
 
-    Staged projections: lines, primary fold, fallback choice, default on
+    Staged projections: lines, sections, primary lists, fallback choice, default on
     error, caps if asked for.  Each stage is referenced more than once by the next and is
     not cheap, so Catalyst keeps the projections apart and every
     higher-order function (interpreted, outside whole-stage codegen) runs
     exactly once per row.  Still a narrow plan: no exchange.
     """
     d = df.withColumn("_rl", split_lines(text))
-    d = d.withColumn("_rp", _primary(F.col("_rl")))
+    d = d.withColumn("_rs", _sections(F.col("_rl"))).withColumn("_rp", _of_sections(F.col("_rs")))
     p = F.col("_rp")
     empty = (F.size(p["ingredients"]) == 0) & (F.size(p["steps"]) == 0)
     d = d.withColumn(out, F.when(empty, _fallback(F.col("_rl"))).otherwise(p))
@@ -205,4 +205,4 @@ def with_recipe(df, text, out: str = "recipe", error: str | None = None, cap: bo
         d = d.withColumn(out, recipe_or_default(F.col(out), error))
     if cap:
         d = d.withColumn(out, cap_recipe(F.col(out)))
-    return d.drop("_rl", "_rp")
+    return d.drop("_rl", "_rs", "_rp")

@@ -176,14 +176,14 @@ def nutrition_job(
     An empty list is answered with a fixed text and never reaches the model.
     """
     is_array = isinstance(lists.schema[items].dataType, T.ArrayType)
-    li = materialize(lists.select(key, (P.clean_items(items) if is_array else P.split_item_list(items)).alias("_items")))
-    req = (
-        li.withColumn("task", F.lit("nutrition"))
-        .withColumn("system", F.lit(R.SYSTEM_PROMPT))
-        .withColumn("prompt", R.nutrition_prompt("_items"))
+    cleaned = P.clean_items(items) if is_array else P.split_item_list(items)
+    li = materialize(lists.select(key, R.nutrition_prompt(cleaned).alias("prompt")))
+    ans = map_model(
+        li.withColumn("task", F.lit("nutrition")).withColumn("system", F.lit(R.SYSTEM_PROMPT)), generator,
+        memory_path=_stored(memory_path, "answers"),
     )
-    ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
-    text = F.when(F.size("_items") == 0, F.lit(K.NO_INGREDIENTS_TEXT)).otherwise(X.strip("text"))
+    # an empty list has no prompt and so no request
+    text = F.when(F.col("req_key").isNull(), F.lit(K.NO_INGREDIENTS_TEXT)).otherwise(X.strip("text"))
     return observed(ans.select(key, text.alias("text"), "error"), "text", counters)
 
 

@@ -11,7 +11,7 @@ Scale notes
   when its estimated size is under ``spark.sql.autoBroadcastJoinThreshold``,
   otherwise sort-merge; AQE may switch at runtime with real sizes).
   De-duplication, ordering and numbering of an order's items happen in ONE
-  aggregate: ``array_sort(collect_set(struct(...)))`` - partial aggregation
+  aggregate: ``sort_array(collect_set(struct(...)))`` - partial aggregation
   de-duplicates map-side before the single exchange on ``l_orderkey``.
 * Everything else is a narrow projection of one table.
 """
@@ -101,7 +101,7 @@ def _order_items(spark: SparkSession, sf_dir: str, extra: str) -> DataFrame:
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
     third = (F.col("l_quantity").cast("bigint") if extra == "q" else F.col("p_type")).alias(extra)
     item = F.struct(F.col("l_linenumber"), F.col("p_name"), third)
-    return j.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    return j.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(item)).alias("items"))
 
 
 def v2_title_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

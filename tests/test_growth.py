@@ -48,3 +48,19 @@ def test_nothing_is_asked_when_the_memory_holds_all(spark, monkeypatch):
     asked.clear()
     monkeypatch.setattr(T, "_answer", lambda *a: pytest.fail("everything is held"))
     assert set(go(df.where("id <> 3"))) == {1, 2, 4, 5}
+
+
+def test_prompts_move_once_and_a_list_is_cut_once(spark, monkeypatch):
+    plans, old = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, *a: (plans.append(plan(df)), old(df, *a))[1])
+    acc = spark.sparkContext.accumulator(0)
+    lists = spark.createDataFrame([(1, "egg, milk"), (2, "egg,milk"), (3, " , "), (4, None)], "list_id int, items string")
+    out = {r["list_id"]: r["text"] for r in J.nutrition_job(lists, CountingGenerator(acc)).collect()}
+    assert acc.value == 1 and out[1] == out[2] and out[3] == out[4] == "No ingredients provided."
+    (asked,) = [p for p in plans if "MapInPandas" in p]
+    assert len(re.findall("Exchange (hash|RoundRobin)", asked)) == 1
+    assert spark.conf.get(M.COALESCE, "true") == "true"
+    answers = spark.createDataFrame([("Ingredients:\n- a\nSteps:\n1. b",)], "text string")
+    recipe = P.with_recipe(answers, "text")
+    assert plan(recipe).count("(?=(?i:") == 1
+    assert [list(x) for x in recipe.first()["recipe"]] == [["a"], ["b"]]
