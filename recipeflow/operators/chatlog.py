@@ -85,6 +85,22 @@ CHAT_SCHEMA = T.StructType(
 # --------------------------------------------------------------------------
 
 
+def has_chat_folders(spark: SparkSession, path: str) -> bool:
+    """Whether the folder ``path`` has ``chat_id=<id>`` folders in it; it looks no further than the first."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hp):  # a pattern, or an error that the reader reports
+        return False
+    inside = fs.listStatusIterator(hp)
+    while inside.hasNext():
+        found = inside.next()
+        if found.isDirectory():
+            name = found.getPath().getName()
+            if not name.startswith(("_", ".")):
+                return name.startswith("chat_id=")
+    return False
+
+
 def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> DataFrame:
     """Read chat documents (one JSON document per file).
 
@@ -102,9 +118,14 @@ def scan_chats(spark: SparkSession, path: str, glob: str | None = "*.json") -> D
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.json(path)
-    if "chat_id" in df.columns:  # folders name the chats: ids are read as they are written, 007 is not 7
-        df = reader.schema(T.StructType([*CHAT_SCHEMA, T.StructField("chat_id", T.StringType())])).json(path)
+    # folders name the chats: ids are read as they are written, 007 is not 7
+    by_folder = T.StructType([*CHAT_SCHEMA, T.StructField("chat_id", T.StringType())])
+    if has_chat_folders(spark, path):
+        df = reader.schema(by_folder).json(path)  # the only listing: there is a folder a chat
+    else:
+        df = reader.json(path)
+        if "chat_id" in df.columns:  # below other folders
+            df = reader.schema(by_folder).json(path)
     fname = F.col("_metadata.file_name")
     stem = F.regexp_extract(fname, "^(.*?)(\\.json)?$", 1)
     chat_id = F.col("chat_id").cast("string") if "chat_id" in df.columns else stem
@@ -235,7 +256,9 @@ def new_chat_rows(requests: DataFrame, ts: str = "ts", title: str = "title") ->
 # --------------------------------------------------------------------------
 
 
-def row_number_within(df: DataFrame, key: str, order: str, partitions: int | None = None, out: str = "rn") -> DataFrame:
+def row_number_within(
+    df: DataFrame, key: str, order: str, partitions: int | None = None, out: str = "rn", ties: tuple[str, str] | None = None
+) -> DataFrame:
     """``row_number() over (partition by key order by order)`` without putting
     a hot key into one task.
 
@@ -245,12 +268,19 @@ def row_number_within(df: DataFrame, key: str, order: str, partitions: int | Non
        (partition id, key), so each piece of a hot key is its own task;
     3. prefix-sum the per-(key, partition) counts (one row per piece) into
        offsets and join them back.
+
+    ``ties`` names two more columns: the first number of the rows that are equal in ``key`` and ``order``, and how many
+    they are (equal rows are in one piece).
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     # written once: a second evaluation of the exchange would sample other bounds and disagree on the pieces
     ranged = stage(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()), "numbered-pieces")
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(order)))
-    counts = local.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    piece = Window.partitionBy("_pid", key).orderBy(order)
+    local = ranged.withColumn("_lrn", F.row_number().over(piece))
+    if ties is not None:
+        same = Window.partitionBy("_pid", key, order)
+        local = local.withColumn(ties[0], F.rank().over(piece)).withColumn(ties[1], F.count(F.lit(1)).over(same))
+    counts = ranged.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
         "_off",
         F.coalesce(
@@ -258,11 +288,10 @@ def row_number_within(df: DataFrame, key: str, order: str, partitions: int | Non
             F.lit(0),
         ),
     ).drop("_cnt")
-    return (
-        join_null_safe(local, offsets, key, "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
-        .drop("_pid", "_lrn", "_off")
-    )
+    numbered = join_null_safe(local, offsets, key, "_pid").withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
+    if ties is not None:
+        numbered = numbered.withColumn(ties[0], (F.col("_off") + F.col(ties[0])).cast("bigint"))
+    return numbered.drop("_pid", "_lrn", "_off")
 
 
 def append_messages(
@@ -291,6 +320,24 @@ def append_messages(
     return out
 
 
+def exchange_positions(messages: DataFrame, new: DataFrame, order_by: str) -> DataFrame:
+    """``new`` with the positions that its rows' messages take behind ``messages``: ``seq_user`` and ``seq_assistant``.
+
+    They are those of :func:`append_messages` for two messages a row, ordered by (``order_by``, the user's first): rows
+    equal in chat and order have all their users' messages before their assistants'. Only ``new`` moves, so give it
+    before its messages are made: their texts are then not sorted.
+    """
+    last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
+    numbered = row_number_within(new, "chat_id", order_by, out="_rn", ties=("_first", "_same"))
+    user = F.coalesce("_last", F.lit(-1)) + F.col("_first") + F.col("_rn") - 1  # 2 * (_first - 1) before, then _rn - _first + 1
+    return (
+        join_null_safe(numbered, last, "chat_id", how="left")
+        .withColumn("seq_user", user.cast("bigint"))
+        .withColumn("seq_assistant", (F.col("seq_user") + F.col("_same")).cast("bigint"))
+        .drop("_last", "_rn", "_first", "_same")
+    )
+
+
 # --------------------------------------------------------------------------
 # 6: history
 # --------------------------------------------------------------------------
@@ -333,11 +380,14 @@ def latest_payload(messages: DataFrame, kind: str = "recipe_detail") -> DataFram
     """Per chat, the newest message carrying ``meta.payload.<kind>``.
 
     Empty lists in that payload are *not* skipped over to an older one.
-    ``max_by`` is a partial aggregate: skew-safe.
+    Positions are compared first, without the payloads (a partial aggregate that sorts nothing); only the newest messages'
+    payloads go on.
     """
     p = F.col("meta.payload." + kind)
+    filled = messages.where(filled_payload(messages, p))
+    newest = stage(filled.groupBy("chat_id").agg(F.max("seq").alias("seq")), "newest")
     return (
-        messages.where(filled_payload(messages, p))
+        join_null_safe(filled, newest, "chat_id", "seq", how="left_semi")
         .groupBy("chat_id")
         .agg(F.max_by(F.struct(F.col("seq"), p.alias("payload")), F.col("seq")).alias("_l"))
         .select("chat_id", F.col("_l.seq").alias("seq"), F.col("_l.payload").alias(kind))
@@ -425,7 +475,10 @@ def recipe_items(df: DataFrame, key: str, rec: str = "recipe") -> DataFrame:
 
 
 def explode_titles(df: DataFrame, key: str, titles: str = "titles") -> DataFrame:
-    """(key, rank, title) with rank starting at 1."""
-    return df.select(key, F.posexplode(titles).alias("pos", "title")).select(
+    """(key, rank, title) with rank starting at 1.
+
+    The outer form: for the inner one Spark filters by the list's size first, and so makes a computed list several times.
+    """
+    return df.select(key, F.posexplode_outer(titles).alias("pos", "title")).where("pos is not null").select(
         key, (F.col("pos") + 1).cast("bigint").alias("rank"), "title"
     )

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,7 @@ from recipeflow.functions import text as X
 from recipeflow.operators import chatlog as C
 from recipeflow.operators.counters import observed
 from recipeflow.operators.modelmap import map_model, materialize
-from recipeflow.sources.message_log import MessageLog
+from recipeflow.sources.message_log import MessageLog, meta_of
 from recipeflow.operators.translate import back_translate_title, translate_array, translate_block
 
 
@@ -61,6 +61,30 @@ def append_to_log(rows: DataFrame, key: str, log: DataFrame | MessageLog, run: s
     return out
 
 
+def _with_positions(rows: DataFrame, key: str, log: DataFrame | MessageLog | None, run: str | None) -> DataFrame:
+    """A job's input rows with the positions of their two messages, as :func:`append_to_log` gives them; numbered before
+    the messages are made, so no text is sorted.  Without a ``log`` they are 0 and 1."""
+    if log is None:
+        return rows.withColumn("seq_user", F.lit(0).cast("bigint")).withColumn("seq_assistant", F.lit(1).cast("bigint"))
+    if isinstance(log, MessageLog):  # staged: what is stored later must not read the log
+        return materialize(C.exchange_positions(log.read(without_run=run), rows, key))
+    return C.exchange_positions(log, rows, key)
+
+
+def _message(role: str, seq: str, content, payload_json, meta) -> Column:
+    return F.struct(
+        F.lit(role).alias("role"), content.alias("content"), payload_json.alias("payload_json"), F.col(seq).alias("seq"), meta.alias("meta")
+    )
+
+
+def _delivered(rows: DataFrame, kept: list[str], log: DataFrame | MessageLog | None, run: str | None, at) -> DataFrame:
+    """Message rows as a job returns them; a :class:`MessageLog` stores them, as ``run`` of the time ``at``."""
+    if isinstance(log, MessageLog):
+        log.write(rows.drop("payload_json"), run, at)
+    fields = ("seq", "role", "content", "payload_json") if log is None else ("role", "content", "payload_json", "seq")
+    return rows.select(*kept, *fields)
+
+
 def _messages(df: DataFrame, key: str, user, assistant, payload=None) -> DataFrame:
     """The user and assistant message rows of each input row, from ONE pass
     (an explode of a two-element array, not a union that would evaluate the
@@ -127,7 +151,11 @@ def recipe_job(
     counters: Observation | None = None,
 ) -> DataFrame:
     """titles(key, title, display_lang) -> message rows with the recipe payload; ``log`` and ``memory_path``
-    as in :func:`suggest_job`."""
+    as in :func:`suggest_job`.
+
+    A recipe and its messages depend on the title and the language alone: they are made once for each pair, and a row
+    gets those of its pair.
+    """
     t = titles.select(
         key,
         *_carried(titles),
@@ -135,15 +163,29 @@ def recipe_job(
         X.safe_lang_code("display_lang").alias("code"),
     )
     t = materialize(t)  # read several times below, computed once
+    kept = [key, *_carried(t)]
+    placed = _with_positions(t, key, log, run)
+    recipes = _recipes(materialize(t.select("title", "code").distinct()), generator, translator, memory, memory_path)
+    none, title = F.lit(None).cast("string"), F.concat(F.lit(K.SELECTED_RECIPE_PREFIX), F.col("title"))
+    pair = F.array(
+        _message("user", "seq_user", title, none, F.lit(None).cast(C.META)),
+        _message("assistant", "seq_assistant", F.col("_content"), F.col("_payload_json"), F.col("_meta")),
+    )
+    rows = placed.join(recipes, ["title", "code"]).select(*kept, F.explode(pair).alias("_m")).select(*kept, "_m.*")
+    return _delivered(observed(rows, "content", counters), kept, log, run, at)
+
+
+def _recipes(pairs: DataFrame, generator: Callable, translator: Callable, memory: DataFrame | None, memory_path: str | None) -> DataFrame:
+    """(title, code, _content, _payload_json, _meta) of distinct (title, code) pairs, staged."""
     translations = _stored(memory_path, "translations")
-    t = back_translate_title(t, "title", "code", translator, memory, out="title_en", memory_path=translations)
+    t = back_translate_title(pairs, "title", "code", translator, memory, out="title_en", memory_path=translations)
     req = (
         t.withColumn("task", F.lit("detail"))
         .withColumn("system", F.lit(R.SYSTEM_PROMPT))
         .withColumn("prompt", R.detail_prompt("title_en"))
     )
     ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
-    r = P.with_recipe(ans.select(key, *_carried(t), "title", "code", "error", "text"), "text", error="error")
+    r = P.with_recipe(ans.select("title", "code", "error", "text"), "text", error="error")
     r = materialize(r.drop("text").withColumn("_row", F.monotonically_increasing_id()))
     # ingredients and steps are translated in one pass as one array, then split
     tgt = F.when(F.col("error").isNull() & (F.col("code") != "en"), F.col("code")).otherwise(F.lit("auto"))
@@ -156,15 +198,13 @@ def recipe_job(
     r = r.withColumn("ingredients", F.slice("_all_loc", 1, F.col("_n_ing"))).withColumn(
         "steps", F.slice("_all_loc", F.col("_n_ing") + 1, F.size("_all_loc"))
     )
-    rows = _messages(
-        r,
-        key,
-        F.concat(F.lit(K.SELECTED_RECIPE_PREFIX), F.col("title")),
-        R.render_recipe("ingredients", "steps", "code"),
-        R.recipe_payload(F.col("title"), F.col("ingredients"), F.col("steps")),
+    payload = F.to_json(R.recipe_payload(F.col("title"), F.col("ingredients"), F.col("steps")))
+    return materialize(
+        r.select(
+            "title", "code", R.render_recipe("ingredients", "steps", "code").alias("_content"), payload.alias("_payload_json"),
+            meta_of(payload).alias("_meta"),
+        )
     )
-    rows = observed(rows, "content", counters)
-    return rows if log is None else append_to_log(rows, key, log, run, at)
 
 
 def nutrition_job(

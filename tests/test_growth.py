@@ -36,6 +36,9 @@ def empty_log(spark):
     return spark.createDataFrame([(5, 3)], "chat_id bigint, seq bigint")
 
 
+TITLES = [(2, 5, " Soup ", "en"), (1, 5, "Soup", "EN"), (1, 5, "Pie", "fr"), (None, None, None, "fr"), (3, 5, "Soup", "te"), (1, 5, "Pie", "fr")]
+
+
 def test_nothing_is_asked_when_the_memory_holds_all(spark, monkeypatch):
     path = work_dir(spark, "memory")
     df = spark.createDataFrame([(1, "a", "fr"), (2, "a", "fr"), (3, "b", "te"), (4, None, "fr"), (5, "c", "xx")], "id int, text string, tgt string")
@@ -64,3 +67,36 @@ def test_prompts_move_once_and_a_list_is_cut_once(spark, monkeypatch):
     recipe = P.with_recipe(answers, "text")
     assert plan(recipe).count("(?=(?i:") == 1
     assert [list(x) for x in recipe.first()["recipe"]] == [["a"], ["b"]]
+
+
+def test_titles_are_cut_once(spark):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, t string").select("k", F.split("t", ",").alias("titles"))
+    out = C.explode_titles(df, "k")
+    assert plan(out).count("split(") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_recipe_job_numbers_titles_and_makes_a_recipe_once(spark, monkeypatch):
+    seen = numbered_columns(monkeypatch)
+    parsed, old = [], P.with_recipe
+    monkeypatch.setattr(P, "with_recipe", lambda df, *a, **k: (parsed.append(df.count()), old(df, *a, **k))[1])
+    titles = spark.createDataFrame(TITLES, "title_id int, chat_id bigint, title string, display_lang string")
+    rows = J.recipe_job(titles, StubGenerator(), StubTranslator(), log=empty_log(spark)).collect()
+    assert seen and not any({"content", "payload_json"} & s for s in seen)
+    assert parsed == [4]  # of six rows
+    roles = [r["role"] for r in sorted((r for r in rows if r["chat_id"] == 5), key=lambda r: r["seq"])]
+    assert roles == ["user"] * 3 + ["assistant"] * 3 + ["user", "assistant"] * 2  # rows of one key: the users' first
+    assert sorted(r["seq"] for r in rows if r["chat_id"] == 5) == list(range(4, 14))
+    assert sorted(r["seq"] for r in rows if r["chat_id"] is None) == [0, 1]
+    assert all((r["payload_json"] is not None) == (r["role"] == "assistant") for r in rows)
+
+
+def test_positions_are_those_of_two_appended_messages(spark):
+    new = spark.createDataFrame([(c, k) for c in (None, 1, 2) for k in (None, 7, 7, 8, 9, 9, 9)], "chat_id int, k int")
+    log = spark.createDataFrame([(1, 4), (None, 0)], "chat_id int, seq long")
+    got = C.exchange_positions(log, new, "k")
+    pairs = got.select("chat_id", "k", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("seq_user").alias("seq")), F.struct(F.lit(1).alias("turn"), F.col("seq_assistant").alias("seq")))).alias("m"))
+    got = sorted(map(repr, pairs.select("chat_id", "k", "m.turn", "m.seq").collect()))
+    two = new.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    want = C.append_messages(log, two.withColumn("_o", F.struct("k", "turn")), "_o").select("chat_id", "k", "turn", "seq")
+    assert got == sorted(map(repr, want.collect()))
