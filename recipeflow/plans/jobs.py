@@ -85,21 +85,6 @@ def _delivered(rows: DataFrame, kept: list[str], log: DataFrame | MessageLog | N
     return rows.select(*kept, *fields)
 
 
-def _messages(df: DataFrame, key: str, user, assistant, payload=None) -> DataFrame:
-    """The user and assistant message rows of each input row, from ONE pass
-    (an explode of a two-element array, not a union that would evaluate the
-    input twice)."""
-    kept = [key, *_carried(df)]
-    pj = F.to_json(payload) if payload is not None else F.lit(None).cast("string")
-    pair = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit("user").alias("role"), user.alias("content"),
-                 F.lit(None).cast("string").alias("payload_json")),
-        F.struct(F.lit(1).cast("bigint").alias("seq"), F.lit("assistant").alias("role"), assistant.alias("content"),
-                 pj.alias("payload_json")),
-    )
-    return df.select(*kept, F.explode(pair).alias("_m")).select(*kept, "_m.*")
-
-
 def suggest_job(
     queries: DataFrame,
     generator: Callable,
@@ -123,19 +108,27 @@ def suggest_job(
         X.strip(X.blank_to_empty(F.col("raw"))).alias("raw"),
         X.safe_lang_code("display_lang").alias("code"),
     )
-    q = materialize(q.withColumn("prompt", R.suggest_prompt(X.normalize_query("raw", "code"))))  # read twice below
-    req = q.withColumn("task", F.lit("suggest")).withColumn("system", F.lit(R.SYSTEM_PROMPT))
+    q = materialize(q.withColumn("_row", F.monotonically_increasing_id()))  # read several times below
+    kept = [key, *_carried(q)]
+    placed = _with_positions(q.select(*kept, "_row"), key, log, run)
+    # the prompt is made where it is needed; a query's text goes straight to its own message
+    req = q.select(
+        "_row", "code", F.lit("suggest").alias("task"), F.lit(R.SYSTEM_PROMPT).alias("system"),
+        R.suggest_prompt(X.normalize_query("raw", "code")).alias("prompt"),
+    )
     ans = map_model(req, generator, memory_path=_stored(memory_path, "answers"))
-    t = ans.select(key, *_carried(q), "raw", "code", P.extract_titles(P.titles_text_or_default("text", "error")).alias("titles"))
-    t = materialize(t.withColumn("_row", F.monotonically_increasing_id()))
+    t = materialize(ans.select("_row", "code", P.extract_titles(P.titles_text_or_default("text", "error")).alias("titles")))
     tgt = F.when(F.col("code") != "en", F.col("code")).otherwise(F.lit("auto"))
     t = translate_array(
         t.withColumn("_tgt", tgt), "_row", "titles", F.lit("en"), "_tgt", translator, memory, out="titles_loc",
         unique_key=True, memory_path=_stored(memory_path, "translations"),
     )
-    rows = _messages(t, key, F.col("raw"), R.render_titles("titles_loc"))
-    rows = observed(rows, "content", counters)
-    return rows if log is None else append_to_log(rows, key, log, run, at)
+    texts = q.select("_row", F.col("raw").alias("content"), F.lit("user").alias("role"))
+    texts = texts.unionByName(t.select("_row", R.render_titles("titles_loc").alias("content"), F.lit("assistant").alias("role")))
+    seq = F.when(F.col("role") == "user", F.col("seq_user")).otherwise(F.col("seq_assistant"))
+    none = F.lit(None).cast("string").alias("payload_json")
+    rows = texts.join(placed, "_row").select(*kept, "role", "content", none, seq.alias("seq"), F.lit(None).cast(C.META).alias("meta"))
+    return _delivered(observed(rows, "content", counters), kept, log, run, at)
 
 
 def recipe_job(

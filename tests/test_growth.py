@@ -100,3 +100,14 @@ def test_positions_are_those_of_two_appended_messages(spark):
     two = new.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
     want = C.append_messages(log, two.withColumn("_o", F.struct("k", "turn")), "_o").select("chat_id", "k", "turn", "seq")
     assert got == sorted(map(repr, want.collect()))
+
+
+def test_suggest_job_numbers_no_texts(spark, monkeypatch):
+    seen = numbered_columns(monkeypatch)
+    queries = spark.createDataFrame([(1, 5, "soup", "fr"), (2, 5, " pie ", "en"), (3, None, None, "te")], "query_id int, chat_id bigint, raw string, display_lang string")
+    rows = J.suggest_job(queries, StubGenerator(), StubTranslator(), log=empty_log(spark)).collect()
+    assert seen and not any({"content", "raw"} & s for s in seen)
+    users = {r["query_id"]: (r["seq"], r["content"]) for r in rows if r["role"] == "user"}
+    assert users == {1: (4, "soup"), 2: (6, "pie"), 3: (0, "")}
+    answers = {r["query_id"]: (r["seq"], r["content"]) for r in rows if r["role"] == "assistant"}
+    assert {k: v[0] for k, v in answers.items()} == {1: 5, 2: 7, 3: 1} and all(v[1] for v in answers.values())
