@@ -53,13 +53,15 @@ class MessageLog:
     def write(self, rows: DataFrame, run: str, at=None) -> None:
         """Store message rows (chat_id, seq, role, content; ``ts`` and ``meta`` or ``payload_json`` if they have them) as ``run``.
 
-        ``at`` is the time of rows without one, by default now. ``rows`` must not read this log lazily: stage them first.
+        ``at`` is the time of rows without one, by default now; if none has one, all are of one day and need not be moved. ``rows`` must not read this log lazily: stage them first.
         """
         if not run or not all(c.isalnum() or c in "-_." for c in run):
             raise ValueError(f"a run's name consists of letters, digits and -_. : {run!r}")
         default = F.lit(at).cast("timestamp") if at is not None else F.lit(datetime.datetime.now(datetime.timezone.utc))
         ts = F.coalesce(F.col("ts").cast("timestamp"), default) if "ts" in rows.columns else default
-        if "meta" in rows.columns:
+        if "meta" in rows.columns and rows.schema["meta"].dataType == C.META:
+            meta = F.col("meta")
+        elif "meta" in rows.columns:
             meta = meta_of(F.to_json("meta"))  # a struct of fewer fields is no cast
         else:
             meta = meta_of(F.col("payload_json")) if "payload_json" in rows.columns else F.lit(None).cast(C.META)
@@ -68,11 +70,12 @@ class MessageLog:
         )
         out = out.withColumn("day", F.to_date("ts")).withColumn("run", F.lit(run))
         before = self._days(run)
+        one_day = "ts" not in rows.columns
         # rows of one day are spread by chat and position: a hot chat is more than one task, a day more than one file
-        out.repartition("day", F.xxhash64("chat_id", "seq") % 32).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "day", "run"
-        ).parquet(self.path)
-        gone = before - {r["day"] for r in out.select("day").distinct().collect()} if before else set()
+        placed = out if one_day else out.repartition("day", F.xxhash64("chat_id", "seq") % 32)
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(self.path)
+        days = out.select("day").limit(1) if one_day else out.select("day").distinct()
+        gone = before - {r["day"] for r in days.collect()} if before else set()
         for day in gone:
             self._delete(f"day={day}/run={run}")
 

@@ -111,3 +111,22 @@ def test_suggest_job_numbers_no_texts(spark, monkeypatch):
     assert users == {1: (4, "soup"), 2: (6, "pie"), 3: (0, "")}
     answers = {r["query_id"]: (r["seq"], r["content"]) for r in rows if r["role"] == "assistant"}
     assert {k: v[0] for k, v in answers.items()} == {1: 5, 2: 7, 3: 1} and all(v[1] for v in answers.values())
+
+
+def test_messages_of_one_day_are_written_where_they_are(spark):
+    log = MessageLog(spark, work_dir(spark, "log"))
+    rows = spark.range(400).select(F.col("id").alias("chat_id"), F.lit(0).alias("seq"), F.lit("user").alias("role"), F.lit("x").alias("content"))
+    for n in (3, 2):
+        log.write(rows.repartition(n), "r", at="2025-09-09 00:00:00")
+        assert len(glob.glob(f"{log.path.removeprefix('file:')}/day=2025-09-09/run=r/part-*")) == n
+    log.write(rows.limit(0), "r", at="2025-09-09 00:00:00")
+    assert not glob.glob(f"{log.path.removeprefix('file:')}/day=*/run=r")
+
+
+def test_latest_payload_compares_positions_before_payloads(spark):
+    meta = "struct<payload:struct<recipe_detail:struct<title:string>>>"
+    rows = [(1, 0, (("a",),)), (1, 2, (("b",),)), (1, 3, None), (None, 1, (("c",),)), (2, None, (("d",),))]
+    latest = C.latest_payload(spark.createDataFrame([(c, s, (m,) if m else None) for c, s, m in rows], f"chat_id int, seq long, meta {meta}"))
+    assert "LeftSemi" in plan(latest)
+    got = {r["chat_id"]: (r["seq"], r["recipe_detail"] and r["recipe_detail"]["title"]) for r in latest.collect()}
+    assert got == {1: (2, "b"), None: (1, "c"), 2: (None, None)}
