@@ -57,8 +57,12 @@ def derived_chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_chat_store(docs: DataFrame, path: str) -> str:
     """One file per chat under ``chat_id=<id>/`` (text writer: the documents
-    are already serialised, corrupt ones included)."""
-    docs.repartition("chat_id").write.mode("overwrite").partitionBy("chat_id").text(path)
+    are already serialised, corrupt ones included).
+
+    The tasks put their folders in place themselves (commit algorithm 2): with a folder a chat, the driver alone would
+    rename them one after the other. ``path`` is read only after the write has ended."""
+    writer = docs.repartition("chat_id").write.mode("overwrite").partitionBy("chat_id")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 

@@ -130,3 +130,10 @@ def test_latest_payload_compares_positions_before_payloads(spark):
     assert "LeftSemi" in plan(latest)
     got = {r["chat_id"]: (r["seq"], r["recipe_detail"] and r["recipe_detail"]["title"]) for r in latest.collect()}
     assert got == {1: (2, "b"), None: (1, "c"), 2: (None, None)}
+
+
+def test_a_store_of_folders_is_listed_once(spark):
+    path = write_chat_store(spark.createDataFrame([("007", '{"title":"a","messages":[]}')], "chat_id string, value string"), work_dir(spark, "folders"))
+    assert C.has_chat_folders(spark, path)
+    assert not C.has_chat_folders(spark, f"{path}/chat_id=007") and not C.has_chat_folders(spark, f"{path}/nothing")
+    assert [r["chat_id"] for r in C.scan_chats(spark, path, glob=None).collect()] == ["007"]
