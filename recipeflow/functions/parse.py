@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recipeflow.functions import constants as K
-from recipeflow.functions.text import LINE_SPLIT_RE, WS_CLASS, blank_to_empty, col, strip
+from recipeflow.functions.text import LINE_SPLIT_RE, WS_CHARS, blank_to_empty, col, strip
 
 EMPTY_STR_ARRAY = "array<string>"
 
@@ -49,13 +49,13 @@ def top_n(arr, n: int) -> Column:
 
 
 def _split_inline_bullets(line: Column) -> Column:
-    parts = F.filter(F.transform(F.split(line, " \\* "), strip), lambda x: x != "")
+    """Pieces of a stripped line, without whitespace in front; blank ones are dropped as titles."""
+    parts = F.transform(F.split(line, " \\* "), lambda x: F.ltrim(x, F.lit(WS_CHARS)))
     return F.when(line.contains(" * "), parts).otherwise(F.array(line))
 
 
 def _clean_title(s: Column) -> Column:
-    s = F.regexp_replace(s, "^[-*\\x{2022}]+" + WS_CLASS + "*", "")
-    s = strip(F.replace(s, F.lit("**"), F.lit("")))
+    s = F.replace(F.ltrim(s, F.lit("-*•")), F.lit("**"), F.lit(""))
     s = strip(F.substring_index(s, ":", 1))
     return F.btrim(s, F.lit(' "“”'))
 

@@ -19,8 +19,9 @@ Per-chat state is computed with partial aggregates (``max_by``, ``max``,
 messages costs one row per task in the exchange, never one huge group.
 Joining such aggregates back to messages is an equi-join on ``chat_id`` that
 AQE splits when one key is skewed.  The one true per-chat ordering (numbering
-appended rows) is a range-partitioned, offset-corrected row number
-(:func:`row_number_within`), not a single-task window.
+appended rows) is a window over one exchange for chats that fit a task, and a
+range-partitioned, offset-corrected row number for larger ones
+(:func:`row_number_within`).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from recipeflow.functions import constants as K
 from recipeflow.functions.text import col
 from recipeflow.session import stage
+from recipeflow.sources.memory_table import filter_words, maybe_among
 
 # --------------------------------------------------------------------------
 # schemas
@@ -256,12 +258,57 @@ def new_chat_rows(requests: DataFrame, ts: str = "ts", title: str = "title") ->
 # --------------------------------------------------------------------------
 
 
+#: Rows of one key that one task numbers; the rows of a key with more are spread over many.
+ONE_TASK = 100_000
+
+
 def row_number_within(
-    df: DataFrame, key: str, order: str, partitions: int | None = None, out: str = "rn", ties: tuple[str, str] | None = None
+    df: DataFrame, key: str, order: str, partitions: int | None = None, out: str = "rn", ties: tuple[str, str] | None = None,
+    then: tuple[str, ...] = (), last: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by key order by order)`` without putting
     a hot key into one task.
 
+    Keys of up to :data:`ONE_TASK` rows are numbered by a window, in the one exchange that brings their rows together;
+    rows of larger keys, which one cheap count finds, by ranges (:func:`_numbered_by_range`).
+
+    ``ties`` names two more columns: the first number of the rows that are equal in ``key`` and ``order``, and how many
+    they are.  ``then`` are columns that order such rows: if all rows that they leave equal are alike, every evaluation
+    gives the same numbers.  ``last`` (key, _last), one row a key, is joined to the rows (NULL where it has none); where its
+    key is of the same type it goes through the exchange with them.
+    """
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    large = stage(sizes.where(F.col("_size") > ONE_TASK).select(key), "large-keys")  # fewer than the rows by ONE_TASK
+    if large.isEmpty():
+        return _numbered_by_key(df, key, order, out, ties, then, last)
+    of_large, others = (join_null_safe(df, F.broadcast(large), key, how=how) for how in ("left_semi", "left_anti"))
+    ranged = _numbered_by_range(of_large, key, order, partitions, out, ties, then)
+    if last is not None:
+        ranged = join_null_safe(ranged, join_null_safe(last, F.broadcast(large), key, how="left_semi"), key, how="left")
+    return _numbered_by_key(others, key, order, out, ties, then, last).unionByName(ranged)
+
+
+def _numbered_by_key(df: DataFrame, key: str, order: str, out: str, ties, then, last: DataFrame | None) -> DataFrame:
+    """The numbers of :func:`row_number_within`: one exchange on ``key`` and one sort, all rows of a key in one task."""
+    if last is not None and last.schema[key].dataType != df.schema[key].dataType:
+        return join_null_safe(_numbered_by_key(df, key, order, out, ties, then, None), last, key, how="left")
+    columns = [*df.columns, *(["_last"] if last is not None else [])]
+    df = df.withColumn("_new", F.lit(True))
+    if last is not None:  # a row before the key's others: its order is NULL, which comes first
+        df = df.unionByName(last.select(key, "_last", F.lit(False).alias("_new")), allowMissingColumns=True)
+    rows = Window.partitionBy(key).orderBy(order, "_new", *then).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn(out, F.count(F.when(F.col("_new"), 1)).over(rows))
+    if last is not None:
+        df = df.withColumn("_last", F.max("_last").over(rows)).where("_new")
+    if ties is not None:
+        same = Window.partitionBy(key, order)  # sorted and placed already
+        df = df.withColumn(ties[0], F.min(out).over(same)).withColumn(ties[1], F.count(F.lit(1)).over(same))
+    return df.select(*columns, out, *(ties or ()))
+
+
+def _numbered_by_range(df: DataFrame, key: str, order: str, partitions: int | None, out: str, ties, then) -> DataFrame:
+    """The numbers of :func:`row_number_within`, for few keys of many rows.
+
     1. range-partition on (key, order) and write the pieces once: a key holding a third of
        all rows is spread over many partitions (ranges split inside the key);
     2. number rows locally per (partition, key) - the window's exchange is on
@@ -269,17 +316,16 @@ def row_number_within(
     3. prefix-sum the per-(key, partition) counts (one row per piece) into
        offsets and join them back.
 
-    ``ties`` names two more columns: the first number of the rows that are equal in ``key`` and ``order``, and how many
-    they are (equal rows are in one piece).
+    Rows that are equal in ``key`` and ``order`` are in one piece.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
     # written once: a second evaluation of the exchange would sample other bounds and disagree on the pieces
     ranged = stage(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()), "numbered-pieces")
-    piece = Window.partitionBy("_pid", key).orderBy(order)
-    local = ranged.withColumn("_lrn", F.row_number().over(piece))
+    piece = Window.partitionBy("_pid", key)
+    local = ranged.withColumn("_lrn", F.row_number().over(piece.orderBy(order, *then)))
     if ties is not None:
         same = Window.partitionBy("_pid", key, order)
-        local = local.withColumn(ties[0], F.rank().over(piece)).withColumn(ties[1], F.count(F.lit(1)).over(same))
+        local = local.withColumn(ties[0], F.min("_lrn").over(same)).withColumn(ties[1], F.count(F.lit(1)).over(same))
     counts = ranged.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.withColumn(
         "_off",
@@ -294,6 +340,11 @@ def row_number_within(
     return numbered.drop("_pid", "_lrn", "_off")
 
 
+def last_positions(messages: DataFrame) -> DataFrame:
+    """(chat_id, _last): the greatest position of each chat, a partial aggregate."""
+    return messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
+
+
 def append_messages(
     messages: DataFrame,
     new: DataFrame,
@@ -307,32 +358,28 @@ def append_messages(
     maximum is a partial aggregate; the numbering of the new rows is
     :func:`row_number_within`, which splits a hot chat over many tasks.
     """
-    last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
-    numbered = row_number_within(new, "chat_id", order_by, out="_rn")
-    out = (
-        join_null_safe(numbered, last, "chat_id", how="left")
-        .withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.col("_rn")).cast("bigint"))
-        .drop("_last", "_rn")
-    )
+    numbered = row_number_within(new, "chat_id", order_by, out="_rn", last=last_positions(messages))
+    out = numbered.withColumn("seq", (F.coalesce("_last", F.lit(-1)) + F.col("_rn")).cast("bigint")).drop("_last", "_rn")
     if path is not None:
         out = stage(out, "appended")
         out.write.mode("append").parquet(path)
     return out
 
 
-def exchange_positions(messages: DataFrame, new: DataFrame, order_by: str) -> DataFrame:
-    """``new`` with the positions that its rows' messages take behind ``messages``: ``seq_user`` and ``seq_assistant``.
+def exchange_positions(last: DataFrame, new: DataFrame, order_by: str, then: tuple[str, ...] = ()) -> DataFrame:
+    """``new`` with the positions that its rows' messages take: ``seq_user`` and ``seq_assistant``.
 
-    They are those of :func:`append_messages` for two messages a row, ordered by (``order_by``, the user's first): rows
-    equal in chat and order have all their users' messages before their assistants'. Only ``new`` moves, so give it
+    ``last`` are the messages before them, or what :func:`last_positions` gives of these.  The positions are those of
+    :func:`append_messages` for two messages a row, ordered by (``order_by``, the user's first): rows equal in chat and order
+    have all their users' messages before their assistants', in the order of ``then``. Only ``new`` moves, so give it
     before its messages are made: their texts are then not sorted.
     """
-    last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
-    numbered = row_number_within(new, "chat_id", order_by, out="_rn", ties=("_first", "_same"))
+    if "_last" not in last.columns:
+        last = last_positions(last)
+    numbered = row_number_within(new, "chat_id", order_by, out="_rn", ties=("_first", "_same"), then=then, last=last)
     user = F.coalesce("_last", F.lit(-1)) + F.col("_first") + F.col("_rn") - 1  # 2 * (_first - 1) before, then _rn - _first + 1
     return (
-        join_null_safe(numbered, last, "chat_id", how="left")
-        .withColumn("seq_user", user.cast("bigint"))
+        numbered.withColumn("seq_user", user.cast("bigint"))
         .withColumn("seq_assistant", (F.col("seq_user") + F.col("_same")).cast("bigint"))
         .drop("_last", "_rn", "_first", "_same")
     )
@@ -376,16 +423,28 @@ def filled_payload(messages: DataFrame, payload: Column) -> Column:
     return payload.isNotNull() & filled
 
 
-def latest_payload(messages: DataFrame, kind: str = "recipe_detail") -> DataFrame:
+def newest_positions(messages: DataFrame, kind: str = "recipe_detail") -> DataFrame:
+    """(chat_id, _last, seq, _found): the greatest position of each chat, that of its messages carrying ``meta.payload.<kind>``,
+    and whether there is one.  One partial aggregate over positions, without the payloads."""
+    filled = filled_payload(messages, F.col("meta.payload." + kind))
+    return messages.groupBy("chat_id").agg(
+        F.max("seq").alias("_last"), F.max(F.when(filled, F.col("seq"))).alias("seq"), F.coalesce(F.bool_or(filled), F.lit(False)).alias("_found")
+    )
+
+
+def latest_payload(messages: DataFrame, kind: str = "recipe_detail", newest: DataFrame | None = None) -> DataFrame:
     """Per chat, the newest message carrying ``meta.payload.<kind>``.
 
     Empty lists in that payload are *not* skipped over to an older one.
     Positions are compared first, without the payloads (a partial aggregate that sorts nothing); only the newest messages'
-    payloads go on.
+    payloads go on.  ``newest`` are the :func:`newest_positions` of ``messages``, where they are staged already.
     """
     p = F.col("meta.payload." + kind)
     filled = messages.where(filled_payload(messages, p))
-    newest = stage(filled.groupBy("chat_id").agg(F.max("seq").alias("seq")), "newest")
+    newest = stage(newest_positions(messages, kind).where("_found"), "newest") if newest is None else newest.where("_found")
+    newest = newest.select("chat_id", "seq")
+    # where there are too many chats to broadcast, the other messages' payloads don't move either
+    filled = maybe_among(filled, filter_words(newest, "chat_id", "seq"), "chat_id", "seq")
     return (
         join_null_safe(filled, newest, "chat_id", "seq", how="left_semi")
         .groupBy("chat_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recipeflow.operators import chatlog as C
 from recipeflow.operators import translate as T
+from recipeflow.operators.modelmap import materialize
 from recipeflow.functions import parse as P
 from recipeflow.plans import catalog_model as M
 from recipeflow.plans import jobs as J
@@ -16,7 +17,7 @@ from recipeflow.plans.catalog_chat import FILTER_EVENTS_SQL, filter_events
 from recipeflow.plans.catalog_text import probe_code, probe_sql
 from recipeflow.plans.oracle_views import VIEWS, with_views
 from recipeflow.plans.registry import ORACLE, register
-from recipeflow.session import work_dir
+from recipeflow.session import stage, work_dir
 from recipeflow.sources import views as V
 from recipeflow.sources.chats import derived_chat_documents, write_chat_store
 from recipeflow.sources.message_log import MessageLog
@@ -90,10 +91,10 @@ def shown(log):
 def q_logged_jobs(spark, sf):
     """recipe_job stores its messages, twice; health_job reads them back and stores its own: one copy of each is left."""
     log = started_log(spark, sf, "message-log")
-    titles = M.job_titles(spark, sf)
+    titles = stage(M.job_titles(spark, sf), "titles")  # read by both runs
     for _ in range(2):
         J.recipe_job(titles, M.GEN, M.TR, log=log, run="recipes", at=RECIPE_AT)
-    chats = log.read().select("chat_id").distinct()
+    chats = materialize(log.read().select("chat_id").distinct())  # read twice
     filters = C.upsert_filters(filter_events(spark, sf), chats)
     langs = chats.select("chat_id", probe_code("chat_id").alias("display_lang"))
     J.health_job(log, filters, langs, M.GEN, M.TR, run="checks", at=HEALTH_AT)

@@ -35,6 +35,7 @@ from recipeflow.operators.counters import observed
 from recipeflow.operators.modelmap import map_model, materialize
 from recipeflow.sources.message_log import MessageLog, meta_of
 from recipeflow.operators.translate import back_translate_title, translate_array, translate_block
+from recipeflow.session import is_stage
 
 
 def _carried(df: DataFrame) -> list[str]:
@@ -66,9 +67,10 @@ def _with_positions(rows: DataFrame, key: str, log: DataFrame | MessageLog | Non
     the messages are made, so no text is sorted.  Without a ``log`` they are 0 and 1."""
     if log is None:
         return rows.withColumn("seq_user", F.lit(0).cast("bigint")).withColumn("seq_assistant", F.lit(1).cast("bigint"))
+    then = tuple(c for c in rows.columns if c not in (key, "chat_id"))  # the same positions whenever they are made
     if isinstance(log, MessageLog):  # staged: what is stored later must not read the log
-        return materialize(C.exchange_positions(log.read(without_run=run), rows, key))
-    return C.exchange_positions(log, rows, key)
+        log = materialize(C.last_positions(log.read(without_run=run)))
+    return C.exchange_positions(log, rows, key, then)
 
 
 def _message(role: str, seq: str, content, payload_json, meta) -> Column:
@@ -155,7 +157,8 @@ def recipe_job(
         X.strip(X.blank_to_empty(F.col("title"))).alias("title"),
         X.safe_lang_code("display_lang").alias("code"),
     )
-    t = materialize(t)  # read several times below, computed once
+    if not is_stage(titles):
+        t = materialize(t)  # read several times below, computed once
     kept = [key, *_carried(t)]
     placed = _with_positions(t, key, log, run)
     recipes = _recipes(materialize(t.select("title", "code").distinct()), generator, translator, memory, memory_path)
@@ -241,8 +244,9 @@ def health_job(
     log = messages if isinstance(messages, MessageLog) else None
     if log is not None:
         messages = log.read(without_run=run)
-    latest = materialize(C.latest_payload(messages))  # accepted and rejected chats come from one pass
-    last = messages.groupBy("chat_id").agg(F.max("seq").alias("_last"))
+    newest = materialize(C.newest_positions(messages))  # where each chat ends, and where its recipe is, come from one pass
+    latest = materialize(C.latest_payload(messages, newest=newest))  # and so do accepted and rejected chats
+    last = newest.select("chat_id", "_last")
     ok, rejected = C.eligible_for_check(latest)
     d = F.col("recipe_detail")
     j = (

@@ -36,9 +36,9 @@ class Version(NamedTuple):
     slots: int
 
 
-def _mask(key: Column) -> Column:
+def _mask(*key: str) -> Column:
     """The bits of ``key`` in its word."""
-    digest = F.xxhash64(key, F.lit("bits"))
+    digest = F.xxhash64(*key, F.lit("bits"))
     mask = F.lit(0).cast("bigint")
     for i in range(BITS):  # six bits of the digest name one of 64
         place = F.shiftrightunsigned(digest, 6 * i).bitwiseAND(F.lit(63)).cast("int")
@@ -46,6 +46,23 @@ def _mask(key: Column) -> Column:
     return mask
 
 
+def _slot(slots: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots))
+
+
+def filter_words(keys: DataFrame, *key: str, slots: int = MOST_SLOTS) -> DataFrame:
+    """(slot, word) of the ``keys``, at most ``slots`` rows."""
+    return keys.groupBy(_slot(slots, *key).alias("slot")).agg(F.bit_or(_mask(*key)).alias("word"))
+
+
+def maybe_among(rows: DataFrame, words: DataFrame, *key: str, slots: int = MOST_SLOTS) -> DataFrame:
+    """The ``rows`` whose key the filter ``words`` doesn't rule out, where they are; a NULL in a key is a value like any other."""
+    words = F.broadcast(words.select(F.col("slot").alias("_slot"), F.col("word").alias("_word")))  # at most ``slots`` rows
+    mask = _mask(*key)
+    hit = (_slot(slots, *key) == F.col("_slot")) & (F.col("_word").bitwiseAND(mask) == mask)
+    return rows.join(words, hit, "left_semi")
+
+
 class MemoryTable:
     """A memory at ``path`` in shared storage: ``key`` and ``value`` name its two string columns."""
 
@@ -108,12 +125,9 @@ class MemoryTable:
         placed.write.insertInto(self._table(version))
 
     def _add_words(self, version: Version, keys: DataFrame) -> None:
-        words = keys.where(F.col(self.key).isNotNull()).groupBy(self._slot(version).alias("slot")).agg(F.bit_or(_mask(F.col(self.key))).alias("word"))
+        words = filter_words(keys.where(F.col(self.key).isNotNull()), self.key, slots=version.slots)
         words.write.mode("append").parquet(f"{self._folder(version)}/filter")
 
-    def _slot(self, version: Version) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(version.slots))
-
     def append(self, rows: DataFrame) -> None:
         """Store ``rows`` (key, value); a NULL key is no key.  ``rows`` is read twice: stage it first.
 
@@ -160,10 +174,7 @@ class MemoryTable:
         words = self._filter(version)
         if words is None:
             return rows.limit(0)
-        words = F.broadcast(words.select(F.col("slot").alias("_slot"), F.col("word").alias("_word")))  # at most ``slots`` rows
-        mask = _mask(F.col(self.key))
-        hit = (self._slot(version) == F.col("_slot")) & (F.col("_word").bitwiseAND(mask) == mask)
-        return rows.join(words, hit, "left_semi")
+        return maybe_among(rows, words, self.key, slots=version.slots)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """(key, value) of those ``keys`` that are stored, one row each. ``keys`` are distinct (repeated ones change nothing but the work).

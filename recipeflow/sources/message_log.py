@@ -74,18 +74,25 @@ class MessageLog:
         # rows of one day are spread by chat and position: a hot chat is more than one task, a day more than one file
         placed = out if one_day else out.repartition("day", F.xxhash64("chat_id", "seq") % 32)
         placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(self.path)
-        days = out.select("day").limit(1) if one_day else out.select("day").distinct()
-        gone = before - {r["day"] for r in days.collect()} if before else set()
-        for day in gone:
-            self._delete(f"day={day}/run={run}")
-
-    def _days(self, run: str) -> set:
-        """The days that ``run`` has, from the folders' names alone."""
+        # days that still have files of before were not written; the rows are not made again to name their days
+        after = self._days(run) if before else {}
+        for day in before:
+            if after.get(day, set()) == before[day]:
+                self._delete(f"day={day}/run={run}")
+
+    def _days(self, run: str) -> dict[datetime.date, set[str]]:
+        """The days that ``run`` has and the names of their files, which no two writes share."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/day=*/run={run}")
-        found = pattern.getFileSystem(conf).globStatus(pattern) or []
-        names = [s.getPath().getParent().getName().removeprefix("day=") for s in found]
-        return {datetime.date.fromisoformat(n) for n in names}
+        days: dict[datetime.date, set[str]] = {}
+        for files in ("", "/part-*"):
+            pattern = jvm.org.apache.hadoop.fs.Path(f"{self.path}/day=*/run={run}{files}")
+            for s in pattern.getFileSystem(conf).globStatus(pattern) or []:
+                path = s.getPath()
+                day = (path.getParent() if files else path).getParent().getName().removeprefix("day=")
+                names = days.setdefault(datetime.date.fromisoformat(day), set())
+                if files:
+                    names.add(path.getName())
+        return days
 
     def _delete(self, part: str) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
